@@ -104,7 +104,7 @@ def _round(ctx: Ctx, x: Val, n: Val | None = None) -> Val:
     return num(F.signum(c) * F.floor(F.abs(c) + 0.5) / scale)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _sigfig_udf(v: pd.Series, digits: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(x) or pd.isna(d) else float(f"{x:.{max(int(d), 1) - 1}e}") for x, d in zip(v, digits)], dtype="float64")
 
@@ -286,7 +286,7 @@ def _tostring(ctx: Ctx, v: Val, form: Val | None = None) -> Val:
     raise QueryError(f"unknown format {f!r}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _grouped_udf(v: pd.Series, spec: pd.Series) -> pd.Series:
     out = []
     for x, s in zip(v, spec):
@@ -365,7 +365,7 @@ def _cidrmatch(ctx: Ctx, cidr: Val, ip: Val) -> Val:
     return boolean(_in_v6(as_str(ip), F.lit(str(net))))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _in_v6(v: pd.Series, net: pd.Series) -> pd.Series:
     n = ipaddress.ip_network(net.iloc[0]) if len(net) else None
 

@@ -15,7 +15,7 @@ from tracelode.lang.lex import QueryError, bare, flag, options, words
 from tracelode.plans import bind
 from tracelode.plans.frame import TS, Frame
 
-_AGG = re.compile(r"""\s*,?\s*([A-Za-z_]\w*(?:\.\d+)?)\s*(\()?""")
+_AGG = re.compile(r"""\s*,?\s*([A-Za-z_]\w*(?:\.\d+)?)(\s*\()?""")
 
 
 def parse_aggs(s: str) -> tuple[list[Agg], list[str]]:
@@ -102,9 +102,9 @@ def eventstats(fr: Frame, s: str) -> Frame:
 def _frequency(fr: Frame, s: str, rare: bool, by_frequency: bool = False) -> Frame:
     """Counts of field combinations.  Without a number all combinations by count;
     with one the N first by key text (the documented order of this dialect)."""
-    opts, rest = options(words(re.sub(r"\s+by\s+.*$", "", s, flags=re.I | re.S)), {k: 0 for k in ("limit", "showcount", "countfield", "showperc", "percentfield", "useother", "otherstr")})
-    m = re.search(r"\s+by\s+(.*)$", s, re.I | re.S)
-    by = [bare(w) for w in words(m[1])] if m else []
+    opts, rest = options(words(s), {k: 0 for k in ("limit", "showcount", "countfield", "showperc", "percentfield", "useother", "otherstr")})
+    at = next((i for i, w in enumerate(rest) if w.lower() == "by"), len(rest))
+    by, rest = [bare(w) for w in rest[at + 1 :]], rest[:at]
     n = int(opts["limit"]) if "limit" in opts else None
     if rest and re.fullmatch(r"\d+", rest[0]):
         n = int(rest.pop(0))

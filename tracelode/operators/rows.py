@@ -229,7 +229,7 @@ def tojson(fr: Frame, s: str) -> Frame:
         assert v is not None
         t = as_str(v)
         if kind == "num":
-            col = as_num(v)
+            col = v.c if v.is_num else as_num(v)
         elif kind == "bool":
             col = F.when(F.lower(t).isin("true", "t", "yes", "1"), True).when(F.lower(t).isin("false", "f", "no", "0"), False)
         elif kind == "str":
