@@ -96,7 +96,8 @@ class _Lanes:
         self.tau, self.y = np.zeros((BLOCK, count)), np.zeros((BLOCK, count))
         self.has[at, lane], self.tau[at, lane], self.y[at, lane] = True, tau, y
         self.yn = np.bincount(lane, minlength=count)
-        self.ysum, self.ysq = np.bincount(lane, y, count), np.bincount(lane, y * y, count)
+        # (of no readings at all bincount makes integers)
+        self.ysum, self.ysq = np.bincount(lane, y, count).astype(float), np.bincount(lane, y * y, count).astype(float)
         self.mid = np.where(self.yn > 0, self.ysum / np.maximum(self.yn, 1), 0.0)
 
 
