@@ -277,7 +277,7 @@ def _tostring(ctx: Ctx, v: Val, form: Val | None = None) -> Val:
     if f == "hex":
         return text(F.concat(F.lit("0x"), F.lower(F.hex(c.try_cast("bigint")))))
     if f == "commas":
-        return text(F.format_number(c, "#,##0.##"))
+        return text(F.call_function("format_number", c, F.lit("#,##0.##")))
     if f == "duration":
         n = c.try_cast("bigint")
         days = F.call_function("div", n, F.lit(86_400))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +65,24 @@ def built(fr: Frame, a: Agg) -> Column:
     return aggs.build(a, v, fr.time, fr.exact).alias(a.name)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """``name``, or the next of ``name_2``, ``name_3``, ... that is not taken."""
+    n, k = name, 1
+    while n in taken:
+        k += 1
+        n = f"{name}_{k}"
+    return n
+
+
+def _distinct_names(measures: list[Agg], taken: list[str]) -> list[Agg]:
+    """Measures whose names clash with a key or with each other get a number."""
+    out: list[Agg] = []
+    for a in measures:
+        n = free(a.name, [*taken, *[m.name for m in out]])
+        out.append(a if n == a.name else replace(a, alias=n))
+    return out
+
+
 _STATS_OPTIONS = {"allnum": "false", "delim": " ", "partitions": "1", "dedup_splitvals": "false"}
 
 
@@ -79,7 +98,8 @@ def stats(fr: Frame, s: str) -> Frame:
         raise QueryError("stats needs an aggregate")
     if any(c not in fr.columns for c in by):
         fr = fr.put({c: F.lit(None).cast("string") for c in by if c not in fr.columns})
-    df = fr.df.groupBy(*map(q, by)).agg(*[built(fr, a) for a in measures])
+    by = list(dict.fromkeys(by))
+    df = fr.df.groupBy(*map(q, by)).agg(*[built(fr, a) for a in _distinct_names(measures, by)])
     return fr.with_df(df, order=None)
 
 
@@ -111,7 +131,8 @@ def _frequency(fr: Frame, s: str, rare: bool, by_frequency: bool = False) -> Fra
     keys = [bare(w) for w in rest]
     if not keys:
         raise QueryError("top and rare need a field")
-    count, perc = opts.get("countfield", "count"), opts.get("percentfield", "percent")
+    count = free(opts.get("countfield", "count"), [*by, *keys])
+    perc = free(opts.get("percentfield", "percent"), [*by, *keys, count])
     g = fr.df.groupBy(*[q(c) for c in [*by, *keys]]).agg(F.count(F.lit(1)).alias("__n"))
     whole = Window.partitionBy(*map(q, by)) if by else Window.partitionBy(F.lit(0))
     g = g.withColumn("__all", F.sum("__n").over(whole))
@@ -168,7 +189,7 @@ def timechart(fr: Frame, s: str) -> Frame:
     ts = F.least(F.greatest(fr.time, F.lit(lo)), F.lit(max(hi - 1, lo)))
     bucket = (F.floor((ts - lo) / width) * width + lo).cast("bigint").alias("timestamp")
     if not by:
-        df = fr.df.groupBy(bucket).agg(*[built(fr, a) for a in measures])
+        df = fr.df.groupBy(bucket).agg(*[built(fr, a) for a in _distinct_names(measures, ["timestamp"])])
         return fr.with_df(df.withColumn("__o_t", F.col("timestamp")), order=(("__o_t", False),))
     v = bind.field(fr, by[0])
     nullstr, otherstr = opts.get("nullstr", "NULL"), opts.get("otherstr", "other")
