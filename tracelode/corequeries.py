@@ -29,8 +29,8 @@ _TABLES = {"events": ("ts", ["event_id"]), "lineitem": ("l_shipdate", ["l_orderk
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     e = Engine(spark, NOW)
     for t, (time, tie) in _TABLES.items():
-        e.register(t, table(spark, sf_dir, t), time, tie)
-    e.lookups = {"nations.csv": table(spark, sf_dir, "nation"), "regions.csv": table(spark, sf_dir, "region")}
+        e.register(t, partial(table, spark, sf_dir, t), time, tie)
+    e.lookups = {"nations.csv": partial(table, spark, sf_dir, "nation"), "regions.csv": partial(table, spark, sf_dir, "region")}
     return e
 
 

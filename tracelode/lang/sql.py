@@ -27,9 +27,9 @@ def run(engine: "Engine", text: str, extended: bool) -> DataFrame:
     m = re.fullmatch(r"(?:show\s+columns\s+(?:in|from)|describe)\s+[`\"]?([\w.-]+)[`\"]?", t, re.I)
     if m:
         return engine.catalog.show_columns(m[1])
-    for name, df in engine.catalog.indices():
-        if re.fullmatch(r"\w+", name):
-            df.createOrReplaceTempView(name)
+    for name in engine.catalog.names():
+        if re.fullmatch(r"\w+", name) and re.search(rf"\b{name}\b", t, re.I):
+            engine.catalog.table(name).createOrReplaceTempView(name)
     if extended:
         return engine.spark.sql(t)
     bare = re.sub(r"'(?:[^']|'')*'", "''", t)

@@ -38,6 +38,10 @@ def gentimes(fr: Frame, s: str) -> Frame:
     return fr.with_df(df, order=(("__o_g", False),))
 
 
+def _lookup(fr: Frame, name: str) -> DataFrame:
+    return fr.engine.lookup(name) if fr.engine is not None else read_lookup(fr.df.sparkSession, name)  # type: ignore[attr-defined]
+
+
 def inputlookup(fr: Frame, s: str, first: bool) -> Frame:
     m = re.search(r"\bwhere\b(.*)$", s, re.I | re.S)
     cond = m[1] if m else None
@@ -45,8 +49,7 @@ def inputlookup(fr: Frame, s: str, first: bool) -> Frame:
     if len(rest) != 1:
         raise QueryError("inputlookup takes one file")
     name = bare(rest[0])
-    tables = fr.engine.lookups if fr.engine is not None else {}  # type: ignore[attr-defined]
-    df = tables[name] if name in tables else read_lookup(fr.df.sparkSession, name)
+    df = _lookup(fr, name)
     base = Frame(df, None, fr.now, fr.start_ms, fr.end_ms, engine=fr.engine)
     if cond:
         from tracelode.lang import search
@@ -85,8 +88,7 @@ def lookup(fr: Frame, s: str) -> Frame:
         raise QueryError("lookup takes file key OUTPUT fields")
     pair = lambda t: [(bare(a), bare(b or a)) for a, b in re.findall(r'("[^"]*"|[^\s,]+)(?:\s+AS\s+("[^"]*"|[^\s,]+))?', t, re.I)]
     keys, outs = pair(m[2]), pair(m[3])
-    tables = fr.engine.lookups if fr.engine is not None else {}  # type: ignore[attr-defined]
-    t = tables[m[1]] if m[1] in tables else read_lookup(fr.df.sparkSession, m[1])
+    t = _lookup(fr, m[1])
     t = t.dropDuplicates([a for a, _ in keys])
     right = t.select(*[as_str(column(t, a)).alias(f"__l{i}") for i, (a, _) in enumerate(keys)], *[q(a).alias(f"__v{i}") for i, (a, _) in enumerate(outs)])  # type: ignore[arg-type]
     on = None

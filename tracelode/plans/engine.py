@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ from tracelode.operators import generate, groups, order, rows
 from tracelode.plans import bind
 from tracelode.plans.frame import Frame, events
 from tracelode.sources.catalog import Catalog
+from tracelode.sources.readers import read_lookup
 
 COMMANDS = {
     "search": rows.search_cmd, "where": rows.where, "regex": rows.regex, "fields": rows.fields, "table": rows.table, "rename": rows.rename, "eval": rows.eval_cmd, "rex": rows.rex,
@@ -29,9 +31,9 @@ class Engine:
     def __init__(self, spark: SparkSession, now: dt.datetime | None = None, exact: bool = True) -> None:
         self.spark, self.catalog, self.exact = spark, Catalog(spark), exact
         self.now = now or dt.datetime.now(dt.timezone.utc)
-        self.lookups: dict[str, DataFrame] = {}
+        self.lookups: dict[str, DataFrame | Callable[[], DataFrame]] = {}
 
-    def register(self, name: str, df: DataFrame, time: str | None = None, tie: list[str] | None = None) -> "Engine":
+    def register(self, name: str, df: DataFrame | Callable[[], DataFrame], time: str | None = None, tie: list[str] | None = None) -> "Engine":
         self.catalog.register(name, df, time, tie)
         return self
 
@@ -39,6 +41,13 @@ class Engine:
         df, time, tie = self.catalog.resolve(index)
         return events(df, time, tie, self.now, start_ms, end_ms, exact=self.exact, engine=self)
 
+    def lookup(self, name: str) -> DataFrame:
+        """A registered lookup, else the csv file of that name."""
+        df = self.lookups.get(name)
+        if df is None:
+            return read_lookup(self.spark, name)
+        return df if isinstance(df, DataFrame) else df()
+
     # ---- the pipe language
     def search(self, text: str, index: str = "*", start_ms: int | None = None, end_ms: int | None = None, size: int | None = None, offset: int = 0) -> DataFrame:
         """Rows of a query in order.  ``size`` and ``offset`` page through them; by default all are returned."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,23 @@ class Catalog:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
-        self._tables: dict[str, tuple[DataFrame, str | None, list[str]]] = {}
+        self._tables: dict[str, tuple[DataFrame | Callable[[], DataFrame], str | None, list[str]]] = {}
         self._aliases: dict[str, set[str]] = {}
 
-    def register(self, name: str, df: DataFrame, time: str | None = None, tie: list[str] | None = None) -> None:
+    def register(self, name: str, df: DataFrame | Callable[[], DataFrame], time: str | None = None, tie: list[str] | None = None) -> None:
+        """``df`` may be a function: its source is opened when a query first names the index."""
         self._tables[name] = (df, time, tie or [])
 
+    def names(self) -> list[str]:
+        return sorted(self._tables)
+
+    def table(self, name: str) -> DataFrame:
+        df, time, tie = self._tables[name]
+        if not isinstance(df, DataFrame):
+            df = df()
+            self._tables[name] = (df, time, tie)
+        return df
+
     def drop(self, name: str) -> None:
         self._tables.pop(name, None)
         for s in self._aliases.values():
@@ -30,7 +42,7 @@ class Catalog:
         self._aliases.setdefault(alias, set()).update(names)
 
     def indices(self) -> list[tuple[str, DataFrame]]:
-        return [(n, t[0]) for n, t in sorted(self._tables.items())]
+        return [(n, self.table(n)) for n in self.names()]
 
     def columns(self, name: str) -> list[str]:
         return self.resolve(name)[0].columns
@@ -43,13 +55,14 @@ class Catalog:
                 names += [n for n in (sorted(self._aliases[a]) if a in self._aliases else [a]) if n not in names]
         if not names:
             raise QueryError(f"no index {pattern!r}")
-        df, time, tie = self._tables[names[0]]
+        _, time, tie = self._tables[names[0]]
+        df = self.table(names[0])
         for n in names[1:]:
-            df = df.unionByName(self._tables[n][0], allowMissingColumns=True)
+            df = df.unionByName(self.table(n), allowMissingColumns=True)
         return df, time, tie
 
     def show_tables(self) -> DataFrame:
-        return self.spark.createDataFrame([(n,) for n, _ in self.indices()], "name string")
+        return self.spark.createDataFrame([(n,) for n in self.names()], "name string")
 
     def show_columns(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in self.resolve(name)[0].schema.fields], "name string, type string")
