@@ -99,8 +99,30 @@ def stats(fr: Frame, s: str) -> Frame:
     if any(c not in fr.columns for c in by):
         fr = fr.put({c: F.lit(None).cast("string") for c in by if c not in fr.columns})
     by = list(dict.fromkeys(by))
-    df = fr.df.groupBy(*map(q, by)).agg(*[built(fr, a) for a in _distinct_names(measures, by)])
-    return fr.with_df(df, order=None)
+    measures = _distinct_names(measures, by)
+    plain = [a for a in measures if a.fn != "list" or fr.time is None]
+    df = fr.df.groupBy(*map(q, by)).agg(*([built(fr, a) for a in plain] or [F.count(F.lit(1)).alias("__rows")]))
+    for a in measures:
+        if a not in plain:
+            df = _with_list(fr, df, a, by)
+    return fr.with_df(df.select(*map(q, by), *[q(a.name) for a in measures]), order=None)
+
+
+def _with_list(fr: Frame, df: DataFrame, a: Agg, by: list[str]) -> DataFrame:
+    """A column with the first values by time.  Rows beyond the list's length are
+    cut in each task before the shuffle, so a hot group is never collected."""
+    v = bind.expression(fr, a.arg) if a.is_eval else bind.field(fr, a.arg)  # type: ignore[arg-type]
+    names = [f"__l{i}" for i in range(len(by))]
+    x = fr.df.select(*[q(c).alias(n) for c, n in zip(by, names)], fr.time.alias("__t"), as_str(v).alias("__v")).where("__v is not null")  # type: ignore[union-attr]
+    w = (Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))).orderBy("__t", "__v")
+    x = x.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= aggs.LIST_MOST)
+    one = F.transform(F.array_sort(F.collect_list(F.struct("__r", "__v"))), lambda e: e["__v"])
+    y = x.groupBy(*names).agg(one.alias(a.name))
+    on = F.lit(True)
+    for c, n in zip(by, names):
+        on = on & q(c).eqNullSafe(F.col(n))
+    j = df.join(y, on, "left").drop(*names)
+    return j.withColumn(a.name, F.coalesce(q(a.name), F.array().cast("array<string>")))
 
 
 def eventstats(fr: Frame, s: str) -> Frame:
@@ -134,24 +156,39 @@ def _frequency(fr: Frame, s: str, rare: bool, by_frequency: bool = False) -> Fra
     count = free(opts.get("countfield", "count"), [*by, *keys])
     perc = free(opts.get("percentfield", "percent"), [*by, *keys, count])
     g = fr.df.groupBy(*[q(c) for c in [*by, *keys]]).agg(F.count(F.lit(1)).alias("__n"))
-    whole = Window.partitionBy(*map(q, by)) if by else Window.partitionBy(F.lit(0))
-    g = g.withColumn("__all", F.sum("__n").over(whole))
-    texts = [as_str(column(g, c)) for c in keys]  # type: ignore[arg-type]
-    if n is None or by_frequency:
-        order = [F.col("__n").asc() if rare else F.col("__n").desc(), *[t.asc_nulls_last() for t in texts]]
-    else:
-        order = [t.asc_nulls_last() if rare else t.desc_nulls_last() for t in texts]
-    ranked = g.withColumn("__rank", F.row_number().over((Window.partitionBy(*map(q, by)) if by else Window.partitionBy(F.lit(0))).orderBy(*order)))
-    out = ranked if not n else ranked.where(F.col("__rank") <= n)
+    # totals by an aggregate of the counts: one row a ``by`` group, joined back
+    names = [f"__b{i}" for i in range(len(by))]
+    totals = g.groupBy(*[q(c).alias(b) for c, b in zip(by, names)]).agg(F.sum("__n").alias("__all"))
+    match = F.lit(True)
+    for c, b in zip(by, names):
+        match = match & q(c).eqNullSafe(F.col(b))
+    texts = {f"__o_k{i}": as_str(column(g, c)) for i, c in enumerate(keys)}  # type: ignore[arg-type]
+    g = g.withColumns(texts | {"__o_n": F.col("__n")})
+    by_key = n is not None and not by_frequency
+    order = ([] if by_key else [("__o_n", not rare)]) + [(k, by_key and not rare) for k in texts]
+    ranked = [F.col(c).desc_nulls_last() if falls else F.col(c).asc_nulls_last() for c, falls in order]
+    kept = g
+    if n and by:  # Spark cuts each group before the shuffle
+        kept = g.withColumn("__rank", F.row_number().over(Window.partitionBy(*map(q, by)).orderBy(*ranked))).where(F.col("__rank") <= n).drop("__rank")
+    elif n:
+        kept = g.orderBy(*ranked).limit(n)
+    kept = kept.withColumn("__o_other", F.lit(0))
     if n and flag(opts.get("useother"), False):
-        other = ranked.where(F.col("__rank") > n).groupBy(*map(q, by)).agg(*[F.lit(opts.get("otherstr", "other")).alias(c) for c in keys], F.sum("__n").alias("__n"), F.max("__all").alias("__all"), F.lit(n + 1).alias("__rank"))
-        out = out.select(*map(q, by), *[as_str(column(out, c)).alias(c) for c in keys], "__n", "__all", "__rank").unionByName(other)  # type: ignore[arg-type]
+        mine = kept.groupBy(*[q(c).alias(b) for c, b in zip(by, names)]).agg(F.sum("__n").alias("__mine"))
+        left, right = totals.alias("l"), mine.alias("r")
+        on = F.lit(True)
+        for b in names:
+            on = on & F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))
+        rest = left.join(right, on).where(F.col("__all") > F.col("__mine"))
+        other = rest.select(*[F.col(f"l.{b}").alias(c) for c, b in zip(by, names)], *[F.lit(opts.get("otherstr", "other")).alias(c) for c in keys], (F.col("__all") - F.col("__mine")).alias("__n"), *[F.lit(None).cast("string").alias(k) for k in texts], F.lit(0).cast("bigint").alias("__o_n"), F.lit(1).alias("__o_other"))
+        kept = kept.select(*map(q, by), *[as_str(column(kept, c)).alias(c) for c in keys], "__n", *texts, "__o_n", "__o_other").unionByName(other)  # type: ignore[arg-type]
+    out = kept.join(totals if by else F.broadcast(totals.limit(1)), match)
     cols = [q(c) for c in [*by, *keys]]
     if flag(opts.get("showcount"), True):
         cols.append(F.col("__n").alias(count))
     if flag(opts.get("showperc"), True):
         cols.append(F.round(F.col("__n") * 100.0 / F.col("__all"), 6).alias(perc))
-    return fr.with_df(out.select(*cols, F.col("__rank").cast("bigint").alias("__o_rank")), order=(("__o_rank", False),))
+    return fr.with_df(out.select(*cols, "__o_other", "__o_n", *texts), order=(("__o_other", False), *order))
 
 
 def top(fr: Frame, s: str) -> Frame:

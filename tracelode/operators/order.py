@@ -204,15 +204,21 @@ def streamstats(fr: Frame, s: str) -> Frame:
         out = _by_time(fr, measures, keys, timespec.span_ms(opts["time_window"]))
         return out.with_df(out.df.drop(*keys))
     on_change = flag(opts.get("reset_on_change"), False) and bool(by)
+    names = {f"__a{i}": a for i, a in enumerate(measures)}
+    if window and keys and not global_ and not (before or after or on_change):
+        end, first = (0, 1 - window) if current else (-1, -window)
+        if not ordered.hot(fr.df, keys):
+            w = Window.partitionBy(*keys).orderBy(*fr.sort_keys()).rowsBetween(first, end)
+            return _finish(fr, fr.df.withColumns({n: _windowed(fr, a, w) for n, a in names.items()}), names, keys)
+        return _by_rank(ordered.numbered(fr), names, keys, window, first, end)
     fr = ordered.numbered(fr)
     if before or after or on_change:
         fr = _epochs(fr, before, after, keys if on_change else [])
         keys = [*keys, "__epoch"] if not on_change else ["__epoch", *keys]
-    names = {f"__a{i}": a for i, a in enumerate(measures)}
     if window:
         end = 0 if current else -1
         first = -(window - 1) if current else -window
-        if not keys or (global_ and keys):
+        if not keys or global_:
             x, _ = ordered.with_halo(fr.df, window)
             w = Window.partitionBy("__b", *keys).orderBy(ordered.IDX).rangeBetween(first, end)
             x = x.withColumns({n: _windowed(fr, a, w) for n, a in names.items()}).where("__own").drop("__b", "__own")
@@ -228,6 +234,19 @@ def streamstats(fr: Frame, s: str) -> Frame:
     return _finish(fr, x, names, keys)
 
 
+def _by_rank(fr: Frame, names: dict[str, aggs.Agg], keys: list[str], window: int, first: int, end: int) -> Frame:
+    """Windows of the last rows of each group when a group is hot: rows get their
+    rank in the group, and the group is cut by rank with a copied halo."""
+    x = ordered.running(fr.df, [F.col(k) for k in keys], {"__rank": ("count", F.lit(1))}, True)
+    size = max(ordered.BLOCK, 8 * window)
+    b = F.floor((F.col("__rank") - 1) / size)
+    near = (F.col("__rank") - 1) % size >= size - window
+    x = x.withColumn("__home", b).withColumn("__b", F.explode(F.when(near, F.array(b, b + 1)).otherwise(F.array(b))))
+    w = Window.partitionBy("__b", *keys).orderBy("__rank").rowsBetween(first, end)
+    x = x.withColumns({n: _windowed(fr, a, w) for n, a in names.items()}).where("__b = __home").drop("__b", "__home", "__rank")
+    return _finish(fr, x, names, keys)
+
+
 def _finish(fr: Frame, x, names: dict[str, aggs.Agg], keys: list[str]) -> Frame:
     new = {a.name: F.coalesce(F.col(n), F.lit(0)) if a.fn in ("count", "dc", "estdc_error") else F.col(n) for n, a in names.items()}
     y = fr.with_df(x)
@@ -334,13 +353,18 @@ def transaction(fr: Frame, s: str) -> Frame:
     start, end_ = conds.get("startswith", F.lit(True)), conds.get("endswith", F.lit(False))
     df = df.withColumns({"__st": F.coalesce(start, F.lit(False)), "__en": F.coalesce(end_, F.lit(False))})
     w = Window.partitionBy(*names).orderBy(*fr.sort_keys())
+    part = ("__en", False) if "endswith" in conds else ("__st", True) if "startswith" in conds else None
+    if part is not None and ordered.hot(df, names):  # running counts by blocks instead of one window a key
+        fr = ordered.numbered(fr.with_df(df))
+        df = ordered.running(fr.df, [F.col(n) for n in names], {"__seg": ("sum", F.col(part[0]).cast("int"))}, part[1]).withColumn("__seg", F.coalesce("__seg", F.lit(0)))
+    elif part is not None:
+        frame = w.rowsBetween(Window.unboundedPreceding, 0 if part[1] else -1)
+        df = df.withColumn("__seg", F.coalesce(F.sum(F.col(part[0]).cast("int")).over(frame), F.lit(0)))
     if "endswith" in conds:
-        seg = F.coalesce(F.sum(F.col("__en").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        df = df.withColumn("__seg", seg)
         opened = F.max(F.col("__st").cast("int")).over(Window.partitionBy(*names, "__seg").orderBy(*fr.sort_keys()).rowsBetween(Window.unboundedPreceding, 0))
         df = df.withColumn("__open", opened).where("__open = 1")
     elif "startswith" in conds:
-        df = df.withColumn("__seg", F.sum(F.col("__st").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__seg > 0")
+        df = df.where("__seg > 0")
     else:
         df = df.withColumn("__seg", F.lit(0))
     order = [(-F.col(c) if falls else F.col(c)) if dict(df.dtypes)[c] in ("bigint", "double", "int") else F.col(c) for c, falls in fr.order or ()]

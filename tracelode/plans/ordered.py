@@ -35,6 +35,16 @@ def numbered(fr: Frame) -> Frame:
     return fr.with_df(df, order=((IDX, False),))
 
 
+#: Rows of one group that a single task may pass through in a window.
+WIDE = 2_000_000
+
+
+def hot(df: DataFrame, keys: list[str]) -> bool:
+    """Whether a group is too large for one task; counted with partial aggregation."""
+    r = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()
+    return (r["n"] or 0) > WIDE
+
+
 def with_halo(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
     """Adds ``__b`` (block) and ``__own``; the last ``rows`` rows of a block also go to the next one."""
     size = max(BLOCK, 8 * rows)
@@ -48,7 +58,7 @@ def running(df: DataFrame, by: list[Column], parts: dict[str, tuple[str, Column]
     """Adds running values over all earlier rows with equal ``by``.
 
     ``parts``: output name -> (count | sum | min | max, column)."""
-    keys = [f"__k{i}" for i in range(len(by))]
+    keys = [f"__run{i}" for i in range(len(by))]
     x = df.withColumns({k: c for k, c in zip(keys, by)} | {"__b": F.floor(F.col(IDX) / BLOCK)})
     src = {f"__s_{n}": c for n, (_, c) in parts.items()}
     x = x.withColumns(src)
