@@ -226,14 +226,14 @@ class CommonRuns:
         n = parallelism(documents.sparkSession, 1)
         self.documents = documents.select("doc_id", "text", F.length("text").alias("chars"))
         long = self.documents.where(F.col("chars") >= RUN)
-        h = long.select("doc_id", "chars", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+        h = cut(long.select("doc_id", "chars", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2")), "texthash")
         classes = h.groupBy("h1", "h2", "chars").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
         #: members of classes of equal texts
         self.copies = cut(h.join(small(classes), ["h1", "h2", "chars"]).select("doc_id", "rep", "chars"), "copies")
         extra = small(self.copies.where("doc_id <> rep").select("doc_id"))
         texts = long.select("doc_id", "text").join(extra, "doc_id", "left_anti")
         spans = cut(texts.mapInArrow(_spans, _SPAN), "spans")
-        shared = spans.groupBy("fp").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("fp")
+        shared = cut(spans.groupBy("fp").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("fp"), "sharedspans")
         held = spans.join(small(shared, 500_000), "fp").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "pos")).alias("spans"))
         around = texts.join(held, "doc_id").select("doc_id", "text", "spans").mapInArrow(_around, _AROUND)
         found = around.repartition(n, "fp").sortWithinPartitions("fp").mapInArrow(_pairs, _FOUND)
