@@ -171,3 +171,16 @@ def test_hot_groups_give_the_same(eng, monkeypatch, spark):
     monkeypatch.setattr(ordered, "WIDE", 0)
     monkeypatch.setattr(ordered, "BLOCK", 16)
     assert [sorted(map(str, e.search(q, "h").collect())) for q in qs] == plain
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    p = str(tmp_path / "e")
+    spark.createDataFrame(ROWS, S).write.parquet(p)
+    e = Engine(spark, NOW)
+    e.register("p", spark.read.parquet(p), "timestamp", ["id"])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = e.search("id>2 | where a<100 AND id<9 | stats avg(a) by s", "p", 1000)._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("]")[0]
+    for f in ("GreaterThan(id,2)", "LessThan(a,100.0)", "LessThan(id,9)", "GreaterThanOrEqual(timestamp,1000)"):
+        assert f in pushed, pushed
+    assert "n:string" not in plan[plan.index("ReadSchema") :]

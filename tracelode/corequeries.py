@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -10,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions.typing import q
+from tracelode.lang import esdsl
 from tracelode.lang.lex import QueryError
 from tracelode.metrics import otsdb
 from tracelode.metrics.evaluate import Evaluator, labels_text
 from tracelode.operators import groups
 from tracelode.plans.engine import Engine
-from tracelode.session import table
+from tracelode.session import shared_dir, table
 from tracelode.sources import catalog
+from tracelode.streaming import live
 from tracelode.traces import spans as traces
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,7 +166,7 @@ add("transaction_start", pipe("* | transaction user_id startswith=(event_type=si
 
 # ---- generators and combinations --------------------------------------------------------------------
 add("gentimes_cmd", lambda s, d: rounded(engine(s, d).search("| gentimes start=01/01/2024 end=01/08/2024 increment=6h | fields starttime endtime")), "SELECT t AS starttime, t + 21599 AS endtime FROM (SELECT unnest(generate_series(1704067200, 1704672000 - 1, 21600)) AS t)")
-add("inputlookup_cmd", lambda s, d: rounded(engine(s, d).search("| inputlookup nations.csv where n_name=A* | stats count AS n by n_regionkey")), "SELECT n_regionkey, count(*) AS n FROM nation WHERE lower(n_name) LIKE 'a%' GROUP BY n_regionkey")
+add("inputlookup_cmd", lambda s, d: rounded(engine(s, d).search("| inputlookup nations.csv where n_name=nation_1* | stats count AS n by n_regionkey")), "SELECT n_regionkey, count(*) AS n FROM nation WHERE regexp_matches(n_name, '^NATION_1') GROUP BY n_regionkey")
 add("inputlookup_append", pipe("* | stats count AS n | inputlookup append=true regions.csv | fields n r_name"), "SELECT count(*) AS n, NULL AS r_name FROM events UNION ALL SELECT NULL, r_name FROM region")
 add("lookup_cmd", lambda s, d: rounded(engine(s, d).search("* | lookup nations.csv n_nationkey AS c_nationkey OUTPUT n_name AS nation | stats count AS n by nation", "customer")), "SELECT n_name AS nation, count(*) AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 add("append_cmd", lambda s, d: rounded(engine(s, d).search("event_type=click | stats count AS n by event_type | append [_index=nation | stats count AS n by n_regionkey]", "events")), "SELECT event_type, NULL AS n_regionkey, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1 UNION ALL SELECT NULL, n_regionkey, count(*) FROM nation GROUP BY n_regionkey")
@@ -361,6 +364,29 @@ def _alerts(spark: SparkSession, d: str) -> DataFrame:
 add("alert_states", _alerts, f"WITH h AS (SELECT event_type, {MS} // 86400000 * 86400000 AS t, avg(value) > 50 AS hit FROM events GROUP BY 1, 2), n AS (SELECT *, sum(CAST(hit AS INTEGER)) OVER (PARTITION BY event_type ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS k FROM h) SELECT event_type, t, CASE WHEN NOT hit THEN 'Normal' WHEN k = 3 THEN 'Firing' ELSE 'Pending' END AS state FROM n")
 
 
+# ---- streams: drained over what is there; windows and sessions come out once the watermark passed them
+def _stream(make: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        schema = table(spark, d, "events").schema
+        s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        out = make(s.withColumn("ts", F.col("ts").cast("timestamp")))
+        return rounded(live.drain(out, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"))
+
+    return run
+
+
+_ntz = lambda *cs: [F.col(c).cast("timestamp_ntz").alias(c) for c in cs]
+_closed = "SELECT max(ts) - INTERVAL 1 HOUR FROM events"
+add("stream_tail", _stream(lambda s: live.tail(s, "event_type=purchase | where value > 50 | eval twice=value*2 | fields event_id twice")), "SELECT event_id, round(value * 2, 4) AS twice FROM events WHERE event_type = 'purchase' AND value > 50")
+add("stream_windows", _stream(lambda s: live.windowed_stats(s, "ts", "6 hours", "count AS n, sum(value) AS s by event_type", "1 hour").select(*_ntz("window_start"), "event_type", "n", "s")), f"SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 6 HOURS, min(ts), TIMESTAMP '1970-01-01') + INTERVAL 6 HOURS <= ({_closed})")
+add("stream_dedup", _stream(lambda s: live.dedup(s, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type")), "SELECT DISTINCT user_id, event_type FROM events")
+add("stream_sessions", _stream(lambda s: live.sessions(s, "ts", ["user_id"], "4 hours", "1 hour").select(*_ntz("session_start"), "user_id", "eventcount")), f"WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOURS THEN 0 ELSE 1 END AS b FROM events), g AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts, b DESC ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT min(ts) AS session_start, user_id, count(*) AS eventcount FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 4 HOURS <= ({_closed})")
+add("es_multi_match", es({"query": {"multi_match": {"query": "gateway", "fields": ["text", "source"]}}, "aggs": {"s": {"terms": {"field": "source"}}}}, "documents"), f"SELECT source AS s, count(*) AS doc_count FROM documents WHERE regexp_matches(coalesce(text, ''), '(?i){W.format('gateway')}') OR regexp_matches(coalesce(source, ''), '(?i){W.format('gateway')}') GROUP BY 1")
+add("es_by_id", lambda s, d: rounded(esdsl.by_id(engine(s, d), "events", ["3", "17", "none"], "event_id").select("event_id", "value")), "SELECT event_id, round(value, 4) AS value FROM events WHERE event_id IN (3, 17)")
+add("promql_formula", lambda s, d: Evaluator(table(s, d, "metrics"), M0, M1, STEP).formula("a + b", {"a": "sum by (group) (fuel_level_percent)", "b": "sum by (group) (battery_volts)"}).select(labels_text(F.col("labels")).alias("labels"), "ts", F.round("value", 3).alias("value")), _two + f"SELECT {_lab} AS labels, a.ts, round(a.v + b.v, 3) AS value FROM a JOIN b ON a.g IS NOT DISTINCT FROM b.g AND a.ts = b.ts")
+add("promql_instant", lambda s, d: Evaluator(table(s, d, "metrics"), M0, M1, STEP).instant("max by (group) (fuel_level_percent)").select(labels_text(F.col("labels")).alias("labels"), "ts", F.round("value", 3).alias("value")), f"WITH {_points('fuel_level_percent')}, m AS (SELECT {_by} AS labels, ts, max(v) AS v FROM p GROUP BY 1, 2) SELECT labels, max(ts) AS ts, round(max_by(v, ts), 3) AS value FROM m GROUP BY labels")
+
+
 def queries() -> dict[str, Query]:
     return dict(_Q)
 

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
 def q(name: str) -> Column:
     """A column by its exact name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -129,6 +132,11 @@ def compare(a: Val, op: str, b: Val) -> Column:
     if a.is_bool and b.is_bool:
         return f(a.c, b.c)
     if a.is_num and b.is_num:
+        for x, y, turned in ((a, b, False), (b, a, True)):
+            # an integral column against a whole literal: no cast, so that the reader can use it
+            if isinstance(x.t, INTEGRAL) and x.lit is None and isinstance(y.lit, (int, float)) and float(y.lit).is_integer() and abs(y.lit) < 2**53:
+                k = F.lit(int(y.lit))
+                return f(k, x.c) if turned else f(x.c, k)
         return f(as_num(a), as_num(b))
     for x in (a, b):
         if isinstance(x.lit, str) and not is_numeric_text(x.lit):

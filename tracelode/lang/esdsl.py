@@ -31,7 +31,7 @@ def _one(d: dict) -> tuple[str, object]:
 
 def _same(fr: Frame, field: str, v: object, op: str = "=") -> Column:
     x = bind.field(fr, field)
-    return F.lit(False) if x.is_null else F.coalesce(compare(x, op, lit(v)), F.lit(False))
+    return F.lit(False) if x.is_null else compare(x, op, lit(v))
 
 
 def _text(fr: Frame, field: str) -> Column:
@@ -66,15 +66,15 @@ def predicate(fr: Frame, body: dict) -> Column:
         parts: list[Column] = []
         for k in ("must", "filter"):
             parts += [predicate(fr, b) for b in many(spec.get(k, []))]
-        parts += [~predicate(fr, b) for b in many(spec.get("must_not", []))]
+        parts += [~F.coalesce(predicate(fr, b), F.lit(False)) for b in many(spec.get("must_not", []))]
         should = [predicate(fr, b) for b in many(spec.get("should", []))]
         least = int(spec.get("minimum_should_match", 0 if parts else 1)) if should else 0
         if should and least == 1:
             parts.append(_all(should, True))
         elif should and least > 1:
-            total = should[0].cast("int")
-            for s in should[1:]:
-                total = total + s.cast("int")
+            total = F.lit(0)
+            for s in should:
+                total = total + F.coalesce(s, F.lit(False)).cast("int")
             parts.append(total >= least)
         return _all(parts) if parts else F.lit(True)
     if kind == "constant_score":
@@ -128,7 +128,7 @@ def _range(fr: Frame, field: str, arg: dict) -> Column:
         if timed and isinstance(b, str):
             b = timespec.resolve(re.sub(r"\|\|?/?|/(\w)$", r"@\1", b) if "/" in b and b.startswith("now") else b, fr.now) if not re.match(r"\d{4}-", b) else _iso_ms(b)
         x = Val(F.col(TS), T.LongType()) if timed and TS in fr.df.columns else v
-        out.append(F.coalesce(compare(x, op, lit(b)), F.lit(False)))
+        out.append(compare(x, op, lit(b)))
     return _all(out) if out else F.lit(True)
 
 

@@ -58,10 +58,7 @@ class Evaluator:
 
     def query(self, text: str) -> DataFrame:
         """``labels, ts, value`` of a range query; a scalar gives one row a step without labels."""
-        e = P.parse(text)
-        if isinstance(e, P.Selector):  # a bare selector is averaged over its series
-            e = P.Aggregate("avg", e, None, None, None) if False else e
-        v = self.eval(e)
+        v = self.eval(P.parse(text))
         return self.vector(v) if isinstance(v, float) else v
 
     def instant(self, text: str) -> DataFrame:

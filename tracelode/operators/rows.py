@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tracelode.functions import scalar
 from tracelode.functions import typing as ty
 from tracelode.functions.typing import as_mv, as_num, as_str, column, q
-from tracelode.lang import lex, search, timespec
+from tracelode.lang import expr, lex, search, timespec
 from tracelode.lang.lex import QueryError, bare, flag, options, words
 from tracelode.plans import bind
 from tracelode.plans.frame import TS, Frame
@@ -33,7 +33,7 @@ def search_cmd(fr: Frame, s: str, case: bool = False) -> Frame:
 
 
 def where(fr: Frame, s: str) -> Frame:
-    return fr.with_df(fr.df.where(bind.condition(fr, s)))
+    return fr.with_df(fr.df.where(bind.filter_condition(fr, expr.parse(s))))
 
 
 def regex(fr: Frame, s: str) -> Frame:

@@ -113,13 +113,23 @@ def condition(fr: Frame, s: str) -> Column:
     return as_bool(expression(fr, s))
 
 
+def filter_condition(fr: Frame, n: E.Node) -> Column:
+    """Like :func:`condition` for a filter: where no NOT is above, NULL is as good as
+    false, and bare comparisons can be pushed to the reader."""
+    if isinstance(n, E.Op) and n.op in ("and", "or"):
+        a, b = filter_condition(fr, n.args[0]), filter_condition(fr, n.args[1])
+        return a & b if n.op == "and" else a | b
+    v = value(fr, n)
+    return v.c if v.is_bool else as_bool(v)
+
+
 # ---- search clause ------------------------------------------------------------------------------
 def glob(v: str) -> str:
     return "".join(".*" if ch == "*" else re.escape(ch) for ch in v)
 
 
 def clause(fr: Frame, n: object, case_sensitive: bool = False) -> Column:
-    """Two-valued predicate of a parsed search clause (times excepted)."""
+    """Filter predicate of a parsed search clause (times excepted); NULL means false."""
     if isinstance(n, S.And):
         out = clause(fr, n.parts[0], case_sensitive)
         for p in n.parts[1:]:
@@ -137,7 +147,9 @@ def clause(fr: Frame, n: object, case_sensitive: bool = False) -> Column:
     if isinstance(n, S.Term):
         return _anywhere(fr, n, case_sensitive)
     assert isinstance(n, S.Cmp)
-    return F.coalesce(_field_cmp(fr, n, case_sensitive or n.case), F.lit(False))
+    # NOT is at the leaves already, so NULL may stand for false here, and the bare
+    # comparison can reach the reader as a pushed filter
+    return _field_cmp(fr, n, case_sensitive or n.case)
 
 
 def _anywhere(fr: Frame, n: S.Term, case_sensitive: bool) -> Column:
@@ -184,7 +196,7 @@ def _field_cmp(fr: Frame, n: S.Cmp, case: bool) -> Column:
     if v.is_bool and n.value.lower() in ("true", "false"):
         return compare(v, n.op, ty.lit(n.value.lower() == "true"))
     if is_numeric_text(n.value) and (v.is_num or n.op not in ("=", "!=")):
-        return compare(num(as_num(v)), n.op, ty.lit(float(n.value)))
+        return compare(v if v.is_num else num(as_num(v)), n.op, ty.lit(float(n.value)))
     if is_numeric_text(n.value):
         same = F.coalesce(as_num(v) == float(n.value), F.lit(False)) | (low(as_str(v)) == value_)
         return same if n.op == "=" else ~same

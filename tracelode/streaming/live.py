@@ -86,3 +86,10 @@ def to_memory(df: DataFrame, name: str, mode: str = "append", checkpoint: str |
     """A running query into a table in memory, for live views and tests."""
     w = df.writeStream.format("memory").queryName(name).outputMode(mode)
     return (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
+
+
+def drain(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now into Parquet and reads the result: the batch form of a live query."""
+    q = df.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
