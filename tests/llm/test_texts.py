@@ -126,6 +126,12 @@ def test_common_runs_random(spark):
     check(spark, texts)
 
 
+def test_hot_spans_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(spans, "HOT", 0)
+    test_common_runs_random(spark)
+    test_common_runs_exact_bound(spark)
+
+
 def test_common_runs_exact_bound(spark):
     rng = np.random.default_rng(9)
     core = "".join(rng.choice(list("abcdefghijklmnop"), 150))

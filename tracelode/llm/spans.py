@@ -17,7 +17,10 @@ decides exactly - hashes only propose.
 Within the texts that share a span, surroundings are sorted into a prefix tree
 to the left, and below each branch grouped by what follows to the right.  So
 only true pairs are ever enumerated, and only at the first common span of
-their run.  Equal texts are reduced to one representative beforehand and come
+their run.  A span in more than ``HOT`` places (boilerplate, ruled lines) is not
+gathered: its places are spread by how many characters to the left agree, with
+the characters that must then agree to the right, so that a task sees only
+places which do form runs with each other.  Equal texts are reduced to one representative beforehand and come
 back at the end.
 
 Defined results: NULL texts and texts below RUN characters have no runs; equal
@@ -46,6 +49,8 @@ RUN, GRAM = 150, 64
 WINDOW = RUN - GRAM + 1
 _LEFT = RUN - GRAM + 1  # one more than a run needs: tells whether an earlier span exists
 _PIECE = 4_000_000
+#: Places of one span that a single task may gather.
+HOT = 20_000
 _POS_BITS = 24
 _MASK = np.uint64((1 << _POS_BITS) - 1)
 
@@ -112,19 +117,19 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(ids, offsets, texts)
 
 
-_AROUND = "fp bigint, doc_id bigint, pos bigint, before string, after string"
+_AROUND = "fp bigint, doc_id bigint, pos bigint, before string, after string, hot boolean"
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shared spans with their surroundings; ``before`` runs backwards from the span."""
     for b in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for doc, text, spans in zip(*(c.to_pylist() for c in b.columns)):
             for s in spans:
                 p = s["pos"]
-                for c, v in zip(out, (s["fp"], doc, p, text[max(0, p - _LEFT) : p][::-1], text[p : p + RUN])):
+                for c, v in zip(out, (s["fp"], doc, p, text[max(0, p - _LEFT) : p][::-1], text[p : p + RUN], s["hot"])):
                     c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["fp", "doc_id", "pos", "before", "after"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()))], names=["fp", "doc_id", "pos", "before", "after", "hot"])
 
 
 def _common(a: str, b: str) -> int:
@@ -198,6 +203,16 @@ def group_runs(rows: list[Row]) -> tuple[set[tuple[int, int]], list[tuple[int, i
     return pairs, stretches
 
 
+def _spread(around: DataFrame) -> DataFrame:
+    """Groups of a hot span by (characters agreeing left, what must agree then)."""
+    left = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(_LEFT - 1))).otherwise(F.array(F.lit(-1))))
+    x = around.withColumn("l", left)
+    need = F.greatest(F.lit(RUN) - F.col("l"), F.lit(GRAM))
+    x = x.where((F.col("l") < 0) | ((F.length("before") >= F.col("l")) & (F.length("after") >= need)))
+    key = F.xxhash64("fp", "l", F.substring(F.col("before"), F.lit(1), F.col("l")), F.substring(F.col("after"), F.lit(1), need))
+    return x.select(F.when(F.col("l") < 0, F.col("fp")).otherwise(key).alias("fp"), "doc_id", "pos", "before", "after")
+
+
 _FOUND = "a bigint, b bigint, start bigint, end bigint"
 
 
@@ -233,10 +248,10 @@ class CommonRuns:
         extra = small(self.copies.where("doc_id <> rep").select("doc_id"))
         texts = long.select("doc_id", "text").join(extra, "doc_id", "left_anti")
         spans = cut(texts.mapInArrow(_spans, _SPAN), "spans")
-        shared = cut(spans.groupBy("fp").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("fp"), "sharedspans")
-        held = spans.join(small(shared, 500_000), "fp").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "pos")).alias("spans"))
+        shared = cut(spans.groupBy("fp").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n")).where("x <> y").select("fp", (F.col("n") > HOT).alias("hot")), "sharedspans")
+        held = spans.join(small(shared, 500_000), "fp").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "pos", "hot")).alias("spans"))
         around = texts.join(held, "doc_id").select("doc_id", "text", "spans").mapInArrow(_around, _AROUND)
-        found = around.repartition(n, "fp").sortWithinPartitions("fp").mapInArrow(_pairs, _FOUND)
+        found = _spread(around).repartition(n, "fp").sortWithinPartitions("fp").mapInArrow(_pairs, _FOUND)
         self.found = cut(found, "runs")
 
     def pairs(self) -> DataFrame:
