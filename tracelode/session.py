@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -47,6 +48,25 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def sweep() -> None:
+    """Deletes the tables that :func:`cut` wrote; results that still read them become unusable.
+
+    Runs by itself when the driver's Python ends; long-lived sessions may call it between queries."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may be gone, and its folder with it
+            return
+
+
+atexit.register(sweep)
+
+
 def cut(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -54,6 +74,7 @@ def cut(df: DataFrame, label: str = "t") -> DataFrame:
     computed; the files outlive lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
