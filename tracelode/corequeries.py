@@ -81,7 +81,7 @@ add("search_phrase", pipe('"same here" NOT TERM(gateway) | stats count AS n', "d
 add("search_time_range", pipe("earliest=01/05/2024:00:00:00 latest=01/10/2024:12:00:00 | stats count AS n"), "SELECT count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-10 12:00:00'")
 add("search_relative_time", pipe("earliest=-20d@d latest=@mon+15d | stats count AS n, min(value) AS lo"), "SELECT count(*) AS n, round(min(value), 4) AS lo FROM events WHERE ts >= TIMESTAMP '2024-01-12' AND ts < TIMESTAMP '2024-02-16'")
 add("search_regex", pipe('regex event_type="^(pur|sig)" | stats count AS n by event_type'.join(["* | ", ""])), "SELECT event_type, count(*) AS n FROM events WHERE regexp_matches(event_type, '^(pur|sig)') GROUP BY event_type")
-add("search_index", lambda s, d: rounded(engine(s, d).search("_index=na*ion | stats count AS n by n_regionkey")), "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+add("search_index", lambda s, d: rounded(engine(s, d).search("_index=na*ion | stats count AS n by n_regionkey")), "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
 
 # ---- projections and fields ------------------------------------------------------------------------
 add("where_cmd", pipe('* | where value > 50 AND event_type != "click" OR user_id < 3 | stats count AS n by event_type'), "SELECT event_type, count(*) AS n FROM events WHERE (value > 50 AND event_type <> 'click') OR user_id < 3 GROUP BY event_type")
@@ -166,13 +166,13 @@ add("transaction_start", pipe("* | transaction user_id startswith=(event_type=si
 
 # ---- generators and combinations --------------------------------------------------------------------
 add("gentimes_cmd", lambda s, d: rounded(engine(s, d).search("| gentimes start=01/01/2024 end=01/08/2024 increment=6h | fields starttime endtime")), "SELECT t AS starttime, t + 21599 AS endtime FROM (SELECT unnest(generate_series(1704067200, 1704672000 - 1, 21600)) AS t)")
-add("inputlookup_cmd", lambda s, d: rounded(engine(s, d).search("| inputlookup nations.csv where n_name=nation_1* | stats count AS n by n_regionkey")), "SELECT n_regionkey, count(*) AS n FROM nation WHERE regexp_matches(n_name, '^NATION_1') GROUP BY n_regionkey")
+add("inputlookup_cmd", lambda s, d: rounded(engine(s, d).search("| inputlookup nations.csv where n_name=nation_1* | stats count AS n by n_regionkey")), "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, count(*) AS n FROM nation WHERE regexp_matches(n_name, '^NATION_1') GROUP BY n_regionkey")
 add("inputlookup_append", pipe("* | stats count AS n | inputlookup append=true regions.csv | fields n r_name"), "SELECT count(*) AS n, NULL AS r_name FROM events UNION ALL SELECT NULL, r_name FROM region")
 add("lookup_cmd", lambda s, d: rounded(engine(s, d).search("* | lookup nations.csv n_nationkey AS c_nationkey OUTPUT n_name AS nation | stats count AS n by nation", "customer")), "SELECT n_name AS nation, count(*) AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
-add("append_cmd", lambda s, d: rounded(engine(s, d).search("event_type=click | stats count AS n by event_type | append [_index=nation | stats count AS n by n_regionkey]", "events")), "SELECT event_type, NULL AS n_regionkey, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1 UNION ALL SELECT NULL, n_regionkey, count(*) FROM nation GROUP BY n_regionkey")
+add("append_cmd", lambda s, d: rounded(engine(s, d).search("event_type=click | stats count AS n by event_type | append [_index=nation | stats count AS n by n_regionkey]", "events")), "SELECT event_type, NULL AS n_regionkey, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1 UNION ALL SELECT NULL, CAST(n_regionkey AS BIGINT), count(*) FROM nation GROUP BY n_regionkey")
 add("format_cmd", lambda s, d: engine(s, d).search("* | sort r_regionkey | fields r_name | head 2 | format", "region"), "SELECT '( ' || string_agg('( r_name=\"' || r_name || '\" )', ' OR ' ORDER BY r_regionkey) || ' )' AS search FROM (SELECT * FROM region ORDER BY r_regionkey LIMIT 2)")
 add("eventcount_cmd", pipe("* | eventcount"), " UNION ALL ".join(f"SELECT '{t}' AS index, count(*) AS count FROM {t}" for t in _TABLES))
-add("filldown_cmd", pipe("* | eval x=if(value>80, event_id, null()) | filldown x | fields event_id x"), f"SELECT event_id, CAST(last_value(CASE WHEN value > 80 THEN event_id END IGNORE NULLS) OVER ({ORD} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS x FROM events")
+add("filldown_cmd", pipe("* | eval x=if(value>80, event_id, null()) | filldown x | fields event_id x"), f"SELECT event_id, CAST(last_value(CASE WHEN value > 80 THEN event_id END IGNORE NULLS) OVER ({ORD} ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS x FROM events")
 
 
 # ---- scalar functions --------------------------------------------------------------------------------
