@@ -225,11 +225,12 @@ add("es_query_string", es({"query": {"query_string": {"query": "event_type:purch
 
 # ---- metrics -------------------------------------------------------------------------------------------
 M0, M1, STEP = 1_609_632_000, 1_609_632_000 + 10 * 86_400, 3_600
+WHOLE = M0 + 14 * 86_400  # behind the last row of metrics; M1 leaves out its last four days
 
 
 def prom(text: str, step: int = STEP, places: int = 3) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        v = Evaluator(table(spark, d, "metrics"), M0, M1, step).query(text)
+    def run(spark: SparkSession, d: str, end: int = M1) -> DataFrame:
+        v = Evaluator(table(spark, d, "metrics"), M0, end, step).query(text)
         return v.select(labels_text(F.col("labels")).alias("labels"), "ts", (F.round("value", places) + 0.0).alias("value"))
 
     return run
@@ -310,8 +311,8 @@ add("promql_histogram_quantile", _histogram, "WITH m AS (SELECT \"timestamp\" //
 
 
 def _otsdb(text: str) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        v = otsdb.query(table(spark, d, "metrics"), text, M0, M1)
+    def run(spark: SparkSession, d: str, end: int = M1) -> DataFrame:
+        v = otsdb.query(table(spark, d, "metrics"), text, M0, end)
         return v.select(labels_text(F.col("tags")).alias("tags"), "ts", F.round("value", 3).alias("value"))
 
     return run
@@ -319,6 +320,21 @@ def _otsdb(text: str) -> Query:
 
 add("otsdb_downsample", _otsdb("sum:1h-avg:fuel_level_percent{group=*}"), f"WITH p AS (SELECT tags['group'] AS g, list_sort(map_entries(tags)) AS s, \"timestamp\" // 3600 * 3600 AS ts, avg(value) AS v FROM metrics WHERE regexp_replace(metric, '[^A-Za-z0-9_]', '_', 'g') = 'fuel_level_percent' AND value IS NOT NULL AND NOT isnan(value) AND \"timestamp\" BETWEEN {M0} AND {M1} AND tags['group'] IS NOT NULL GROUP BY 1, 2, 3) SELECT 'group=' || g AS tags, ts, round(sum(v), 3) AS value FROM p GROUP BY 1, 2")
 add("otsdb_filter", _otsdb("max:6h-max:speed_kmh{fuel_type=diesel|petrol}"), f"SELECT 'fuel_type=' || tags['fuel_type'] AS tags, \"timestamp\" // 21600 * 21600 AS ts, round(max(value), 3) AS value FROM metrics WHERE regexp_replace(metric, '[^A-Za-z0-9_]', '_', 'g') = 'speed_kmh' AND value IS NOT NULL AND NOT isnan(value) AND \"timestamp\" BETWEEN {M0} AND {M1} AND tags['fuel_type'] IN ('diesel', 'petrol') GROUP BY 1, 2")
+
+
+def _whole(name: str, run: Query, sql: str | None) -> None:
+    """The query over all rows of the table, beside the one over M0..M1."""
+    add(f"{name}_whole", partial(run, end=WHOLE), sql and sql.replace(str(M1), str(WHOLE)))
+
+
+for _f, _s in _agg_f.items():
+    _whole(f"promql_{_f}", prom(f"max({_f}(battery_volts))"), f"WITH {_points('battery_volts')} SELECT '' AS labels, ts, round(max({_s}), 3) AS value FROM p GROUP BY ts")
+for _n in [n for n in _Q if n.startswith(("promql_", "otsdb_")) and n != "promql_histogram_quantile" and f"{n}_whole" not in _Q and not n.endswith("_whole")]:
+    _whole(_n, _Q[_n], _SQL.get(_n))
+for _f, _s in {"avg": "avg(v)", "max": "max(v)", "count": "CAST(count(v) AS DOUBLE)"}.items():
+    _whole(f"promql_hot_{_f}_by", prom(f"{_f} by (group) (bus_load_percent)"), f"WITH {_points('bus_load_percent')} SELECT {_by} AS labels, ts, round({_s}, 3) AS value FROM p GROUP BY 1, 2")
+_whole("promql_hot_idelta", prom("sum(idelta(bus_load_percent[6h]))"), f"WITH {_points('bus_load_percent', back=21600)}, q AS ({_pair}) SELECT '' AS labels, ts, round(sum(v - pv), 3) AS value FROM q WHERE ts - pt <= 21600 AND ts >= {M0} GROUP BY ts")
+_whole("promql_hot_stddev_over_time", prom("sum by (group) (stddev_over_time(bus_load_percent[6h]))", places=2), f"WITH {_points('bus_load_percent', back=21600)}, q AS (SELECT s, ts, stddev_pop(v) OVER w AS x FROM p {_win}) SELECT {_by} AS labels, ts, round(sum(x), 2) + 0.0 AS value FROM q WHERE x IS NOT NULL AND ts >= {M0} GROUP BY 1, 2")
 _cat = lambda f: lambda s, d: f(table(s, d, "metrics"))
 add("catalog_metric_names", _cat(catalog.metric_names), "SELECT DISTINCT metric FROM metrics")
 add("catalog_tag_keys", _cat(catalog.tag_keys), "SELECT DISTINCT unnest(map_keys(tags)) AS key FROM metrics")
@@ -383,8 +399,10 @@ add("stream_dedup", _stream(lambda s: live.dedup(s, ["user_id", "event_type"], "
 add("stream_sessions", _stream(lambda s: live.sessions(s, "ts", ["user_id"], "4 hours", "1 hour").select(*_ntz("session_start"), "user_id", "eventcount")), f"WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOURS THEN 0 ELSE 1 END AS b FROM events), g AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts, b DESC ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT min(ts) AS session_start, user_id, count(*) AS eventcount FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 4 HOURS <= ({_closed})")
 add("es_multi_match", es({"query": {"multi_match": {"query": "gateway", "fields": ["text", "source"]}}, "aggs": {"s": {"terms": {"field": "source"}}}}, "documents"), f"SELECT source AS s, count(*) AS doc_count FROM documents WHERE regexp_matches(coalesce(text, ''), '(?i){W.format('gateway')}') OR regexp_matches(coalesce(source, ''), '(?i){W.format('gateway')}') GROUP BY 1")
 add("es_by_id", lambda s, d: rounded(esdsl.by_id(engine(s, d), "events", ["3", "17", "none"], "event_id").select("event_id", "value")), "SELECT event_id, round(value, 4) AS value FROM events WHERE event_id IN (3, 17)")
-add("promql_formula", lambda s, d: Evaluator(table(s, d, "metrics"), M0, M1, STEP).formula("a + b", {"a": "sum by (group) (fuel_level_percent)", "b": "sum by (group) (battery_volts)"}).select(labels_text(F.col("labels")).alias("labels"), "ts", F.round("value", 3).alias("value")), _two + f"SELECT {_lab} AS labels, a.ts, round(a.v + b.v, 3) AS value FROM a JOIN b ON a.g IS NOT DISTINCT FROM b.g AND a.ts = b.ts")
-add("promql_instant", lambda s, d: Evaluator(table(s, d, "metrics"), M0, M1, STEP).instant("max by (group) (fuel_level_percent)").select(labels_text(F.col("labels")).alias("labels"), "ts", F.round("value", 3).alias("value")), f"WITH {_points('fuel_level_percent')}, m AS (SELECT {_by} AS labels, ts, max(v) AS v FROM p GROUP BY 1, 2) SELECT labels, max(ts) AS ts, round(max_by(v, ts), 3) AS value FROM m GROUP BY labels")
+add("promql_formula", lambda s, d, end=M1: Evaluator(table(s, d, "metrics"), M0, end, STEP).formula("a + b", {"a": "sum by (group) (fuel_level_percent)", "b": "sum by (group) (battery_volts)"}).select(labels_text(F.col("labels")).alias("labels"), "ts", F.round("value", 3).alias("value")), _two + f"SELECT {_lab} AS labels, a.ts, round(a.v + b.v, 3) AS value FROM a JOIN b ON a.g IS NOT DISTINCT FROM b.g AND a.ts = b.ts")
+add("promql_instant", lambda s, d, end=M1: Evaluator(table(s, d, "metrics"), M0, end, STEP).instant("max by (group) (fuel_level_percent)").select(labels_text(F.col("labels")).alias("labels"), "ts", F.round("value", 3).alias("value")), f"WITH {_points('fuel_level_percent')}, m AS (SELECT {_by} AS labels, ts, max(v) AS v FROM p GROUP BY 1, 2) SELECT labels, max(ts) AS ts, round(max_by(v, ts), 3) AS value FROM m GROUP BY labels")
+for _n in ("promql_formula", "promql_instant"):
+    _whole(_n, _Q[_n], _SQL[_n])
 
 
 def queries() -> dict[str, Query]:
