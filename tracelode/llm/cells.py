@@ -112,6 +112,49 @@ def _sorted_merge(merge: Callable[[list[bytes]], bytes]) -> Callable:
     return run
 
 
+def roll_tags(states: DataFrame, merge: Callable[[list[bytes]], bytes]) -> DataFrame:
+    """Merged cells with their coarser ones, tag by tag; no tag is merged into another or into the
+    cells without tag, as the rows of several tags are the same.  Each cell is shuffled once; a task
+    holds the days and metrics of one tag, their finest cells go out as they come."""
+    n = parallelism(states.sparkSession, 1)
+    return states.repartition(n, "tag").sortWithinPartitions("tag").mapInArrow(_tag_roller(merge), SCHEMA)
+
+
+def _tag_roller(merge: Callable[[list[bytes]], bytes]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, coarse = None, {}
+        out: dict[tuple, bytes] = {}
+        size = 0
+
+        def put(key: tuple, state: bytes) -> None:
+            nonlocal size
+            out[key] = state
+            size += len(state)
+
+        for b in batches:
+            *keys, states = (c.to_pylist() for c in b.columns)
+            for kind, sets, day, metric, tag, s in zip(*keys, states):
+                if tag != last:
+                    for k, v in coarse.items():
+                        put(k, merge(v))
+                    last, coarse = tag, {}
+                put((kind, sets, day, metric, tag), s)
+                by_tag = sets & BY_TAG
+                for k in ((kind, BY_DAY | by_tag, day, None, tag), (kind, BY_METRIC | by_tag, None, metric, tag), (kind, by_tag, None, None, tag)):
+                    got = coarse.setdefault(k, [])
+                    got.append(s)
+                    if len(got) >= 16:
+                        coarse[k] = [merge(got)]
+                if len(out) >= 2048 or size > 16_000_000:
+                    yield from emit(out)
+                    out, size = {}, 0
+        for k, v in coarse.items():
+            put(k, merge(v))
+        yield from emit(out)
+
+    return run
+
+
 def describe(cells: DataFrame) -> DataFrame:
     """Readable columns: which dimensions a row is split by, and their values."""
     by = lambda bit: (F.col("sets").bitwiseAND(bit) != 0)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.functions.series import metric_name
+from tracelode.functions.series import metric_name, tag_entries
 from tracelode.llm import cells as C
 from tracelode.llm.distinct import _mix
 
@@ -38,6 +38,7 @@ BITS, EXACT, DEPTH, WIDTH, SPARSE = 26, 12, 5, 512, 4096
 LEVELS = BITS - EXACT  # level l has ranges of 2^l codes, 0 <= l < LEVELS
 _SIZE = (1 << EXACT) + LEVELS * DEPTH * WIDTH
 _CHUNK, _MOST_BYTES = 200_000, 48_000_000
+_CELL_BYTES, SEP = 500, "\x01"  # what a cell takes beside its state; what stands between key and value of a tag
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
@@ -192,11 +193,98 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from C.emit({k: merge(v) for k, v in cells.items()})
 
 
-def metric_values(metrics: DataFrame, tag: str = "group") -> DataFrame:
+def _build_tags(absent: tuple[str, ...]):
+    """As ``_build``, for rows with all their tags: each row counts once in its cell without
+    tag and once in that of each of its tags, named ``key SEP value``; rows that lack a key of
+    ``absent`` count in its cell without value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[tuple, list[bytes]] = {}
+        size = 0
+
+        def put(key: tuple, state: bytes) -> None:
+            nonlocal size
+            got = cells.get(key)
+            if got is None:
+                cells[key] = got = []
+                size += _CELL_BYTES
+            got.append(state)
+            size += len(state)
+            if len(got) >= 8:
+                size -= sum(map(len, got))
+                cells[key] = got = [merge(got)]
+                size += len(got[0])
+
+        def states(cell: np.ndarray, code: np.ndarray) -> Iterator[tuple[int, bytes]]:
+            u, w = np.unique((cell << BITS) + code, return_counts=True)
+            owner = u >> BITS
+            code = u & ((1 << BITS) - 1)
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(u) else np.zeros(0, np.int64)
+            for c, a, b in zip(owner[first].tolist(), first.tolist(), [*first[1:].tolist(), len(u)]):
+                yield c, pack(code[a:b], w[a:b])
+
+        def work(held: list[pa.RecordBatch]) -> None:
+            t = pa.Table.from_batches(held)
+            row, names = C.factor([t.column(c).combine_chunks() for c in ("day", "metric")])
+            code = encode(t.column("value").to_numpy())
+            for c, s in states(row, code):
+                put((0, C.BY_DAY | C.BY_METRIC, *names[c], None), s)
+            lists = t.column("tags").combine_chunks()
+            of = np.repeat(np.arange(len(row)), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            key, tags = C.factor([flat.field(0), flat.field(1)])
+            for k in absent:
+                ids = [i for i, x in enumerate(tags) if x[0] == k]
+                lack = np.ones(len(row), bool)
+                lack[of[np.isin(key, ids)]] = False
+                of = np.concatenate([of, np.flatnonzero(lack)])
+                key = np.concatenate([key, np.full(lack.sum(), len(tags))])
+                tags.append((k, ""))
+            text = [k + SEP + v for k, v in tags]
+            for c, s in states(row[of] * len(text) + key, code[of]):
+                put((0, C.ALL_SETS, *names[c // len(text)], text[c % len(text)]), s)
+
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= _CHUNK:
+                work(held)
+                held, n = [], 0
+                if size > _MOST_BYTES:
+                    yield from C.emit({k: merge(v) for k, v in cells.items()})
+                    cells, size = {}, 0
+        if n:
+            work(held)
+        yield from C.emit({k: merge(v) for k, v in cells.items()})
+
+    return run
+
+
+def tagged_values(metrics: DataFrame) -> DataFrame:
+    """``day, metric, value, tags`` of the rows with a value, with all tags as they count for series."""
+    return metric_values(metrics.withColumn("__e", tag_entries(F.col("tags"))), keep=("__e",)).select("day", "metric", "value", F.col("__e").alias("tags"))
+
+
+def tag_sketches(values: DataFrame, absent: tuple[str, ...] = ("group",)) -> DataFrame:
+    """Partial results: one mergeable state a (day, metric) and a (day, metric, tag key, tag value)."""
+    return C.merge_cells(values.mapInArrow(_build_tags(absent), C.SCHEMA), merge)
+
+
+def tag_rollup(states: DataFrame) -> DataFrame:
+    return C.roll_tags(states, merge)
+
+
+def tag_columns(cells: DataFrame) -> DataFrame:
+    """``tag`` parted into ``key`` and ``tag`` (NULL: rows without that key)."""
+    return cells.withColumns({"key": F.expr(f"left(tag, instr(tag, '{SEP}') - 1)"), "tag": F.nullif(F.expr(f"substring(tag, instr(tag, '{SEP}') + 1)"), F.lit(""))})
+
+
+def metric_values(metrics: DataFrame, tag: str = "group", keep: tuple[str, ...] = ()) -> DataFrame:
     """``day, metric, tag, value`` of the rows with a value that is neither NULL nor NaN."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("timestamp") / 86_400).cast("int"))
     m = metrics.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return m.select(day.alias("day"), metric_name(F.col("metric")).alias("metric"), F.nullif(F.col("tags")[tag], F.lit("")).alias("tag"), "value")
+    return m.select(day.alias("day"), metric_name(F.col("metric")).alias("metric"), F.nullif(F.col("tags")[tag], F.lit("")).alias("tag"), "value", *keep)
 
 
 def sketches(values: DataFrame) -> DataFrame:
@@ -213,14 +301,41 @@ def rollup(states: DataFrame) -> DataFrame:
 _OUT = "sets int, day date, metric string, tag string, n bigint, rank_error double, q double, value double"
 
 
+def _sparse_quantiles(states: list[bytes], qs: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and values of many lossless states without deletions at once."""
+    n = np.array([(len(s) - 1) // 16 for s in states], np.int64)
+    all_ = np.frombuffer(b"".join(s[1:] for s in states), np.int64)
+    end = np.cumsum(n)
+    at = np.arange(n.sum()) + np.repeat(end - n, n)
+    code, cum = all_[at], np.concatenate([[0], np.cumsum(all_[at + np.repeat(n, n)])])
+    before = cum[end - n]
+    total = cum[end] - before
+    want = np.clip(np.ceil(np.array(qs) * total[:, None]), 1, np.maximum(total, 1)[:, None])
+    pos = np.minimum(np.searchsorted(cum[1:], before[:, None] + want), np.maximum(end - 1, 0)[:, None])
+    return total, np.where(total[:, None] > 0, decode(code[pos]), np.nan) if len(code) else np.full(want.shape, np.nan)
+
+
+def _plain(state: bytes) -> bool:
+    """Lossless, and without deletions that are still to be merged."""
+    return state[:1] == b"s" and (len(state) == 17 or not (np.frombuffer(state, np.int64, offset=1)[(len(state) - 1) // 16 :] < 0).any())
+
+
 def _read(qs: tuple[float, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             states = b.column("state").to_pylist()
             per = np.repeat(np.arange(len(states)), len(qs))
             keys = [b.column(c).take(pa.array(per)) for c in ("sets", "day", "metric", "tag")]
-            ns, es = np.array([count(s) for s in states], np.int64), np.array([rank_error(s) for s in states], float)
-            vals = np.concatenate([quantiles(s, qs) if count(s) else np.full(len(qs), np.nan) for s in states]) if states else np.zeros(0)
+            ns, es, vals = np.zeros(len(states), np.int64), np.zeros(len(states)), np.full((len(states), len(qs)), np.nan)
+            plain = np.array([_plain(s) for s in states], bool)
+            many = np.flatnonzero(plain)
+            if len(many):
+                ns[many], vals[many] = _sparse_quantiles([states[i] for i in many], qs)
+            for i in np.flatnonzero(~plain):
+                ns[i], es[i] = count(states[i]), rank_error(states[i])
+                if ns[i]:
+                    vals[i] = quantiles(states[i], qs)
+            vals = vals.reshape(-1)
             yield pa.RecordBatch.from_arrays([*keys, pa.array(ns[per] if len(per) else ns), pa.array(es[per] if len(per) else es), pa.array(np.tile(qs, len(states)).astype(float)), pa.array(vals)], names=["sets", "day", "metric", "tag", "n", "rank_error", "q", "value"])
 
     return run

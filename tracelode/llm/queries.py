@@ -24,8 +24,12 @@ def p3_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of value per metric, group, UTC day and all combinations."""
-    return quantiles.percentiles(quantiles.rollup(quantiles.sketches(quantiles.metric_values(table(spark, sf_dir, "metrics")))))
+    """Percentiles of value per metric, UTC day, each tag (key and value) and all combinations."""
+    return quantiles.tag_columns(quantiles.percentiles(_tag_cells(spark, sf_dir)))
+
+
+def _tag_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.tag_rollup(quantiles.tag_sketches(quantiles.tagged_values(table(spark, sf_dir, "metrics"))))
 
 
 def p7_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +38,12 @@ def p7_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("by_day", "by_metric", "by_tag", F.col("day").cast("string").alias("day"), "metric", "tag", "n")
 
 
+def p7_tag_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of values of every cell of ``p7_percentiles``."""
+    p = quantiles.tag_columns(quantiles.percentiles(_tag_cells(spark, sf_dir), (0.5,)))
+    return p.select("by_day", "by_metric", "by_tag", F.col("day").cast("string").alias("day"), "metric", "key", "tag", "n")
+
+
 def _sizes(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     return tokens.token_sizes(table(spark, sf_dir, "documents"), *keep)
 
@@ -87,7 +97,7 @@ def p10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = "p3_distinct_counts p3_partials p7_percentiles p7_value_counts p8_containers p8_fill p9_mixture p9_shares p9_curriculum p10_found p10_shared p10_stretches p10_sentence_spans"
+    names = "p3_distinct_counts p3_partials p7_percentiles p7_value_counts p7_tag_value_counts p8_containers p8_fill p9_mixture p9_shares p9_curriculum p10_found p10_shared p10_stretches p10_sentence_spans"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -102,4 +112,18 @@ SELECT grouping(day) = 0 AS by_day, grouping(metric) = 0 AS by_metric, grouping(
        day, metric, tag, count(*) AS n
 FROM v GROUP BY CUBE (day, metric, tag)
 """
-    return {"p7_value_counts": cells}
+    tag_cells = r"""
+WITH v AS (
+  SELECT CAST(DATE '1970-01-01' + CAST(floor("timestamp" / 86400.0) AS INTEGER) AS VARCHAR) AS day,
+         regexp_replace(metric, '[^A-Za-z0-9_]', '_', 'g') AS metric, tags
+  FROM metrics WHERE value IS NOT NULL AND NOT isnan(value)),
+u AS (SELECT day, metric, unnest(map_entries(tags)) AS e FROM v),
+t AS (SELECT day, metric, e.key AS key, nullif(CASE WHEN e.key = 'client' THEN lower(trim(e.value)) ELSE e.value END, '') AS tag FROM u),
+w AS (SELECT day, metric, key, tag FROM t WHERE tag IS NOT NULL
+  UNION ALL SELECT day, metric, 'group', NULL FROM v WHERE coalesce(tags['group'], '') = '')
+SELECT grouping(day) = 0 AS by_day, grouping(metric) = 0 AS by_metric, true AS by_tag, day, metric, key, tag, count(*) AS n
+FROM w GROUP BY GROUPING SETS ((day, metric, key, tag), (day, key, tag), (metric, key, tag), (key, tag))
+UNION ALL
+SELECT grouping(day) = 0, grouping(metric) = 0, false, day, metric, NULL, NULL, count(*) FROM v GROUP BY CUBE (day, metric)
+"""
+    return {"p7_value_counts": cells, "p7_tag_value_counts": tag_cells}
