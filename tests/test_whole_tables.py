@@ -28,3 +28,20 @@ def test_window_covers_the_given_tables(spark, sf):
         pytest.skip("no test data")
     lo, hi = spark.read.parquet(path).selectExpr("min(timestamp)", "max(timestamp)").first()
     assert cq.M0 <= lo and hi <= cq.WHOLE
+
+
+def test_timechart_limit_counts_every_line(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    rows = [(i, 1, "NRA"[i % 3 if i % 4 else 0], datetime(1995, 1, 2) + timedelta(days=i * 2499 // 299)) for i in range(300)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_returnflag string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = cq.queries()["timechart_limit"](spark, str(tmp_path)).toPandas().fillna(0).set_index("timestamp")
+    start, width, want = 789_004_800_000, 5 * 86_400_000, {}
+    for _, _, k, t in rows:
+        ms = min(max(int((t - datetime(1970, 1, 1)).total_seconds() * 1000), start), 10**15)
+        at = start + (ms - start) // width * width
+        col = "N" if k == "N" else "other"
+        want[at, col] = want.get((at, col), 0) + 1
+    assert sorted(got.columns) == ["N", "other"]
+    assert {(int(t), c): int(n) for t, r in got.iterrows() for c, n in r.items() if n} == want
+    assert got.to_numpy().sum() == len(rows)

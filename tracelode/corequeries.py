@@ -129,7 +129,7 @@ add("rare_cmd", pipe("* | rare event_type percentfield=p"), f"SELECT event_type,
 add("timechart_cmd", pipe("* | timechart span=1d count AS n, avg(value) AS mean", start=DAY0, end=DAY30), f"SELECT {DAY0} + ({MS} - {DAY0}) // 86400000 * 86400000 AS timestamp, count(*) AS n, round(avg(value), 4) AS mean FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' GROUP BY 1")
 _types = "click error purchase signup view".split()
 add("timechart_by", pipe("* | timechart span=1d sum(value) by event_type", start=DAY0, end=DAY30), f"SELECT {DAY0} + ({MS} - {DAY0}) // 86400000 * 86400000 AS timestamp, " + ", ".join(f"round(sum(value) FILTER (event_type = '{t}'), 4) AS {t}" for t in _types) + " FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' GROUP BY 1")
-add("timechart_limit", pipe("* | timechart span=5d count by l_returnflag limit=top 1", "lineitem", 694_224_000_000, 915_148_800_000), None)
+add("timechart_limit", pipe("* | timechart span=5d count by l_returnflag limit=top 1", "lineitem"), None)
 add("timechart_default_span", pipe("* | timechart count AS n", start=DAY0, end=DAY30), f"SELECT {DAY0} + ({MS} - {DAY0}) // 86400000 * 86400000 AS timestamp, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' GROUP BY 1")
 
 
