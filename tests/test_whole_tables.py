@@ -45,3 +45,16 @@ def test_timechart_limit_counts_every_line(spark, tmp_path):
     assert sorted(got.columns) == ["N", "other"]
     assert {(int(t), c): int(n) for t, r in got.iterrows() for c, n in r.items() if n} == want
     assert got.to_numpy().sum() == len(rows)
+
+
+def test_stats_list_takes_all_events_in_time_order(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta
+
+    rnd = random.Random(2)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=rnd.randrange(400)), rnd.choice([1, 1, 1, 5, 9]), rnd.choice(["click", "view", "signup"]), i + 0.5) for i in range(600)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    first = lambda k, at, v: ",".join(str(r[v]) for r in sorted((r for r in rows if r[at] == k), key=lambda r: (r[1], str(r[v])))[:100])
+    for name, key, at, v in (("stats_list_by_user", "user_id", 2, 3), ("stats_list_by_type", "event_type", 3, 3), ("stats_list_values", "event_type", 3, 4)):
+        got = {r[key]: r["l"] for r in cq.queries()[name](spark, str(tmp_path)).collect()}
+        assert got == {k: first(k, at, v) for k in {r[at] for r in rows}}, name

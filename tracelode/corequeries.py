@@ -111,6 +111,9 @@ add("stats_spread", pipe("* | stats var(value) AS v, varp(value) AS vp, stdev(va
 add("stats_percentiles", pipe("* | stats perc95(value) AS p95, p10(value) AS p10, median(value) AS m, exactperc99.5(value) AS p995 by event_type"), "SELECT event_type, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.1), 4) AS p10, round(median(value), 4) AS m, round(quantile_cont(value, 0.995), 4) AS p995 FROM events GROUP BY event_type")
 add("stats_values", pipe("* | stats values(event_type) AS v by user_id"), "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS v FROM events GROUP BY user_id")
 add("stats_list", pipe("event_type=signup user_id<3 | stats list(event_type) AS l by user_id"), "SELECT user_id, array_to_string(list(event_type)[1:100], ',') AS l FROM events WHERE event_type = 'signup' AND user_id < 3 GROUP BY user_id")
+for _n, _k in (("stats_list_by_user", "user_id"), ("stats_list_by_type", "event_type")):
+    add(_n, pipe(f"* | stats list(event_type) AS l by {_k}"), f"SELECT {_k}, array_to_string(list(event_type ORDER BY {MS}, event_type)[1:100], ',') AS l FROM events GROUP BY {_k}")
+add("stats_list_values", pipe("* | stats list(value) AS l by event_type"))
 add("stats_time_ordered", pipe("* | stats earliest_time(value) AS t0, latest_time(value) AS t1 by event_type"), f"SELECT event_type, min({MS}) AS t0, max({MS}) AS t1 FROM events WHERE value IS NOT NULL GROUP BY event_type")
 add("stats_earliest", pipe("* | stats earliest(event_id) AS e, latest(event_id) AS l by event_type"), None)
 add("stats_eval", pipe("* | stats count(eval(value>50)) AS big, sum(eval(value*2)) AS twice, avg(eval(if(event_type=\"click\", value, 0))) AS ac by user_id"), "SELECT user_id, count(*) FILTER (value > 50) AS big, round(sum(value * 2), 4) AS twice, round(avg(CASE WHEN event_type = 'click' THEN value ELSE 0 END), 4) AS ac FROM events GROUP BY user_id")
