@@ -58,3 +58,20 @@ def test_stats_list_takes_all_events_in_time_order(spark, tmp_path):
     for name, key, at, v in (("stats_list_by_user", "user_id", 2, 3), ("stats_list_by_type", "event_type", 3, 3), ("stats_list_values", "event_type", 3, 4)):
         got = {r[key]: r["l"] for r in cq.queries()[name](spark, str(tmp_path)).collect()}
         assert got == {k: first(k, at, v) for k in {r[at] for r in rows}}, name
+
+
+def test_timechart_without_limit_keeps_every_row(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from tracelode.lang.lex import QueryError
+    from tracelode.operators import groups
+
+    rows = [(i, datetime(2024, 1, 2), i % 5, "click", 1.0) for i in range(23)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    chart = lambda s: cq.engine(spark, str(tmp_path)).search(s, "events").toPandas()
+    assert chart("* | timechart span=1d count by user_id limit=0").drop(columns="timestamp").to_numpy().sum() == 23
+    monkeypatch.setattr(groups, "SPLIT_MOST", 3)
+    got = chart("* | timechart span=1d count by user_id limit=0").drop(columns="timestamp").iloc[0].to_dict()
+    assert got == {"0": 5, "1": 5, "2": 5, "other": 8}
+    with pytest.raises(QueryError):
+        chart("* | timechart span=1d count by user_id limit=0 useother=false")

@@ -202,6 +202,9 @@ def rare(fr: Frame, s: str) -> Frame:
 _CHART = {k: 0 for k in ("span", "bins", "limit", "useother", "otherstr", "usenull", "nullstr")}
 
 
+SPLIT_MOST = 10_000  # columns of a timechart with limit=0; further values go to the other column
+
+
 def timechart(fr: Frame, s: str) -> Frame:
     """Buckets anchored at the query's start; a split field becomes columns.
 
@@ -241,10 +244,13 @@ def timechart(fr: Frame, s: str) -> Frame:
     else:
         scores = x.groupBy("__k").agg(score.alias("__s"))
     order = [F.col("__s").desc_nulls_last() if best == "top" else F.col("__s").asc_nulls_last(), F.col("__k")]
-    keep = [r["__k"] for r in scores.orderBy(*order).limit(n + 1).collect()] if n else []
-    more = n and len(keep) > n
-    keep = keep[:n] if n else [r["__k"] for r in scores.orderBy(*order).limit(10_000).collect()]
-    use_other = flag(opts.get("useother"), True) and bool(more)
+    most = n or SPLIT_MOST
+    keep = [r["__k"] for r in scores.orderBy(*order).limit(most + 1).collect()]
+    more = len(keep) > most
+    keep = keep[:most]
+    use_other = flag(opts.get("useother"), True) and more
+    if more and not n and not use_other:
+        raise QueryError(f"timechart with limit=0 and without other column has more than {SPLIT_MOST} split values")
     if more and not use_other:
         x = x.where(F.col("__k").isin(keep))
     elif more:
