@@ -16,7 +16,7 @@ def test_metric_queries_reach_the_last_days(spark, tmp_path):
     q = cq.queries()
     for name, want in (("promql_avg_by_whole", 9.0), ("promql_abs_whole", 9.0), ("promql_sqrt_whole", 3.0), ("promql_hot_max_by_whole", 9.0), ("otsdb_downsample_whole", 9.0)):
         assert {r.ts: r.value for r in q[name](spark, str(tmp_path)).collect()}[last] == want, name
-    windowed = {n for n in q if n.startswith(("promql_", "otsdb_")) and not n.endswith("_whole")} - {"promql_histogram_quantile"}
+    windowed = {n for n in q if n.startswith(("promql_", "otsdb_")) and not n.endswith("_whole")} - {"promql_histogram_quantile", "promql_histogram_quantile_spelled"}
     assert {f"{n}_whole" for n in windowed} <= set(q)
     assert all(str(cq.M1) not in cq.oracle_sql()[n] for n in q if n.endswith("_whole") and n in cq.oracle_sql())
 
@@ -75,3 +75,9 @@ def test_timechart_without_limit_keeps_every_row(spark, tmp_path, monkeypatch):
     assert got == {"0": 5, "1": 5, "2": 5, "other": 8}
     with pytest.raises(QueryError):
         chart("* | timechart span=1d count by user_id limit=0 useother=false")
+
+
+def test_histogram_takes_every_spelling(spark, tmp_path):
+    rows = [(m, {}, cq.M0, v) for m, v in (("request_latency_ms", 5.0), ("request.latency.ms", 50.0), ("request-latency_ms", 60.0))]
+    spark.createDataFrame(rows, M).write.parquet(f"{tmp_path}/metrics.parquet")
+    assert cq.queries()["promql_histogram_quantile_spelled"](spark, str(tmp_path)).first()["value"] == pytest.approx(10 + 90 * (2.7 - 1) / 2)

@@ -7,9 +7,10 @@ import uuid
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelode.functions.series import metric_name
 from tracelode.functions.typing import q
 from tracelode.lang import esdsl
 from tracelode.lang.lex import QueryError
@@ -300,9 +301,9 @@ add("promql_label_join", prom('sum by (gc) (label_join(fuel_level_percent, "gc",
 add("promql_nested", prom("max(sum by (group) (avg_over_time(fuel_level_percent[2h:1h])))"), None)
 
 
-def _histogram(spark: SparkSession, d: str) -> DataFrame:
+def _histogram(spark: SparkSession, d: str, name: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """Buckets made of the latency samples of each day; then their 0.9 quantile."""
-    m = table(spark, d, "metrics").where("metric = 'request_latency_ms' and value is not null and not isnan(value)")
+    m = table(spark, d, "metrics").where((name(F.col("metric")) == "request_latency_ms") & F.expr("value is not null and not isnan(value)"))
     day = F.call_function("div", F.col("timestamp"), F.lit(86_400)) * 86_400
     b = F.array(*[F.struct(F.lit(n).alias("le"), F.lit(x).alias("x")) for n, x in (("10", 10.0), ("100", 100.0), ("1000", 1000.0), ("+Inf", float("inf")))])
     x = m.select(day.alias("ts"), "value", F.explode(b).alias("b")).where("value <= b.x").groupBy("ts", F.col("b.le").alias("le")).agg(F.count("*").cast("double").alias("value"))
@@ -311,6 +312,8 @@ def _histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("promql_histogram_quantile", _histogram, "WITH m AS (SELECT \"timestamp\" // 86400 * 86400 AS ts, value FROM metrics WHERE metric = 'request_latency_ms' AND value IS NOT NULL AND NOT isnan(value)), c AS (SELECT ts, count(*) * 1.0 AS n, count(*) FILTER (value <= 10) * 1.0 AS a, count(*) FILTER (value <= 100) * 1.0 AS b, count(*) FILTER (value <= 1000) * 1.0 AS c FROM m GROUP BY ts) SELECT ts, round(CASE WHEN a >= 0.9 * n THEN 10 * (0.9 * n) / a WHEN b >= 0.9 * n THEN 10 + 90 * (0.9 * n - a) / (b - a) WHEN c >= 0.9 * n THEN 100 + 900 * (0.9 * n - b) / (c - b) ELSE 1000 END, 3) AS value FROM c")
+_like = "regexp_replace(metric, '[^A-Za-z0-9_]', '_', 'g') = 'request_latency_ms'"
+add("promql_histogram_quantile_spelled", partial(_histogram, name=metric_name), _SQL["promql_histogram_quantile"].replace("metric = 'request_latency_ms'", _like))
 
 
 def _otsdb(text: str) -> Query:
@@ -332,7 +335,7 @@ def _whole(name: str, run: Query, sql: str | None) -> None:
 
 for _f, _s in _agg_f.items():
     _whole(f"promql_{_f}", prom(f"max({_f}(battery_volts))"), f"WITH {_points('battery_volts')} SELECT '' AS labels, ts, round(max({_s}), 3) AS value FROM p GROUP BY ts")
-for _n in [n for n in _Q if n.startswith(("promql_", "otsdb_")) and n != "promql_histogram_quantile" and f"{n}_whole" not in _Q and not n.endswith("_whole")]:
+for _n in [n for n in _Q if n.startswith(("promql_", "otsdb_")) and not n.startswith("promql_histogram_quantile") and f"{n}_whole" not in _Q and not n.endswith("_whole")]:
     _whole(_n, _Q[_n], _SQL.get(_n))
 for _f, _s in {"avg": "avg(v)", "max": "max(v)", "count": "CAST(count(v) AS DOUBLE)"}.items():
     _whole(f"promql_hot_{_f}_by", prom(f"{_f} by (group) (bus_load_percent)"), f"WITH {_points('bus_load_percent')} SELECT {_by} AS labels, ts, round({_s}, 3) AS value FROM p GROUP BY 1, 2")
