@@ -57,11 +57,15 @@ def test_packing(spark):
 def test_mixing(spark):
     rng = np.random.default_rng(2)
     rows = [(i, ["Big", " big ", "mid", "tiny", None, "other"][int(rng.choice(6, p=[0.4, 0.1, 0.3, 0.02, 0.08, 0.1]))], int(rng.integers(0, 200))) for i in range(20_000)]
-    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint").withColumn("use", F.lit("clash")).withColumn("bits", F.lit(1))
-    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("tiny", 0.1, 5), ("ghost", 0.1, 3), (None, 0.5, 1), ("zero", None, 1)], "source string, weight double, max_repeats int")
-    sel, shares = mixing.mixture(sizes, targets)
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint").withColumn("use", F.lit("clash")).withColumn("bucket", F.lit(1))
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("tiny", 0.1, 5), (None, 0.5, 1), ("zero", None, 1)], "source string, weight double, max_repeats int")
+    have = Counter()
+    for _, s, t in rows:
+        have[(s or "none").strip().lower()] += t
+    # the most at which nobody is above the cap: every share is met
+    sel, shares = mixing.mixture(sizes, targets, total=int(have["tiny"] * 5 * 9))
     s = {r.source: r for r in shares.collect()}
-    assert s["ghost"].target_share == 0 and s["ghost"].tokens == 0 and "other" not in s
+    assert set(s) == {"big", "mid", "tiny"}
     for name, w in (("big", 5 / 9), ("mid", 3 / 9), ("tiny", 1 / 9)):
         assert s[name].target_share == pytest.approx(w) and s[name].actual_share == pytest.approx(w, abs=0.004)
         assert s[name].most_uses <= s[name].max_repeats
@@ -70,17 +74,66 @@ def test_mixing(spark):
     pos = [(r.position, r.tokens) for r in sel.orderBy("position").collect()]
     done = np.cumsum([t for _, t in pos])
     assert np.max(np.abs(done - [p for p, _ in pos])) < 0.02 * done[-1]  # positions follow the tokens given out
-    # half a curriculum: big only in the first half, mid only in the second
-    sel, shares = mixing.mixture(sizes, targets, {"big": ((0.0, 2.0), (0.5, 2.0), (0.5001, 0.0), (1.0, 0.0))})
-    total = sum(r.tokens for r in shares.collect())
-    assert sel.where("source = 'big'").agg(F.max("position")).first()[0] < 0.51 * total
+    # half a curriculum: big comes only in the first half of its time
+    sel, shares = mixing.mixture(sizes, targets, {"BIG ": ((0.0, 2.0), (0.5, 2.0), (0.5001, 0.0), (1.0, 0.0))})
+    r = {r.source: r for r in shares.collect()}
+    rest = sum(x.demand for k, x in r.items() if k != "big") / 2
+    assert sel.where("source = 'big'").agg(F.max("position")).first()[0] <= (r["big"].demand + rest) * 1.001
     small = mixing.mixture(sizes, targets, total=10_000)[1]
     assert abs(sum(r.tokens for r in small.collect()) - 10_000) < 400
     empty = spark.createDataFrame([], "doc_id bigint, source string, tokens bigint")
     a, b = mixing.mixture(empty, targets)
     assert a.count() == 0 and all(r.tokens == 0 for r in b.collect())
-    with pytest.raises(ValueError):
-        mixing.mixture(sizes, targets, {"big": ((0.0, 1.0), (0.9, 1.0))})
+    for wrong in (((0.0, 1.0), (0.9, 1.0)), ((0.0, -1.0), (1.0, 3.0))):
+        with pytest.raises(ValueError):
+            mixing.mixture(sizes, targets, {"big": wrong})
+
+
+def fill(have: dict[str, int], targets: dict[str, tuple[float, int]], total: float) -> dict[str, float]:
+    """Water-filling by bisection on the level."""
+    most = {s: have.get(s, 0) * m for s, (_, m) in targets.items()}
+    if sum(most.values()) <= total:
+        return {s: float(x) for s, x in most.items()}
+    lo, hi = 0.0, 1e12
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(most[s], w * mid) for s, (w, _) in targets.items()) < total else (lo, mid)
+    return {s: min(most[s], w * hi) for s, (w, _) in targets.items()}
+
+
+@pytest.mark.parametrize("total", [0, 1_000, 50_000, 300_000, 10_000_000, None])
+def test_mixing_fills_up_to_the_caps(spark, total):
+    rng = np.random.default_rng(5)
+    rows = [(i, ["a", "b", "c", "d"][int(rng.choice(4, p=[0.7, 0.2, 0.08, 0.02]))], int(rng.integers(1, 90))) for i in range(6_000)]
+    listed = {"a": (0.2, 1), "b": (0.3, 2), "c": (0.2, 3), "d": (0.2, 4), "ghost": (0.1, 9)}
+    have = Counter()
+    for _, s, t in rows:
+        have[s] += t
+    targets = spark.createDataFrame([(s, w, m) for s, (w, m) in listed.items()], "source string, weight double, max_repeats int")
+    sel, shares = mixing.mixture(spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint"), targets, total=total)
+    want = fill(have, listed, sum(have.values()) if total is None else total)
+    got = {r.source: r for r in shares.collect()}
+    assert set(got) == set(listed)
+    for s, r in got.items():
+        assert r.demand == pytest.approx(want[s], abs=1e-3) and abs(r.tokens - want[s]) <= 45
+        assert r.target_share == pytest.approx(listed[s][0]) and r.capped == (want[s] >= have[s] * listed[s][1] - 1e-3)
+        assert r.shortfall == pytest.approx(r.target_share * (sum(have.values()) if total is None else total) - r.tokens)
+    uses = Counter((r.doc_id, r.source) for r in sel.collect())
+    assert all(n <= listed[s][1] for (_, s), n in uses.items())
+
+
+def test_curriculum_positions_are_running_tokens(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "abc"[int(rng.choice(3, p=[0.6, 0.3, 0.1]))], int(rng.integers(1, 50))) for i in range(5_000)]
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.4, 2), ("c", 0.2, 2)], "source string, weight double, max_repeats int")
+    ramps = {"a": ((0.0, 2.0), (0.4, 1.0), (1.0, 0.0)), "b": ((0.0, 0.0), (1.0, 3.0))}
+    sel, shares = mixing.mixture(spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint"), targets, ramps)
+    x = sorted((r.position, r.tokens) for r in sel.collect())
+    before = np.concatenate([[0], np.cumsum([t for _, t in x])[:-1]])
+    middle = before + np.array([t for _, t in x]) / 2
+    assert np.max(np.abs(middle - [p for p, _ in x])) <= 3 * 50
+    first = [r.source for r in sel.orderBy("position").limit(400).collect()]
+    assert first.count("a") > 250 and first.count("b") < 60
 
 
 def brute(texts, run=150):
