@@ -60,3 +60,21 @@ def test_segment_units(spark):
     rows = [("x", 1609632000, 1609632010123456789), ("x", 1609632000000, None), ("x", 0, 1609632000000), (None, 1609632000, 1609632001), ("x", 1609632010, 1609632000)]
     got = segment_spans(spark.createDataFrame(rows, "virtual_table_name string, earliest_epoch_ms bigint, latest_epoch_ms bigint")).collect()
     assert [tuple(r) for r in got] == [("x", 1609632000000, 1609632010123)]
+
+
+def test_small_partial_lists_and_narrow_windows(spark, monkeypatch, capfd):
+    rng = np.random.default_rng(4)
+    rows = [("hot" if rng.random() < 0.6 else f"k{int(rng.integers(0, 4))}", int(f), int(f + rng.integers(0, 9))) for f in rng.integers(0, 30_000, 6_000)]
+    df = spark.createDataFrame(rows, S).repartition(7)
+    c = intervals.covered_lists(df, "key", "f", "l", 100)
+    assert (sorted(map(tuple, intervals.gaps(c).collect())), sorted(map(tuple, intervals.periods(c).collect()))) == sweep(rows)
+    plan = intervals._reaches(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "last_ms" not in plan.split("Window")[1].split("Project")[0]
+    monkeypatch.setattr(intervals, "MOST", 50)
+    import pyarrow as pa
+
+    t = pa.Table.from_pylist([dict(zip(("key", "f", "l"), r)) for r in rows])
+    lists = list(intervals._partial(100)(iter(t.to_batches(max_chunksize=40))))
+    assert len(lists) > 1
+    whole = sorted((k, f, e) for b in lists for k, fs, es in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()) for f, e in zip(fs, es))
+    assert sweep(whole) == sweep(rows)
