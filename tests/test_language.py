@@ -66,8 +66,8 @@ def test_eval_values(eng):
     assert val(eng, 'case(a>5,"x")') == "" and val(eng, "coalesce(nosuch, null())") in ("", None) and val(eng, 'validate(a<0,"bad")') == "bad"
     assert val(eng, 'tostring(12345.6789,"commas")') == "12,345.68" and val(eng, 'tostring(255,"hex")') == "0xff" and val(eng, 'tostring(3661,"duration")') == "01:01:01" and val(eng, "tostring(5)") == "5"
     assert val(eng, "printf(\"%-5s|%+d|%x|%'d|%%|%.*f\", s, 3, 255, 1234567, 2, 1.005)").startswith("Apple|+3|ff|1,234,567|%|1.0")
-    assert val(eng, "sigfig(1.00*1111)") == pytest.approx(1111) and val(eng, "typeof(s)") == "String" and val(eng, "typeof(nosuch)") == "Null"
-    assert val(eng, 'strftime(0,"%Y-%m-%dT%H:%M:%S.%3Q %U %W %V %w %z")') == "1970-01-01T00:00:00.000 00 00 01 4 +0000"
+    assert val(eng, "sigfig(1.00*1111)") == 1110.0 and val(eng, "typeof(s)") == "String" and val(eng, "typeof(nosuch)") == "Null"
+    assert val(eng, 'strftime(0,"%Y-%m-%dT%H:%M:%S.%3Q %U %W %V %w %z")') == "1970-01-01T00:00:00.000 0 0 1 4 +0000"
     assert val(eng, 'strptime("12:30","%H:%M")') == "45000" and val(eng, 'strptime("bad","%Y")') is None
     assert val(eng, 'relative_time(1715779820,"-1mon@mon")') == 1711929600 and val(eng, 'relative_time(1715779820,"@w0")') == 1715472000
     assert val(eng, 'mvindex(split("a,b,c",","),-1)') == "c" and val(eng, 'mvindex(split("a,b",","),5)') == "" and val(eng, 'mvappend(split("a,b",","),null())') is None
@@ -184,3 +184,32 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     for f in ("GreaterThan(id,2)", "LessThan(a,100.0)", "LessThan(id,9)", "GreaterThanOrEqual(timestamp,1000)"):
         assert f in pushed, pushed
     assert "n:string" not in plan[plan.index("ReadSchema") :]
+
+
+def test_significant_figures(spark):
+    e = Engine(spark, NOW)
+    e.register("n", spark.createDataFrame([(1, 7.0, "0.0150"), (2, 123.0, "x")], "timestamp bigint, v double, s string"), "timestamp")
+    got = e.search("* | sort timestamp | eval a=sigfig(1.00*1111), b=sigfig(3.2+1.234), c=sigfig(v), d=sigfig(v*0.30), e=sigfig(s*2.00), f=sigfig(10.5-0.26*2.0), g=sigfig(v/0)", "n").collect()
+    assert [got[0][c] for c in "abcdefg"] == [1110.0, 4.4, 7.0, 2.0, 0.03, 10.0, None]
+    assert [got[1][c] for c in "cde"] == [123.0, 37.0, None]
+
+
+def test_bounded_states_by_default(spark):
+    df = spark.createDataFrame([(i, float(i % 100)) for i in range(1000)], "timestamp bigint, v double")
+    for exact, want in ((False, 49.0), (True, 49.5)):
+        e = Engine(spark, NOW, exact=exact)
+        e.register("n", df, "timestamp")
+        r = e.search("* | stats median(v) AS m, dc(v) AS d, upperperc50(v) AS u, exactperc50(v) AS x", "n").first()
+        assert (r.m, r.u, r.x) == (want, want, 49.5) and abs(r.d - 100) <= 2
+        plan = e.search("* | stats median(v) AS m, dc(v) AS d", "n")._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("approx") >= 2) == (not exact)
+
+
+def test_format_is_bounded(spark):
+    e = Engine(spark, NOW)
+    e.register("n", spark.range(30).withColumnRenamed("id", "v"))
+    assert e.search("* | format maxresults=30", "n").first()[0].count(" OR ") == 29
+    with pytest.raises(Exception, match="more than 29 rows"):
+        e.search("* | format maxresults=29", "n").collect()
+    with pytest.raises(QueryError):
+        e.search("* | format nosuch=1", "n")

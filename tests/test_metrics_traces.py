@@ -110,3 +110,26 @@ def test_streams(spark, tmp_path):
     assert done(live.sessions(read(), "t", ["k"], "6 minutes"), "sess", "complete").count() == 2
     a = spark.createDataFrame([(i, "x", v) for i, v in enumerate([1.0, 9.0, 9.0, 9.0, None, 9.0])], "i int, k string, v double")
     assert [r.state for r in live.alert_states(a, ">", 5, 3, ["k"], "i", "v").orderBy("i").collect()] == ["Normal", "Pending", "Pending", "Firing", "Normal", "Pending"]
+
+
+def test_sort_formula_names_and_loose_labels(spark):
+    rows = [("a", {"x": "1"}, 0, 6.0), ("a", {"x": "2"}, 0, 8.0), ("b", {"z": "9"}, 0, 2.0)]
+    ev = Evaluator(spark.createDataFrame(rows, M), 0, 0, 10)
+    assert [r.value for r in ev.query("sort_desc(a)").collect()] == [8.0, 6.0] and [r.value for r in ev.query("sort(a)").collect()] == [6.0, 8.0]
+    assert [r.value for r in ev.instant("sort_desc(a)").collect()] == [8.0, 6.0]
+    out = lambda df: {(r.l, r.value) for r in df.select(labels_text(F.col("labels")).alias("l"), "value").collect()}
+    assert out(ev.formula("first + second", {"first": "a", "second": "b"})) == set()
+    assert out(ev.formula("first - second", {"first": "a", "second": "b"}, match_labels=False)) == {("x=1", 4.0), ("x=2", 6.0)}
+    assert out(ev.formula("second - first", {"first": "a", "second": "b"}, match_labels=False)) == {("x=1", -4.0), ("x=2", -6.0)}
+    assert out(ev.formula("q1 * q1", {"q1": "a"}, match_labels=False)) == {("x=1", 36.0), ("x=2", 64.0)}
+
+
+def test_opentsdb_refuses_what_it_does_not_do(spark):
+    from tracelode.lang.lex import QueryError
+    from tracelode.metrics import otsdb
+
+    m = spark.createDataFrame([("m", {"k": "web-1"}, 5, 1.0), ("m", {"k": "web-2"}, 5, 3.0), ("m", {"k": "db"}, 5, 9.0), ("m", None, 5, 7.0)], M)
+    with pytest.raises(QueryError):
+        otsdb.query(m, "sum:rate:m", 0, 10)
+    total = lambda t: sorted(r.value for r in otsdb.query(m, t, 0, 10).collect())
+    assert total("sum:m{k=web*}") == [1.0, 3.0] and total("sum:m{k=*}") == [1.0, 3.0, 9.0] and total("sum:m{k=*b|web-2}") == [3.0, 9.0] and total("sum:m") == [20.0]

@@ -49,3 +49,45 @@ def test_catalog(spark, tmp_path):
     assert catalog.cardinality(m).first().series == 2 and catalog.tag_keys_with_most_series(m).first().key == "k"
     readers.write_events(spark.createDataFrame([(1700000000000, "x")], "timestamp bigint, s string"), str(tmp_path / "ev"), bloom=("s",))
     assert spark.read.parquet(str(tmp_path / "ev")).first().s == "x"
+
+
+def test_arrays_are_kept_whole(spark, tmp_path):
+    rows = [{"t": list(range(40)), "s": ["a", "b"], "o": [{"x": 1, "y": [1, 2, 3]}]}, {"t": [1], "s": None, "o": []}]
+    d = readers.read_events_json(spark, put(tmp_path / "a.json", "\n".join(map(json.dumps, rows))))
+    got = d.collect()
+    assert [len(r.t) for r in got] == [40, 1] and got[0]["s.1"] == "b" and got[0]["o.0.x"] == 1 and got[0]["o.0.y"] == [1, 2, 3]
+
+
+def test_bulk_over_split_edges(spark, tmp_path):
+    lines, want = [], []
+    for i in range(3000):
+        lines.append(json.dumps({["index", "create"][i % 2]: {"_index": f"i{i % 3}", "_id": str(i)}}))
+        doc = {"index": {"n": i}} if i % 7 == 3 else {"v": i, "pad": "x" * (i % 50)}  # some documents look like actions
+        lines.append(json.dumps(doc))
+        want.append((str(i), doc))
+        if i % 11 == 5:
+            lines += ["", json.dumps({"delete": {"_id": str(i)}})]
+    path = put(tmp_path / "b.ndjson", "\n".join(lines))
+    assert {(json.loads(r.action).popitem()[1]["_id"], r.doc) for r in readers.bulk_pairs(spark, path).collect()} == {(k, json.dumps(d)) for k, d in want}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    plain = []  # splits may begin anywhere
+    for k, d in want:
+        if "v" in d:
+            plain += [json.dumps({"index": {"_index": "i", "_id": k}}), json.dumps(d), *([json.dumps({"delete": {"_id": k}}), ""] if d["v"] % 11 == 5 else [])]
+    path = put(tmp_path / "c.ndjson", "\n".join(plain))
+    n = sum("_index" in x for x in plain)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        b = readers.read_bulk(spark, path)
+        assert b.count() == n and b.where("cast(_id as int) <> v").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert readers.read_bulk(spark, put(tmp_path / "e.ndjson", "\n")).count() == 0
+    assert readers.read_bulk(spark, path, "v int").columns == ["_index", "_id", "v"]
+
+
+def test_catalog_spelling(spark):
+    m = spark.createDataFrame([("m.a", {"k": "v", "e": ""}), ("m_a", {"client": " X "}), ("m_a", {"client": "x"}), (None, None)], "metric string, tags map<string,string>")
+    assert sorted(r.metric or "" for r in catalog.metric_names(m).collect()) == ["", "m_a"]
+    assert sorted(r.key for r in catalog.tag_keys(m).collect()) == ["client", "k"] and [r.value for r in catalog.tag_values(m, "client").collect()] == ["x"]
+    assert catalog.tag_keys_with_most_values(m).first() == ("client", 1)

@@ -14,11 +14,8 @@ def test_metric_queries_reach_the_last_days(spark, tmp_path):
     spark.createDataFrame(rows, M).write.parquet(f"{tmp_path}/metrics.parquet")
     last = cq.M0 + 13 * 86_400
     q = cq.queries()
-    for name, want in (("promql_avg_by_whole", 9.0), ("promql_abs_whole", 9.0), ("promql_sqrt_whole", 3.0), ("promql_hot_max_by_whole", 9.0), ("otsdb_downsample_whole", 9.0)):
+    for name, want in (("promql_avg_by", 9.0), ("promql_abs", 9.0), ("promql_sqrt", 3.0), ("promql_hot_max_by", 9.0), ("otsdb_downsample", 9.0)):
         assert {r.ts: r.value for r in q[name](spark, str(tmp_path)).collect()}[last] == want, name
-    windowed = {n for n in q if n.startswith(("promql_", "otsdb_")) and not n.endswith("_whole")} - {"promql_histogram_quantile", "promql_histogram_quantile_spelled"}
-    assert {f"{n}_whole" for n in windowed} <= set(q)
-    assert all(str(cq.M1) not in cq.oracle_sql()[n] for n in q if n.endswith("_whole") and n in cq.oracle_sql())
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
@@ -27,7 +24,7 @@ def test_window_covers_the_given_tables(spark, sf):
     if not os.path.exists(path):
         pytest.skip("no test data")
     lo, hi = spark.read.parquet(path).selectExpr("min(timestamp)", "max(timestamp)").first()
-    assert cq.M0 <= lo and hi <= cq.WHOLE
+    assert cq.M0 <= lo and hi <= cq.M1
 
 
 def test_timechart_limit_counts_every_line(spark, tmp_path):
@@ -35,7 +32,7 @@ def test_timechart_limit_counts_every_line(spark, tmp_path):
 
     rows = [(i, 1, "NRA"[i % 3 if i % 4 else 0], datetime(1995, 1, 2) + timedelta(days=i * 2499 // 299)) for i in range(300)]
     spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_returnflag string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = cq.queries()["timechart_limit"](spark, str(tmp_path)).toPandas().fillna(0).set_index("timestamp")
+    got = cq.pipe("* | timechart span=5d count by l_returnflag limit=top 1", "lineitem")(spark, str(tmp_path)).toPandas().fillna(0).set_index("timestamp")
     start, width, want = 789_004_800_000, 5 * 86_400_000, {}
     for _, _, k, t in rows:
         ms = min(max(int((t - datetime(1970, 1, 1)).total_seconds() * 1000), start), 10**15)
@@ -80,4 +77,4 @@ def test_timechart_without_limit_keeps_every_row(spark, tmp_path, monkeypatch):
 def test_histogram_takes_every_spelling(spark, tmp_path):
     rows = [(m, {}, cq.M0, v) for m, v in (("request_latency_ms", 5.0), ("request.latency.ms", 50.0), ("request-latency_ms", 60.0))]
     spark.createDataFrame(rows, M).write.parquet(f"{tmp_path}/metrics.parquet")
-    assert cq.queries()["promql_histogram_quantile_spelled"](spark, str(tmp_path)).first()["value"] == pytest.approx(10 + 90 * (2.7 - 1) / 2)
+    assert cq.queries()["promql_histogram_quantile"](spark, str(tmp_path)).first()["value"] == pytest.approx(10 + 90 * (2.7 - 1) / 2)

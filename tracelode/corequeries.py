@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions.series import metric_name
@@ -31,7 +31,7 @@ _TABLES = {"events": ("ts", ["event_id"]), "lineitem": ("l_shipdate", ["l_orderk
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    e = Engine(spark, NOW)
+    e = Engine(spark, NOW, exact=True)
     for t, (time, tie) in _TABLES.items():
         e.register(t, partial(table, spark, sf_dir, t), time, tie)
     e.lookups = {"nations.csv": partial(table, spark, sf_dir, "nation"), "regions.csv": partial(table, spark, sf_dir, "region")}
@@ -101,7 +101,10 @@ add("tojson_cmd", pipe("* | fields event_id event_type user_id | tojson str(even
 # ---- bin -------------------------------------------------------------------------------------------
 add("bin_span", pipe("* | bin span=25 value AS b | stats count AS n by b"), "SELECT CAST(CAST(floor(value / 25) * 25 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(CASE WHEN ceil(value / 25) = floor(value / 25) THEN ceil(value / 25) * 25 + 25 ELSE ceil(value / 25) * 25 END AS BIGINT) AS VARCHAR) AS b, count(*) AS n FROM events GROUP BY 1")
 add("bin_log", pipe("* | where value >= 1 | bin span=log2 value AS b | stats count AS n by b"), "SELECT CAST(CAST(pow(2, floor(log2(value) + 1e-12)) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pow(2, CASE WHEN ceil(log2(value) - 1e-12) = floor(log2(value) + 1e-12) THEN floor(log2(value) + 1e-12) + 1 ELSE ceil(log2(value) - 1e-12) END) AS BIGINT) AS VARCHAR) AS b, count(*) AS n FROM events WHERE value >= 1 GROUP BY 1")
-add("bin_auto", pipe("* | bin bins=20 user_id AS b | stats count AS n by b"), None)
+_width = "(SELECT pow(10, ceil(log10((max(user_id) - min(user_id)) / 20.0) - 1e-9)) FROM events)"
+add("bin_auto", pipe("* | bin bins=20 user_id AS b | stats count AS n by b"), f"WITH e AS (SELECT floor(user_id / {_width}) * {_width} AS lo, {_width} AS w FROM events) SELECT CAST(CAST(lo AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(lo + w AS BIGINT) AS VARCHAR) AS b, count(*) AS n FROM e GROUP BY 1")
+add("bin_time_auto", pipe("* | bin bins=40 timestamp AS t | stats count AS n by t"), f"SELECT {MS} // 86400000 * 86400000 AS t, count(*) AS n FROM events GROUP BY 1")
+add("bin_aligned", pipe('* | bin span=6h aligntime="01/01/2024:01:30:00" timestamp AS t | stats count AS n by t'), f"SELECT CAST(floor(({MS} - 1704072600000) / 21600000) * 21600000 + 1704072600000 AS BIGINT) AS t, count(*) AS n FROM events GROUP BY 1")
 add("bin_time", pipe("* | bin span=6h timestamp AS t | stats count AS n by t"), f"SELECT {MS} // 21600000 * 21600000 AS t, count(*) AS n FROM events GROUP BY 1")
 add("bin_month", pipe("* | bin span=1mon timestamp AS t | stats count AS n by t", "orders"), "SELECT CAST(epoch_ms(date_trunc('month', o_orderdate)) AS BIGINT) AS t, count(*) AS n FROM orders GROUP BY 1")
 
@@ -111,14 +114,14 @@ add("stats_two_keys", pipe("* | stats avg(l_quantity) AS a, sum(l_extendedprice)
 add("stats_spread", pipe("* | stats var(value) AS v, varp(value) AS vp, stdev(value) AS s, stdevp(value) AS sp, sumsq(value) AS sq by event_type"), "SELECT event_type, round(var_samp(value), 4) AS v, round(var_pop(value), 4) AS vp, round(stddev_samp(value), 4) AS s, round(stddev_pop(value), 4) AS sp, round(sum(value * value), 4) AS sq FROM events GROUP BY event_type")
 add("stats_percentiles", pipe("* | stats perc95(value) AS p95, p10(value) AS p10, median(value) AS m, exactperc99.5(value) AS p995 by event_type"), "SELECT event_type, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.1), 4) AS p10, round(median(value), 4) AS m, round(quantile_cont(value, 0.995), 4) AS p995 FROM events GROUP BY event_type")
 add("stats_values", pipe("* | stats values(event_type) AS v by user_id"), "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS v FROM events GROUP BY user_id")
-add("stats_list", pipe("event_type=signup user_id<3 | stats list(event_type) AS l by user_id"), "SELECT user_id, array_to_string(list(event_type)[1:100], ',') AS l FROM events WHERE event_type = 'signup' AND user_id < 3 GROUP BY user_id")
 for _n, _k in (("stats_list_by_user", "user_id"), ("stats_list_by_type", "event_type")):
     add(_n, pipe(f"* | stats list(event_type) AS l by {_k}"), f"SELECT {_k}, array_to_string(list(event_type ORDER BY {MS}, event_type)[1:100], ',') AS l FROM events GROUP BY {_k}")
-add("stats_list_values", pipe("* | stats list(value) AS l by event_type"))
+add("stats_list_values", pipe("* | stats list(value) AS l by event_type"), f"SELECT event_type, array_to_string(list(regexp_replace(CAST(value AS VARCHAR), '[.]0$', '') ORDER BY {MS}, regexp_replace(CAST(value AS VARCHAR), '[.]0$', ''))[1:100], ',') AS l FROM events GROUP BY event_type")
 add("stats_time_ordered", pipe("* | stats earliest_time(value) AS t0, latest_time(value) AS t1 by event_type"), f"SELECT event_type, min({MS}) AS t0, max({MS}) AS t1 FROM events WHERE value IS NOT NULL GROUP BY event_type")
-add("stats_earliest", pipe("* | stats earliest(event_id) AS e, latest(event_id) AS l by event_type"), None)
+add("stats_earliest", pipe("* | stats earliest(event_id) AS e, latest(event_id) AS l by event_type"), f"SELECT event_type, min(struct_pack(t := {MS}, v := event_id)).v AS e, max(struct_pack(t := {MS}, v := event_id)).v AS l FROM events GROUP BY event_type")
+add("stats_first_last", pipe("* | stats first(event_id) AS f, last(event_id) AS l, mean(value) AS m, rate(event_id) AS r, upperperc90(value) AS u by event_type"), f"SELECT event_type, max(struct_pack(t := {MS}, v := event_id)).v AS f, min(struct_pack(t := {MS}, v := event_id)).v AS l, round(avg(value), 4) AS m, round((max(struct_pack(t := {MS}, v := event_id)).v - min(struct_pack(t := {MS}, v := event_id)).v) / ((max({MS}) - min({MS})) / 1000.0), 4) AS r, round(quantile_cont(value, 0.9), 4) AS u FROM events GROUP BY event_type")
 add("stats_eval", pipe("* | stats count(eval(value>50)) AS big, sum(eval(value*2)) AS twice, avg(eval(if(event_type=\"click\", value, 0))) AS ac by user_id"), "SELECT user_id, count(*) FILTER (value > 50) AS big, round(sum(value * 2), 4) AS twice, round(avg(CASE WHEN event_type = 'click' THEN value ELSE 0 END), 4) AS ac FROM events GROUP BY user_id")
-add("stats_mode", pipe("* | stats mode(event_type) AS m, estdc_error(user_id) AS e"), None)
+add("stats_mode", pipe("* | stats mode(event_type) AS m, estdc_error(user_id) AS e"), "SELECT (SELECT event_type FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS m, CAST(0 AS DOUBLE) AS e")
 add("stats_null_group", pipe("* | stats count AS n by lang", "documents"), "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 add("eventstats_cmd", pipe("* | eventstats avg(value) AS mean, count AS n by event_type | where value > mean | stats count AS above by event_type, n"), "SELECT event_type, n, count(*) AS above FROM (SELECT *, avg(value) OVER (PARTITION BY event_type) AS mean, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE value > mean GROUP BY 1, 2")
 add("flagship", pipe("event_type=purchase | stats count AS n, avg(value) AS mean by user_id | sort -n user_id | head 10"), "SELECT user_id, count(*) AS n, round(avg(value), 4) AS mean FROM events WHERE event_type = 'purchase' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
@@ -133,7 +136,15 @@ add("rare_cmd", pipe("* | rare event_type percentfield=p"), f"SELECT event_type,
 add("timechart_cmd", pipe("* | timechart span=1d count AS n, avg(value) AS mean", start=DAY0, end=DAY30), f"SELECT {DAY0} + ({MS} - {DAY0}) // 86400000 * 86400000 AS timestamp, count(*) AS n, round(avg(value), 4) AS mean FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' GROUP BY 1")
 _types = "click error purchase signup view".split()
 add("timechart_by", pipe("* | timechart span=1d sum(value) by event_type", start=DAY0, end=DAY30), f"SELECT {DAY0} + ({MS} - {DAY0}) // 86400000 * 86400000 AS timestamp, " + ", ".join(f"round(sum(value) FILTER (event_type = '{t}'), 4) AS {t}" for t in _types) + " FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' GROUP BY 1")
-add("timechart_limit", pipe("* | timechart span=5d count by l_returnflag limit=top 1", "lineitem"), None)
+
+
+def _limited(spark: SparkSession, d: str) -> DataFrame:
+    """A chart with one column of its own; its name depends on the data, so it is called ``best`` here."""
+    x = pipe("* | timechart span=5d count by l_returnflag limit=top 1", "lineitem")(spark, d)
+    return x.select("timestamp", *[q(c).alias("best" if c != "other" else c) for c in x.columns[1:]])
+
+
+add("timechart_limit", _limited, "WITH x AS (SELECT CAST(epoch_us(l_shipdate) // 1000 AS BIGINT) AS ms, l_returnflag AS f FROM lineitem), b AS (SELECT min(ms) AS lo FROM x), k AS (SELECT f AS best FROM x GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), y AS (SELECT lo + (ms - lo) // 432000000 * 432000000 AS t, f FROM x, b) SELECT t AS timestamp, nullif(count(*) FILTER (f = best), 0) AS best, nullif(count(*) FILTER (f <> best), 0) AS other FROM y, k GROUP BY t")
 add("timechart_default_span", pipe("* | timechart count AS n", start=DAY0, end=DAY30), f"SELECT {DAY0} + ({MS} - {DAY0}) // 86400000 * 86400000 AS timestamp, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' GROUP BY 1")
 
 
@@ -196,9 +207,9 @@ scalars("fn_trigonometry", {
 scalars("fn_bits", {"a": ("bit_and(user_id,12)", "CAST(user_id & 12 AS DOUBLE)"), "b": ("bit_or(user_id,3)", "CAST(user_id | 3 AS DOUBLE)"), "c": ("bit_xor(user_id,5)", "CAST(xor(user_id, 5) AS DOUBLE)"), "d": ("bit_shift_left(user_id,2)", "CAST(user_id << 2 AS DOUBLE)"), "e": ("bit_shift_right(user_id,1)", "CAST(user_id >> 1 AS DOUBLE)"), "f": ("bit_not(user_id)", "CAST(9007199254740991 - user_id AS DOUBLE)")})
 scalars("fn_text", {
     "a": ("upper(event_type)", "upper(event_type)"), "b": ('trim("  x ")', "'x'"), "c": ('ltrim(event_type,"cp")', "ltrim(event_type, 'cp')"), "d": ('rtrim(event_type,"kr")', "rtrim(event_type, 'kr')"), "e": ("substr(event_type,2,3)", "substr(event_type, 2, 3)"), "f": ("substr(event_type,-3)", "substr(event_type, -3)"), "g": ('replace(event_type,"([aeiou])","<$1>")', "regexp_replace(event_type, '([aeiou])', '<\\1>', 'g')"), "h": ("len(event_type)", "CAST(strlen(event_type) AS DOUBLE)"), "i": ('urldecode("a%20b")', "'a b'"),
-    "j": ('max(event_type,"m")', "greatest(event_type, 'm')"), "k": ('min(event_type,"m")', "least(event_type, 'm')"), "m": ('tostring(user_id,"hex")', "'0x' || lower(to_hex(user_id))"), "n": ('tostring(user_id*3600,"duration")', "CASE WHEN user_id // 24 > 0 THEN CAST(user_id // 24 AS VARCHAR) || '+' ELSE '' END || lpad(CAST(user_id % 24 AS VARCHAR), 2, '0') || ':00:00'"), "o": ('printf("%05d|%s|%.2f", user_id, event_type, value)', "printf('%05d|%s|%.2f', user_id, event_type, value)"), "p": ('tonumber("0A4",16)', "CAST(164 AS DOUBLE)"), "r": ('tonumber("12.5")', "CAST(0 AS DOUBLE)"), "s": ("typeof(value)", "'Number'"), "t": ('ipmask("255.255.0.0","10.20.30.40")', "'10.20.0.0'"),
+    "j": ('max(event_type,"m")', "greatest(event_type, 'm')"), "k": ('min(event_type,"m")', "least(event_type, 'm')"), "m": ('tostring(user_id,"hex")', "'0x' || lower(to_hex(user_id))"), "n": ('tostring(user_id*3600,"duration")', "CASE WHEN user_id < 10 THEN '0' ELSE '' END || user_id || ':00:00'"), "o": ('printf("%05d|%s|%.2f", user_id, event_type, value)', "printf('%05d|%s|%.2f', user_id, event_type, value)"), "p": ('tonumber("0A4",16)', "CAST(164 AS DOUBLE)"), "r": ('tonumber("12.5")', "CAST(0 AS DOUBLE)"), "s": ("typeof(value)", "'Number'"), "t": ('ipmask("255.255.0.0","10.20.30.40")', "'10.20.0.0'"),
 })
-scalars("fn_time", {"a": ('strftime(timestamp,"%Y-%m-%d %H:%M:%S")', "strftime(ts, '%Y-%m-%d %H:%M:%S')"), "b": ('strptime("2024-01-02 03:04:05","%Y-%m-%d %H:%M:%S")', "'1704164645'"), "c": ('relative_time(timestamp/1000,"@d")', "CAST(epoch(date_trunc('day', ts)) AS DOUBLE)"), "d": ('relative_time(timestamp/1000,"-1d@mon")', "CAST(epoch(date_trunc('month', ts - INTERVAL 1 DAY)) AS DOUBLE)"), "e": ("now()", "CAST(1706745600 AS DOUBLE)"), "f": ('strftime(timestamp,"%j %p %I %s")', "strftime(ts, '%j %p %I') || ' ' || CAST(floor(epoch(ts)) AS BIGINT)")})
+scalars("fn_time", {"a": ('strftime(timestamp,"%Y-%m-%d %H:%M:%S")', "strftime(ts, '%Y-%m-%d %H:%M:%S')"), "b": ('strptime("2024-01-02 03:04:05","%Y-%m-%d %H:%M:%S")', "'1704164645'"), "c": ('relative_time(timestamp/1000,"@d")', "CAST(epoch(date_trunc('day', ts)) AS DOUBLE)"), "d": ('relative_time(timestamp/1000,"-1d@mon")', "CAST(epoch(date_trunc('month', ts - INTERVAL 1 DAY)) AS DOUBLE)"), "e": ("now()", "CAST(1706745600 AS DOUBLE)"), "f": ('strftime(timestamp,"%j %p %I %s")', "dayofyear(ts) || strftime(ts, ' %p %I') || ' ' || CAST(floor(epoch(ts)) AS BIGINT)"), "g": ('strftime(timestamp,"%U %W %V")', "dayofyear(ts) // 7 || ' ' || (dayofweek(ts) - 1 + dayofyear(ts)) // 7 || ' ' || week(ts)"), "h": ('strftime(timestamp,"%Q %3N %Ez %x")', "lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') || ' ' || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') || ' +00:00 ' || strftime(ts, '%m/%d/%y')")})
 scalars("fn_multivalue", {
     "m": ('split(event_type.",b,a,b",",")', "event_type || ',b,a,b'"), "a": ("mvcount(m)", "CAST(4 AS DOUBLE)"), "b": ("mvindex(m,0)", "event_type"), "c": ('mvjoin(mvindex(m,-3,-1),"-")', "'b-a-b'"), "d": ("mvsort(m)", "array_to_string(list_sort([event_type, 'b', 'a', 'b']), ',')"), "e": ("mvdedup(m)", "event_type || ',b,a'"), "f": ('mvappend(m,"z")', "event_type || ',b,a,b,z'"), "g": ("mvzip(m,m,\":\")", "event_type || ':' || event_type || ',b:b,a:a,b:b'"), "h": ('mvfind(m,"^a$")', "'2'"), "i": ('mvfilter(m!="b")', "event_type || ',a'"), "j": ("mv_to_json_array(m)", "'[\"' || event_type || '\",\"b\",\"a\",\"b\"]'"), "k": ("mvrange(1,6,2)", "'1,3,5'"), "n": ("mvmap(m,upper(m))", "upper(event_type) || ',B,A,B'"), "o": ('spath(props,"k")', "json_extract_string(props, '$.k')"),
 })
@@ -208,6 +219,13 @@ scalars("fn_conditional", {
 })
 
 
+scalars("fn_text_more", {
+    "a": ('lower(upper(event_type))', "event_type"), "b": ('tostring(event_id*1000+0.5,"commas")', "format('{:,}', event_id * 1000) || '.5'"), "c": ("sigfig(1.00*1111)", "CAST(1110 AS DOUBLE)"), "i": ("sigfig(3.2+1.234)", "CAST(4.4 AS DOUBLE)"),
+    "d": ('strftime(timestamp,"%a %b %e %H")', "strftime(ts, '%a %b ') || lpad(CAST(day(ts) AS VARCHAR), 2, ' ') || strftime(ts, ' %H')"), "e": ('strftime(timestamp,"%w %y %T %F")', "strftime(ts, '%w %y %H:%M:%S %Y-%m-%d')"),
+    "f": ('if(cidrmatch("2001:db8::/32","2001:db8::1"),1,0)', "CAST(1 AS DOUBLE)"), "g": ('spath("<a><b>x</b></a>","a.b")', "'x'"), "h": ('printf("%\'d",1234567)', "'1,234,567'"),
+})
+
+
 # ---- other languages -----------------------------------------------------------------------------------
 add("pipeql_group", lambda s, d: rounded(engine(s, d).pipeql("event_type=purchase | min(value), max(value) groupby user_id limit 20", "events")), 'SELECT user_id, round(min(value), 4) AS "min(value)", round(max(value), 4) AS "max(value)" FROM events WHERE event_type = \'purchase\' GROUP BY user_id ORDER BY user_id LIMIT 20')
 add("pipeql_columns_let", lambda s, d: rounded(engine(s, d).pipeql("value>50 | let double = value * 2 | columns event_id, double | columns id=event_id", "events")), "SELECT event_id AS id, round(value * 2, 4) AS double FROM events WHERE value > 50")
@@ -227,14 +245,18 @@ add("es_sort_page", es({"query": {"regexp": {"event_type": "s.*p"}}, "sort": [{"
 add("es_match", es({"query": {"bool": {"filter": [{"match": {"text": {"query": "gateway radiator", "operator": "and"}}}, {"exists": {"field": "lang"}}]}}, "aggs": {"l": {"terms": {"field": "lang", "size": 10}}}}, "documents"), f"SELECT lang AS l, count(*) AS doc_count FROM documents WHERE regexp_matches(text, '(?i){W.format('gateway')}') AND regexp_matches(text, '(?i){W.format('radiator')}') AND lang IS NOT NULL GROUP BY 1")
 add("es_query_string", es({"query": {"query_string": {"query": "event_type:purchase AND value:>50"}}, "aggs": {"u": {"terms": {"field": "user_id", "size": 1000}}}}), "SELECT user_id AS u, count(*) AS doc_count FROM events WHERE event_type = 'purchase' AND value > 50 GROUP BY 1 ORDER BY doc_count DESC, u LIMIT 1000")
 
+add("es_match_phrase", es({"query": {"match_phrase": {"text": "same here"}}, "aggs": {"l": {"terms": {"field": "lang", "size": 10}}}}, "documents"), f"SELECT lang AS l, count(*) AS doc_count FROM documents WHERE regexp_matches(text, '(?i){W.format('same here')}') GROUP BY 1")
+add("es_range_dates", es({"query": {"bool": {"filter": [{"range": {"ts": {"gte": "2024-01-05T00:00:00Z", "lt": "2024-01-10T12:00:00Z"}}}, {"range": {"value": {"from": 10, "to": 60}}}]}}, "aggs": {"t": {"terms": {"field": "event_type"}, "aggs": {"lo": {"min": {"field": "value"}}, "hi": {"max": {"field": "value"}}, "n": {"value_count": {"field": "value"}}}}}}), "SELECT event_type AS t, count(*) AS doc_count, round(min(value), 4) AS lo, round(max(value), 4) AS hi, count(value) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-10 12:00:00' AND value BETWEEN 10 AND 60 GROUP BY 1")
+add("es_match_all", es({"query": {"match_all": {}}, "aggs": {"t": {"terms": {"field": "event_type"}}}}), "SELECT event_type AS t, count(*) AS doc_count FROM events GROUP BY 1")
+add("es_simple_query_string", es({"query": {"simple_query_string": {"query": "event_type:purchase AND value:>50"}}, "aggs": {"u": {"terms": {"field": "user_id", "size": 1000}}}}), "SELECT user_id AS u, count(*) AS doc_count FROM events WHERE event_type = 'purchase' AND value > 50 GROUP BY 1 ORDER BY doc_count DESC, u LIMIT 1000")
+
 # ---- metrics -------------------------------------------------------------------------------------------
-M0, M1, STEP = 1_609_632_000, 1_609_632_000 + 10 * 86_400, 3_600
-WHOLE = M0 + 14 * 86_400  # behind the last row of metrics; M1 leaves out its last four days
+M0, M1, STEP = 1_609_632_000, 1_609_632_000 + 14 * 86_400, 3_600  # all of metrics lies between
 
 
 def prom(text: str, step: int = STEP, places: int = 3) -> Query:
-    def run(spark: SparkSession, d: str, end: int = M1) -> DataFrame:
-        v = Evaluator(table(spark, d, "metrics"), M0, end, step).query(text)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        v = Evaluator(table(spark, d, "metrics"), M0, M1, step, exact=True).query(text)
         return v.select(labels_text(F.col("labels")).alias("labels"), "ts", (F.round("value", places) + 0.0).alias("value"))
 
     return run
@@ -259,7 +281,7 @@ add("promql_bottomk", prom("sum(bottomk(2, fuel_level_percent))"), f"WITH {_poin
 add("promql_matchers", prom('count(speed_kmh{group=~"group [01]", fuel_type!="petrol"})'), f"WITH {_points('speed_kmh')} SELECT '' AS labels, ts, CAST(count(*) AS DOUBLE) AS value FROM p WHERE {_grp} IN ('group 0', 'group 1') AND coalesce({_TAG.format('fuel_type')}, '') <> 'petrol' GROUP BY ts")
 _agg_f = {"abs": "abs(v)", "sqrt": "CASE WHEN v < 0 THEN CAST('nan' AS DOUBLE) ELSE sqrt(v) END", "ceil": "ceil(v)", "floor": "floor(v)", "sgn": "CAST(sign(v) AS DOUBLE)", "deg": "degrees(v)", "rad": "radians(v)"}
 for _f, _s in _agg_f.items():
-    add(f"promql_{_f}", prom(f"max({_f}(battery_volts{{group=\"group 1\"}}))"), f"WITH {_points('battery_volts')} SELECT '' AS labels, ts, round(max({_s}), 3) AS value FROM p WHERE {_grp} = 'group 1' GROUP BY ts")
+    add(f"promql_{_f}", prom(f"max({_f}(battery_volts))"), f"WITH {_points('battery_volts')} SELECT '' AS labels, ts, round(max({_s}), 3) AS value FROM p GROUP BY ts")
 for _f, _s in {"hour": "hour(t)", "minute": "minute(t)", "month": "month(t)", "year": "year(t)", "day_of_month": "day(t)", "day_of_week": "dayofweek(t)", "day_of_year": "dayofyear(t)", "days_in_month": "day(last_day(t))"}.items():
     add(f"promql_{_f}", prom(f"max({_f}(battery_volts))"), f"WITH {_points('battery_volts')}, q AS (SELECT ts, make_timestamp(ts * 1000000) AS t FROM p) SELECT '' AS labels, ts, CAST(max({_s}) AS DOUBLE) AS value FROM q GROUP BY ts")
 add("promql_clamp", prom("sum(clamp(battery_volts, 12, 14))"), f"WITH {_points('battery_volts')} SELECT '' AS labels, ts, round(sum(least(greatest(v, 12), 14)), 3) AS value FROM p GROUP BY ts")
@@ -282,7 +304,7 @@ for _f, _c in {"changes": "<>", "resets": "<"}.items():
     add(f"promql_{_f}", prom(f"sum({_f}(gear_position[6h]))"), f"WITH {_points('gear_position', back=21600)}, f AS (SELECT s, ts, coalesce(CAST(v {_c} {_lag} AS INTEGER), 0) AS f FROM p), q AS (SELECT ts, sum(f) OVER w - first_value(f) OVER w AS x FROM f {_win}) SELECT '' AS labels, ts, CAST(sum(x) AS DOUBLE) AS value FROM q WHERE ts >= {M0} GROUP BY ts")
 for _f in ("predict_linear", "quantile_over_time", "mad_over_time", "present_over_time"):
     _arg = {"predict_linear": "fuel_level_percent[6h], 3600", "quantile_over_time": "0.5, fuel_level_percent[6h]"}.get(_f, "fuel_level_percent[6h]")
-    add(f"promql_{_f}", prom(f"sum by (group) ({_f}({_arg}))"), {"quantile_over_time": f"WITH {_points('fuel_level_percent', back=21600)}, q AS (SELECT s, ts, quantile_cont(v, 0.5) OVER w AS x FROM p {_win}) SELECT {_by} AS labels, ts, round(sum(x), 3) AS value FROM q WHERE ts >= {M0} GROUP BY 1, 2", "present_over_time": f"WITH {_points('fuel_level_percent', back=21600)} SELECT {_by} AS labels, ts, CAST(count(*) AS DOUBLE) AS value FROM p WHERE ts >= {M0} GROUP BY 1, 2"}.get(_f))
+    add(f"promql_{_f}", prom(f"sum by (group) ({_f}({_arg}))"), {"quantile_over_time": f"WITH {_points('fuel_level_percent', back=21600)}, q AS (SELECT s, ts, quantile_cont(v, 0.5) OVER w AS x FROM p {_win}) SELECT {_by} AS labels, ts, round(sum(x), 3) AS value FROM q WHERE ts >= {M0} GROUP BY 1, 2", "predict_linear": f"WITH {_points('fuel_level_percent', back=21600)}, q AS (SELECT s, ts, CASE WHEN count(v) OVER w > 1 THEN v + 3600 * regr_slope(v, CAST(ts AS DOUBLE)) OVER w END AS x FROM p {_win}) SELECT {_by} AS labels, ts, round(sum(x), 3) AS value FROM q WHERE x IS NOT NULL AND ts >= {M0} GROUP BY 1, 2", "mad_over_time": f"WITH {_points('fuel_level_percent', back=21600)}, q AS (SELECT s, ts, list(v) OVER w AS l FROM p {_win}), d AS (SELECT s, ts, list_aggregate(list_transform(l, lambda x: abs(x - list_aggregate(l, 'median'))), 'median') AS x FROM q) SELECT {_by} AS labels, ts, round(sum(x), 3) AS value FROM d WHERE ts >= {M0} GROUP BY 1, 2", "present_over_time": f"WITH {_points('fuel_level_percent', back=21600)} SELECT {_by} AS labels, ts, CAST(count(*) AS DOUBLE) AS value FROM p WHERE ts >= {M0} GROUP BY 1, 2"}.get(_f))
 _two = f"WITH a AS (WITH {_points('fuel_level_percent')} SELECT {_grp} AS g, ts, sum(v) AS v FROM p GROUP BY 1, 2), b AS (WITH {_points('battery_volts')} SELECT {_grp} AS g, ts, sum(v) AS v FROM p GROUP BY 1, 2) "
 _lab = "CASE WHEN a.g IS NULL THEN '' ELSE 'group=' || a.g END"
 for _n, _op, _s in (("add", "+", "a.v + b.v"), ("subtract", "-", "a.v - b.v"), ("multiply", "*", "a.v * b.v"), ("divide", "/", "CASE WHEN b.v <> 0 THEN a.v / b.v END"), ("power", "^ 0 *", "b.v")):
@@ -294,16 +316,26 @@ _b0 = 'sum by (group) (battery_volts{group="group 0"})'
 add("promql_and", prom(f"sum by (group) (fuel_level_percent) and {_b0}"), _two + _sets.format(_lab, ""))
 add("promql_unless", prom(f"sum by (group) (fuel_level_percent) unless {_b0}"), _two + _sets.format(_lab, "NOT"))
 add("promql_or", prom(f'sum by (group) (fuel_level_percent{{group="group 1"}}) or {_b0}'), _two + "SELECT 'group=' || g AS labels, ts, round(v, 3) AS value FROM a WHERE g = 'group 1' UNION ALL SELECT 'group=' || g, ts, round(v, 3) FROM b WHERE g = 'group 0'")
-add("promql_group_left", prom("sum by (group, car_type) (fuel_level_percent) / on (group) group_left () sum by (group) (fuel_level_percent)"), None)
+_car = _TAG.format("car_type")
+_parts = f"WITH {_points('fuel_level_percent')}, a AS (SELECT {_grp} AS g, {_car} AS c, ts, sum(v) AS v FROM p GROUP BY 1, 2, 3), b AS (SELECT {_grp} AS g, ts, sum(v) AS v FROM p GROUP BY 1, 2) "
+_labels2 = "concat_ws(',', 'car_type=' || a.c, 'group=' || a.g)"
+for _n, _t in {"group_left": "sum by (group, car_type) (fuel_level_percent) / on (group) group_left () sum by (group) (fuel_level_percent)", "ignoring": "sum by (group, car_type) (fuel_level_percent) / ignoring (car_type) group_left () sum by (group) (fuel_level_percent)"}.items():
+    add(f"promql_{_n}", prom(_t), _parts + f"SELECT {_labels2} AS labels, a.ts, round(a.v / b.v, 3) AS value FROM a JOIN b ON a.g IS NOT DISTINCT FROM b.g AND a.ts = b.ts WHERE b.v <> 0")
+add("promql_group_right", prom("sum by (group) (fuel_level_percent) - on (group) group_right () sum by (group, car_type) (fuel_level_percent)"), _parts + f"SELECT {_labels2} AS labels, a.ts, round(b.v - a.v, 3) AS value FROM a JOIN b ON a.g IS NOT DISTINCT FROM b.g AND a.ts = b.ts")
+add("promql_on", prom("sum by (group, fuel_type) (fuel_level_percent{fuel_type=\"diesel\"}) * on (group) sum by (group) (battery_volts)"), f"WITH a AS (WITH {_points('fuel_level_percent')} SELECT {_grp} AS g, ts, sum(v) AS v FROM p WHERE {_TAG.format('fuel_type')} = 'diesel' GROUP BY 1, 2), b AS (WITH {_points('battery_volts')} SELECT {_grp} AS g, ts, sum(v) AS v FROM p GROUP BY 1, 2) SELECT {_lab} AS labels, a.ts, round(a.v * b.v, 3) AS value FROM a JOIN b ON a.g IS NOT DISTINCT FROM b.g AND a.ts = b.ts")
+add("promql_filtered", prom("sum by (group) (fuel_level_percent) > sum by (group) (battery_volts)"), _two + f"SELECT {_lab} AS labels, a.ts, round(a.v, 3) AS value FROM a JOIN b ON a.g IS NOT DISTINCT FROM b.g AND a.ts = b.ts WHERE a.v > b.v")
+add("promql_sort_desc", prom("sort_desc(sum by (group) (fuel_level_percent))"), f"WITH {_points('fuel_level_percent')} SELECT {_by} AS labels, ts, round(sum(v), 3) AS value FROM p GROUP BY 1, 2")
+add("promql_count_values", prom('count_values("gear", gear_position)'), f"WITH {_points('gear_position')} SELECT 'gear=' || CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) || '.0' ELSE CAST(v AS VARCHAR) END AS labels, ts, CAST(count(*) AS DOUBLE) AS value FROM p GROUP BY 1, 2")
+add("promql_trigonometry", prom("sum(sin(battery_volts) + cos(battery_volts) + tan(battery_volts / 100) + atan(battery_volts) + sinh(battery_volts / 10) + cosh(battery_volts / 10) + tanh(battery_volts) + asinh(battery_volts) + acosh(clamp_min(battery_volts, 1)) + asin(clamp(battery_volts / 100, -1, 1)) + acos(clamp(battery_volts / 100, -1, 1)) + atanh(clamp(battery_volts / 100, -0.5, 0.5)) + exp(clamp_max(battery_volts / 10, 3)))", places=2), f"WITH {_points('battery_volts')} SELECT '' AS labels, ts, round(sum(sin(v) + cos(v) + tan(v / 100) + atan(v) + sinh(v / 10) + cosh(v / 10) + tanh(v) + asinh(v) + acosh(greatest(v, 1)) + asin(least(greatest(v / 100, -1), 1)) + acos(least(greatest(v / 100, -1), 1)) + atanh(least(greatest(v / 100, -0.5), 0.5)) + exp(least(v / 10, 3))), 2) AS value FROM p GROUP BY ts")
 add("promql_scalar", prom("2 * sum(fuel_level_percent) % 7 > 3"), f"WITH {_points('fuel_level_percent')}, q AS (SELECT ts, 2 * sum(v) % 7 AS x FROM p GROUP BY ts) SELECT '' AS labels, ts, round(x, 3) AS value FROM q WHERE x > 3")
 add("promql_label_replace", prom('sum by (g) (label_replace(fuel_level_percent, "g", "n$1", "group", "group (.*)"))'), f"WITH {_points('fuel_level_percent')} SELECT CASE WHEN {_grp} IS NULL THEN '' ELSE 'g=n' || regexp_extract({_grp}, 'group (.*)', 1) END AS labels, ts, round(sum(v), 3) AS value FROM p GROUP BY 1, 2")
 add("promql_label_join", prom('sum by (gc) (label_join(fuel_level_percent, "gc", "-", "group", "car_type"))'), f"WITH {_points('fuel_level_percent')} SELECT 'gc=' || coalesce({_grp}, '') || '-' || coalesce({_TAG.format('car_type')}, '') AS labels, ts, round(sum(v), 3) AS value FROM p GROUP BY 1, 2")
-add("promql_nested", prom("max(sum by (group) (avg_over_time(fuel_level_percent[2h:1h])))"), None)
+add("promql_nested", prom("max(sum by (group) (avg_over_time(fuel_level_percent[2h:1h])))"), f"WITH {_points('fuel_level_percent', back=7200)}, g AS (SELECT DISTINCT s, unnest(generate_series({M0}, {M1}, {STEP})) AS t FROM p), x AS (SELECT g.s, g.t, coalesce(avg(v), 0) AS x FROM g LEFT JOIN p ON p.s = g.s AND p.ts > g.t - 7200 AND p.ts <= g.t GROUP BY 1, 2), y AS (SELECT {_grp} AS g, t, sum(x) AS x FROM x GROUP BY 1, 2) SELECT '' AS labels, t AS ts, round(max(x), 3) AS value FROM y GROUP BY t")
 
 
-def _histogram(spark: SparkSession, d: str, name: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+def _histogram(spark: SparkSession, d: str) -> DataFrame:
     """Buckets made of the latency samples of each day; then their 0.9 quantile."""
-    m = table(spark, d, "metrics").where((name(F.col("metric")) == "request_latency_ms") & F.expr("value is not null and not isnan(value)"))
+    m = table(spark, d, "metrics").where((metric_name(F.col("metric")) == "request_latency_ms") & F.expr("value is not null and not isnan(value)"))
     day = F.call_function("div", F.col("timestamp"), F.lit(86_400)) * 86_400
     b = F.array(*[F.struct(F.lit(n).alias("le"), F.lit(x).alias("x")) for n, x in (("10", 10.0), ("100", 100.0), ("1000", 1000.0), ("+Inf", float("inf")))])
     x = m.select(day.alias("ts"), "value", F.explode(b).alias("b")).where("value <= b.x").groupBy("ts", F.col("b.le").alias("le")).agg(F.count("*").cast("double").alias("value"))
@@ -311,14 +343,11 @@ def _histogram(spark: SparkSession, d: str, name: Callable[[Column], Column] = l
     return Evaluator(m, M0, M1).histogram_quantile(0.9, v).select("ts", F.round("value", 3).alias("value"))
 
 
-add("promql_histogram_quantile", _histogram, "WITH m AS (SELECT \"timestamp\" // 86400 * 86400 AS ts, value FROM metrics WHERE metric = 'request_latency_ms' AND value IS NOT NULL AND NOT isnan(value)), c AS (SELECT ts, count(*) * 1.0 AS n, count(*) FILTER (value <= 10) * 1.0 AS a, count(*) FILTER (value <= 100) * 1.0 AS b, count(*) FILTER (value <= 1000) * 1.0 AS c FROM m GROUP BY ts) SELECT ts, round(CASE WHEN a >= 0.9 * n THEN 10 * (0.9 * n) / a WHEN b >= 0.9 * n THEN 10 + 90 * (0.9 * n - a) / (b - a) WHEN c >= 0.9 * n THEN 100 + 900 * (0.9 * n - b) / (c - b) ELSE 1000 END, 3) AS value FROM c")
-_like = "regexp_replace(metric, '[^A-Za-z0-9_]', '_', 'g') = 'request_latency_ms'"
-add("promql_histogram_quantile_spelled", partial(_histogram, name=metric_name), _SQL["promql_histogram_quantile"].replace("metric = 'request_latency_ms'", _like))
-
+add("promql_histogram_quantile", _histogram, "WITH m AS (SELECT \"timestamp\" // 86400 * 86400 AS ts, value FROM metrics WHERE regexp_replace(metric, '[^A-Za-z0-9_]', '_', 'g') = 'request_latency_ms' AND value IS NOT NULL AND NOT isnan(value)), c AS (SELECT ts, count(*) * 1.0 AS n, count(*) FILTER (value <= 10) * 1.0 AS a, count(*) FILTER (value <= 100) * 1.0 AS b, count(*) FILTER (value <= 1000) * 1.0 AS c FROM m GROUP BY ts) SELECT ts, round(CASE WHEN a >= 0.9 * n THEN 10 * (0.9 * n) / a WHEN b >= 0.9 * n THEN 10 + 90 * (0.9 * n - a) / (b - a) WHEN c >= 0.9 * n THEN 100 + 900 * (0.9 * n - b) / (c - b) ELSE 1000 END, 3) AS value FROM c")
 
 def _otsdb(text: str) -> Query:
-    def run(spark: SparkSession, d: str, end: int = M1) -> DataFrame:
-        v = otsdb.query(table(spark, d, "metrics"), text, M0, end)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        v = otsdb.query(table(spark, d, "metrics"), text, M0, M1, exact=True)
         return v.select(labels_text(F.col("tags")).alias("tags"), "ts", F.round("value", 3).alias("value"))
 
     return run
@@ -328,50 +357,44 @@ add("otsdb_downsample", _otsdb("sum:1h-avg:fuel_level_percent{group=*}"), f"WITH
 add("otsdb_filter", _otsdb("max:6h-max:speed_kmh{fuel_type=diesel|petrol}"), f"SELECT 'fuel_type=' || tags['fuel_type'] AS tags, \"timestamp\" // 21600 * 21600 AS ts, round(max(value), 3) AS value FROM metrics WHERE regexp_replace(metric, '[^A-Za-z0-9_]', '_', 'g') = 'speed_kmh' AND value IS NOT NULL AND NOT isnan(value) AND \"timestamp\" BETWEEN {M0} AND {M1} AND tags['fuel_type'] IN ('diesel', 'petrol') GROUP BY 1, 2")
 
 
-def _whole(name: str, run: Query, sql: str | None) -> None:
-    """The query over all rows of the table, beside the one over M0..M1."""
-    add(f"{name}_whole", partial(run, end=WHOLE), sql and sql.replace(str(M1), str(WHOLE)))
-
-
-for _f, _s in _agg_f.items():
-    _whole(f"promql_{_f}", prom(f"max({_f}(battery_volts))"), f"WITH {_points('battery_volts')} SELECT '' AS labels, ts, round(max({_s}), 3) AS value FROM p GROUP BY ts")
-for _n in [n for n in _Q if n.startswith(("promql_", "otsdb_")) and not n.startswith("promql_histogram_quantile") and f"{n}_whole" not in _Q and not n.endswith("_whole")]:
-    _whole(_n, _Q[_n], _SQL.get(_n))
 for _f, _s in {"avg": "avg(v)", "max": "max(v)", "count": "CAST(count(v) AS DOUBLE)"}.items():
-    _whole(f"promql_hot_{_f}_by", prom(f"{_f} by (group) (bus_load_percent)"), f"WITH {_points('bus_load_percent')} SELECT {_by} AS labels, ts, round({_s}, 3) AS value FROM p GROUP BY 1, 2")
-_whole("promql_hot_idelta", prom("sum(idelta(bus_load_percent[6h]))"), f"WITH {_points('bus_load_percent', back=21600)}, q AS ({_pair}) SELECT '' AS labels, ts, round(sum(v - pv), 3) AS value FROM q WHERE ts - pt <= 21600 AND ts >= {M0} GROUP BY ts")
-_whole("promql_hot_stddev_over_time", prom("sum by (group) (stddev_over_time(bus_load_percent[6h]))", places=2), f"WITH {_points('bus_load_percent', back=21600)}, q AS (SELECT s, ts, stddev_pop(v) OVER w AS x FROM p {_win}) SELECT {_by} AS labels, ts, round(sum(x), 2) + 0.0 AS value FROM q WHERE x IS NOT NULL AND ts >= {M0} GROUP BY 1, 2")
+    add(f"promql_hot_{_f}_by", prom(f"{_f} by (group) (bus_load_percent)"), f"WITH {_points('bus_load_percent')} SELECT {_by} AS labels, ts, round({_s}, 3) AS value FROM p GROUP BY 1, 2")
+add("promql_hot_idelta", prom("sum(idelta(bus_load_percent[6h]))"), f"WITH {_points('bus_load_percent', back=21600)}, q AS ({_pair}) SELECT '' AS labels, ts, round(sum(v - pv), 3) AS value FROM q WHERE ts - pt <= 21600 AND ts >= {M0} GROUP BY ts")
+add("promql_hot_stddev_over_time", prom("sum by (group) (stddev_over_time(bus_load_percent[6h]))", places=2), f"WITH {_points('bus_load_percent', back=21600)}, q AS (SELECT s, ts, stddev_pop(v) OVER w AS x FROM p {_win}) SELECT {_by} AS labels, ts, round(sum(x), 2) + 0.0 AS value FROM q WHERE x IS NOT NULL AND ts >= {M0} GROUP BY 1, 2")
 _cat = lambda f: lambda s, d: f(table(s, d, "metrics"))
-add("catalog_metric_names", _cat(catalog.metric_names), "SELECT DISTINCT metric FROM metrics")
-add("catalog_tag_keys", _cat(catalog.tag_keys), "SELECT DISTINCT unnest(map_keys(tags)) AS key FROM metrics")
-add("catalog_tag_values", _cat(partial(catalog.tag_values, key="group")), "SELECT DISTINCT tags['group'] AS value FROM metrics WHERE tags['group'] IS NOT NULL")
+add("catalog_metric_names", _cat(catalog.metric_names), "SELECT DISTINCT regexp_replace(metric, '[^A-Za-z0-9_]', '_', 'g') AS metric FROM metrics")
+add("catalog_tag_keys", _cat(catalog.tag_keys), f"SELECT DISTINCT split_part(x, '=', 1) AS key FROM (SELECT unnest({_SER}) AS x FROM metrics)")
+add("catalog_tag_values", _cat(partial(catalog.tag_values, key="group")), "SELECT DISTINCT tags['group'] AS value FROM metrics WHERE coalesce(tags['group'], '') <> ''")
 add("catalog_cardinality", _cat(catalog.cardinality), f"SELECT count(*) AS series FROM (SELECT DISTINCT regexp_replace(metric, '[^A-Za-z0-9_]', '_', 'g') AS m, {_SER} AS s FROM metrics)")
 add("catalog_keys_most_series", _cat(catalog.tag_keys_with_most_series), f"SELECT split_part(x, '=', 1) AS key, count(*) AS series FROM (SELECT unnest(s) AS x FROM (SELECT DISTINCT regexp_replace(metric, '[^A-Za-z0-9_]', '_', 'g') AS m, {_SER} AS s FROM metrics)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 add("catalog_pairs_most_series", _cat(catalog.tag_pairs_with_most_series), f"SELECT split_part(x, '=', 1) AS key, substr(x, strpos(x, '=') + 1) AS value, count(*) AS series FROM (SELECT unnest(s) AS x FROM (SELECT DISTINCT regexp_replace(metric, '[^A-Za-z0-9_]', '_', 'g') AS m, {_SER} AS s FROM metrics)) GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10")
-add("catalog_keys_most_values", _cat(catalog.tag_keys_with_most_values), "SELECT e.key AS key, count(DISTINCT e.value) AS values FROM (SELECT unnest(map_entries(tags)) AS e FROM metrics) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+add("catalog_keys_most_values", _cat(catalog.tag_keys_with_most_values), f"SELECT split_part(x, '=', 1) AS key, count(DISTINCT substr(x, strpos(x, '=') + 1)) AS values FROM (SELECT unnest({_SER}) AS x FROM metrics) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 
 
 # ---- traces --------------------------------------------------------------------------------------------
 def spans_of(spark: SparkSession, d: str) -> DataFrame:
-    """Spans made of line items: an order is a trace, each line a child of the line before."""
-    first = F.min(F.struct("l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")).alias("x")
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(first).select("l_orderkey", "l_linenumber", "x.*")
+    """Spans made of line items: an order is a trace, each line a child of the (first) line before.
+
+    Line numbers repeat within an order, so a rank tells rows of one number apart."""
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+    li = table(spark, d, "lineitem").withColumn("rn", F.row_number().over(w))
     start = F.col("l_linenumber").cast("bigint") * 1_000_000
     dur = F.col("l_quantity").cast("bigint") * 1_000_000
     return li.select(
-        F.col("l_orderkey").cast("string").alias("trace_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("span_id"),
-        F.when(F.col("l_linenumber") > 1, F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber") - 1)).otherwise("").alias("parent_span_id"),
+        F.col("l_orderkey").cast("string").alias("trace_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "rn").alias("span_id"),
+        F.when(F.col("l_linenumber") > 1, F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber") - 1, F.lit(1))).otherwise("").alias("parent_span_id"),
         F.concat(F.lit("svc"), F.col("l_suppkey") % 7).alias("service"), F.col("l_returnflag").alias("name"),
         F.when(F.col("l_discount") > 0.08, "STATUS_CODE_ERROR").otherwise("STATUS_CODE_OK").alias("status"), start.alias("start_time"), (start + dur).alias("end_time"), dur.alias("duration"),
     )
 
 
-_sp = "WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_partkey, l_quantity, l_extendedprice, l_discount, l_returnflag) AS rn FROM lineitem), s AS (SELECT CAST(l_orderkey AS VARCHAR) AS trace_id, l_orderkey || '-' || l_linenumber AS span_id, CASE WHEN l_linenumber > 1 THEN l_orderkey || '-' || (l_linenumber - 1) ELSE '' END AS parent_span_id, 'svc' || (l_suppkey % 7) AS service, l_returnflag AS name, CASE WHEN l_discount > 0.08 THEN 'STATUS_CODE_ERROR' ELSE 'STATUS_CODE_OK' END AS status, CAST(l_linenumber AS BIGINT) * 1000000 AS start_time, CAST(l_linenumber AS BIGINT) * 1000000 + CAST(l_quantity AS BIGINT) * 1000000 AS end_time, CAST(l_quantity AS BIGINT) * 1000000 AS duration FROM l WHERE rn = 1) "
-add("trace_summaries", lambda s, d: traces.trace_summaries(spans_of(s, d)), _sp + "SELECT trace_id, min(start_time) AS start_time, max(end_time) AS end_time, count(*) AS span_count, count(*) FILTER (status = 'STATUS_CODE_ERROR') AS span_errors_count, min(service) FILTER (parent_span_id = '') AS service_name, min(name) FILTER (parent_span_id = '') AS operation_name FROM s GROUP BY trace_id")
+_sp = "WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_partkey, l_quantity, l_extendedprice, l_discount, l_returnflag) AS rn FROM lineitem), s AS (SELECT CAST(l_orderkey AS VARCHAR) AS trace_id, l_orderkey || '-' || l_linenumber || '-' || rn AS span_id, CASE WHEN l_linenumber > 1 THEN l_orderkey || '-' || (l_linenumber - 1) || '-1' ELSE '' END AS parent_span_id, 'svc' || (l_suppkey % 7) AS service, l_returnflag AS name, CASE WHEN l_discount > 0.08 THEN 'STATUS_CODE_ERROR' ELSE 'STATUS_CODE_OK' END AS status, CAST(l_linenumber AS BIGINT) * 1000000 AS start_time, CAST(l_linenumber AS BIGINT) * 1000000 + CAST(l_quantity AS BIGINT) * 1000000 AS end_time, CAST(l_quantity AS BIGINT) * 1000000 AS duration FROM l) "
+add("trace_summaries", lambda s, d: traces.trace_summaries(spans_of(s, d)), _sp + "SELECT trace_id, min(start_time) AS start_time, max(end_time) AS end_time, count(*) AS span_count, count(*) FILTER (status = 'STATUS_CODE_ERROR') AS span_errors_count, (min(struct_pack(s := service, n := name)) FILTER (parent_span_id = '')).s AS service_name, (min(struct_pack(s := service, n := name)) FILTER (parent_span_id = '')).n AS operation_name FROM s GROUP BY trace_id")
 add("trace_total", lambda s, d: traces.total_traces(spans_of(s, d)), "SELECT count(DISTINCT l_orderkey) AS total_traces FROM lineitem")
-add("trace_red", lambda s, d: rounded(traces.red(spans_of(s, d))), _sp + ", e AS (SELECT s.* FROM s LEFT JOIN s p ON s.trace_id = p.trace_id AND s.parent_span_id = p.span_id WHERE p.service IS NULL OR p.service <> s.service) SELECT service, round(count(*) / 60.0, 4) AS rate, round(count(*) FILTER (status = 'STATUS_CODE_ERROR') * 100.0 / count(*), 4) AS error_rate, round(quantile_cont(duration / 1e6, 0.5), 4) AS p50, round(quantile_cont(duration / 1e6, 0.9), 4) AS p90, round(quantile_cont(duration / 1e6, 0.95), 4) AS p95, round(quantile_cont(duration / 1e6, 0.99), 4) AS p99 FROM e GROUP BY service")
+add("trace_red", lambda s, d: rounded(traces.red(spans_of(s, d), exact=True)), _sp + ", e AS (SELECT s.* FROM s LEFT JOIN s p ON s.trace_id = p.trace_id AND s.parent_span_id = p.span_id WHERE p.service IS NULL OR p.service <> s.service) SELECT service, round(count(*) / 60.0, 4) AS rate, round(count(*) FILTER (status = 'STATUS_CODE_ERROR') * 100.0 / count(*), 4) AS error_rate, round(quantile_cont(duration / 1e6, 0.5), 4) AS p50, round(quantile_cont(duration / 1e6, 0.9), 4) AS p90, round(quantile_cont(duration / 1e6, 0.95), 4) AS p95, round(quantile_cont(duration / 1e6, 0.99), 4) AS p99 FROM e GROUP BY service")
 add("trace_dependencies", lambda s, d: traces.dependencies(spans_of(s, d)), _sp + 'SELECT p.service AS parent, s.service AS child, count(*) AS "callCount" FROM s JOIN s p ON s.trace_id = p.trace_id AND s.parent_span_id = p.span_id WHERE p.service <> s.service GROUP BY 1, 2')
-add("trace_trees", lambda s, d: traces.span_trees(spans_of(s, d)).select("trace_id", "spans", F.col("depth").cast("bigint").alias("depth")), None)
+add("trace_trees", lambda s, d: traces.span_trees(spans_of(s, d)).select("trace_id", "spans", F.col("depth").cast("bigint").alias("depth")), _sp + ", t AS (SELECT s.trace_id, s.span_id, 1 AS depth FROM s LEFT JOIN s p ON s.parent_span_id = p.span_id WHERE p.span_id IS NULL UNION ALL SELECT s.trace_id, s.span_id, t.depth + 1 FROM s JOIN t ON s.parent_span_id = t.span_id) SELECT trace_id, count(*) AS spans, CAST(max(depth) AS BIGINT) AS depth FROM t GROUP BY trace_id")
+add("trace_page", lambda s, d: traces.trace_page(spans_of(s, d), 2, 20).select("trace_id", "start_time", "span_count"), _sp + "SELECT trace_id, min(start_time) AS start_time, count(*) AS span_count FROM s GROUP BY trace_id ORDER BY start_time DESC, trace_id LIMIT 20 OFFSET 20")
 add("trace_services", lambda s, d: traces.services(spans_of(s, d)), _sp + "SELECT DISTINCT service FROM s")
 add("trace_operations", lambda s, d: traces.operations(spans_of(s, d), "svc3"), _sp + "SELECT DISTINCT name FROM s WHERE service = 'svc3'")
 
@@ -405,10 +428,8 @@ add("stream_dedup", _stream(lambda s: live.dedup(s, ["user_id", "event_type"], "
 add("stream_sessions", _stream(lambda s: live.sessions(s, "ts", ["user_id"], "4 hours", "1 hour").select(*_ntz("session_start"), "user_id", "eventcount")), f"WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOURS THEN 0 ELSE 1 END AS b FROM events), g AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts, b DESC ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT min(ts) AS session_start, user_id, count(*) AS eventcount FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 4 HOURS <= ({_closed})")
 add("es_multi_match", es({"query": {"multi_match": {"query": "gateway", "fields": ["text", "source"]}}, "aggs": {"s": {"terms": {"field": "source"}}}}, "documents"), f"SELECT source AS s, count(*) AS doc_count FROM documents WHERE regexp_matches(coalesce(text, ''), '(?i){W.format('gateway')}') OR regexp_matches(coalesce(source, ''), '(?i){W.format('gateway')}') GROUP BY 1")
 add("es_by_id", lambda s, d: rounded(esdsl.by_id(engine(s, d), "events", ["3", "17", "none"], "event_id").select("event_id", "value")), "SELECT event_id, round(value, 4) AS value FROM events WHERE event_id IN (3, 17)")
-add("promql_formula", lambda s, d, end=M1: Evaluator(table(s, d, "metrics"), M0, end, STEP).formula("a + b", {"a": "sum by (group) (fuel_level_percent)", "b": "sum by (group) (battery_volts)"}).select(labels_text(F.col("labels")).alias("labels"), "ts", F.round("value", 3).alias("value")), _two + f"SELECT {_lab} AS labels, a.ts, round(a.v + b.v, 3) AS value FROM a JOIN b ON a.g IS NOT DISTINCT FROM b.g AND a.ts = b.ts")
-add("promql_instant", lambda s, d, end=M1: Evaluator(table(s, d, "metrics"), M0, end, STEP).instant("max by (group) (fuel_level_percent)").select(labels_text(F.col("labels")).alias("labels"), "ts", F.round("value", 3).alias("value")), f"WITH {_points('fuel_level_percent')}, m AS (SELECT {_by} AS labels, ts, max(v) AS v FROM p GROUP BY 1, 2) SELECT labels, max(ts) AS ts, round(max_by(v, ts), 3) AS value FROM m GROUP BY labels")
-for _n in ("promql_formula", "promql_instant"):
-    _whole(_n, _Q[_n], _SQL[_n])
+add("promql_formula", lambda s, d: Evaluator(table(s, d, "metrics"), M0, M1, STEP).formula("a + b", {"a": "sum by (group) (fuel_level_percent)", "b": "sum by (group) (battery_volts)"}).select(labels_text(F.col("labels")).alias("labels"), "ts", F.round("value", 3).alias("value")), _two + f"SELECT {_lab} AS labels, a.ts, round(a.v + b.v, 3) AS value FROM a JOIN b ON a.g IS NOT DISTINCT FROM b.g AND a.ts = b.ts")
+add("promql_instant", lambda s, d: Evaluator(table(s, d, "metrics"), M0, M1, STEP).instant("max by (group) (fuel_level_percent)").select(labels_text(F.col("labels")).alias("labels"), "ts", F.round("value", 3).alias("value")), f"WITH {_points('fuel_level_percent')}, m AS (SELECT {_by} AS labels, ts, max(v) AS v FROM p GROUP BY 1, 2) SELECT labels, max(ts) AS ts, round(max_by(v, ts), 3) AS value FROM m GROUP BY labels")
 
 
 def queries() -> dict[str, Query]:

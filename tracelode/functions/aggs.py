@@ -96,7 +96,8 @@ def build(a: Agg, v: Val | None, ts: Column | None, exact: bool = True) -> Colum
         p = 0.5 if a.fn == "median" else a.param / 100  # type: ignore[operator]
         return F.percentile(n, p) if exact or a.fn == "exactperc" else F.percentile_approx(n, p, 10_000)
     if a.fn == "upperperc":
-        return F.percentile(n, a.param / 100)  # type: ignore[operator]
+        p = a.param / 100  # type: ignore[operator]
+        return F.percentile(n, p) if exact else F.percentile_approx(n, p, 10_000)
     if a.fn == "sumsq":
         return F.sum(n * n)
     if a.fn == "var":
@@ -112,16 +113,19 @@ def build(a: Agg, v: Val | None, ts: Column | None, exact: bool = True) -> Colum
     if ts is None:
         raise QueryError(f"{a.fn} needs event times, which an earlier command removed")
     known = F.when(v.c.isNotNull(), ts)
-    if a.fn in ("earliest", "last"):  # events come newest first: the last one is the earliest
-        return F.min_by(v.c, known)
+    # events come newest first: the last one is the earliest; of several at one time the least (latest: greatest) value
+    at = F.when(v.c.isNotNull(), F.struct(ts.alias("t"), v.c.alias("v")))
+    if a.fn in ("earliest", "last"):
+        return F.min(at)["v"]
     if a.fn in ("latest", "first"):
-        return F.max_by(v.c, known)
+        return F.max(at)["v"]
     if a.fn == "earliest_time":
         return F.min(known)
     if a.fn == "latest_time":
         return F.max(known)
     if a.fn == "rate":  # change per second between the earliest and the latest value
-        return F.try_divide(F.max_by(n, known) - F.min_by(n, known), (F.max(known) - F.min(known)) / 1000)
+        x = F.when(v.c.isNotNull(), F.struct(ts.alias("t"), n.alias("v")))
+        return F.try_divide(F.max(x)["v"] - F.min(x)["v"], (F.max(known) - F.min(known)) / 1000)
     raise QueryError(f"unknown aggregate {a.fn}")
 
 

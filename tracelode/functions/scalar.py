@@ -11,6 +11,7 @@ import ipaddress
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -104,16 +105,65 @@ def _round(ctx: Ctx, x: Val, n: Val | None = None) -> Val:
     return num(F.signum(c) * F.floor(F.abs(c) + 0.5) / scale)
 
 
-@F.pandas_udf(T.DoubleType())
-def _sigfig_udf(v: pd.Series, digits: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(x) or pd.isna(d) else float(f"{x:.{max(int(d), 1) - 1}e}") for x, d in zip(v, digits)], dtype="float64")
+def _figures(t: str) -> tuple[int, int]:
+    """Significant figures and decimal places of a written number.  Zeros at the end of an
+    integer say nothing of its precision, nor do those in front of a fraction."""
+    whole, dot, part = t.lower().partition("e")[0].lstrip("+-").partition(".")
+    if not dot:
+        return len(whole.strip("0") and whole.rstrip("0")), 0
+    return (len(whole) + len(part) if whole.strip("0") else len(part.lstrip("0"))), len(part)
 
 
-@fn("sigfig", 1)
-def _sigfig(ctx: Ctx, x: Val) -> Val:
-    """Rounded to the significant figures its text shows."""
-    digits = F.length(F.regexp_replace(F.regexp_replace(as_str(x), r"[eE].*$|[^0-9]", ""), "^0+", ""))
-    return num(_sigfig_udf(as_num(x), digits))
+def _written(x: float) -> str:
+    t = format(Decimal(repr(x)), "f")
+    return t[:-2] if t.endswith(".0") else t
+
+
+def _nearest(x: float, places: int) -> float:
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+
+
+def _to_figures(x: float, figures: int) -> float:
+    whole, _, part = _written(abs(x)).partition(".")
+    if len(whole) + len(part) < figures:
+        return x
+    return _nearest(x, figures + len(part) - len(part.lstrip("0")) if whole == "0" else figures - len(whole))
+
+
+def _significant(tree: object, leaf: list[str], steps: list[tuple[int, int]]) -> tuple[float, int, int, str]:
+    """Value, figures, places and operator of a tree of + - * /; ``steps`` gets what each operation leaves."""
+    if isinstance(tree, int):
+        return float(leaf[tree]), *_figures(leaf[tree]), ""
+    op, *sides = tree  # type: ignore[misc]
+    (x, fx, px, _), (y, fy, py, _) = (_significant(s, leaf, steps) for s in sides)
+    figures, places = min(fx, fy), min(px, py)
+    v = x + y if op == "+" else x - y if op == "-" else x * y if op == "*" else x / y
+    if op in "+-":
+        whole, _, part = _written(v).partition(".")
+        figures = _figures(f"{whole}.{part[:places]}" if part else whole)[0]
+    else:
+        places = _figures(_written(_to_figures(v, figures)))[1]
+    steps.append((figures, places))
+    return v, *_figures(_written(v)), op
+
+
+def sigfig(tree: object, leaves: list[Column]) -> Column:
+    """The value of a tree of operators over ``leaves`` (texts), rounded as the precision of its numbers
+    allows: sums to the fewest decimal places, products to the fewest significant figures of any step."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(texts: pd.DataFrame) -> pd.Series:
+        out = []
+        for row in texts.itertuples(index=False):
+            try:
+                steps: list[tuple[int, int]] = []
+                v, *_, op = _significant(tree, list(row), steps)
+                out.append(v if not op else _nearest(v, min(p for _, p in steps)) if op in "+-" else _to_figures(v, min(f for f, _ in steps)))
+            except (TypeError, ValueError, ArithmeticError):
+                out.append(None)
+        return pd.Series(out, dtype="float64")
+
+    return run(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(leaves)]))
 
 
 @fn("pi", 0)
@@ -280,9 +330,7 @@ def _tostring(ctx: Ctx, v: Val, form: Val | None = None) -> Val:
         return text(F.call_function("format_number", c, F.lit("#,##0.##")))
     if f == "duration":
         n = c.try_cast("bigint")
-        days = F.call_function("div", n, F.lit(86_400))
-        clock = F.format_string("%02d:%02d:%02d", F.call_function("div", n % 86_400, F.lit(3_600)), F.call_function("div", n % 3_600, F.lit(60)), n % 60)
-        return text(F.when(days > 0, F.concat(days.cast("string"), F.lit("+"), clock)).otherwise(clock))
+        return text(F.format_string("%02d:%02d:%02d", F.call_function("div", n, F.lit(3_600)), F.call_function("div", n % 3_600, F.lit(60)), n % 60))
     raise QueryError(f"unknown format {f!r}")
 
 
@@ -387,7 +435,7 @@ def _typeof(ctx: Ctx, v: Val) -> Val:
 # Fixed values: % letters of time formats as date patterns.
 _STRFTIME = {
     "Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "e": "d", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "p": "a", "B": "MMMM", "b": "MMM", "h": "MMM", "A": "EEEE", "a": "EEE",
-    "j": "DDD", "f": "SSSSSS", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "D": "MM/dd/yy", "R": "HH:mm", "z": "xx", "Z": "zzz", "k": "H", "l": "h", "c": "EEE MMM d HH:mm:ss yyyy", "x": "MM/dd/yyyy", "X": "HH:mm:ss",
+    "j": "DDD", "f": "SSSSSS", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "D": "MM/dd/yy", "R": "HH:mm", "z": "xx", "Z": "zzz", "k": "H", "l": "h", "c": "EEE MMM d HH:mm:ss yyyy", "x": "MM/dd/yy", "X": "HH:mm:ss",
 }
 
 
@@ -408,12 +456,12 @@ def _format_parts(f: str, ts: Column) -> list[Column]:
             parts.append(F.substring(F.lpad((F.pmod(us, F.lit(1_000_000)) * 1000).cast("string"), 9, "0"), 1, n))
         elif k == "w":
             parts.append((F.dayofweek(ts) - 1).cast("string"))
-        elif k == "U":
-            parts.append(F.lpad(F.floor((F.dayofyear(ts) + 6 - (F.dayofweek(ts) - 1)) / 7).cast("string"), 2, "0"))
-        elif k == "W":
-            parts.append(F.lpad(F.floor((F.dayofyear(ts) + 6 - F.pmod(F.dayofweek(ts) + 5, F.lit(7))) / 7).cast("string"), 2, "0"))
-        elif k == "V":
-            parts.append(F.lpad(F.weekofyear(ts).cast("string"), 2, "0"))
+        elif k in "jUWV":  # fixed rules: numbers of day and week without leading zeros
+            day, weekday = F.dayofyear(ts), F.dayofweek(ts) - 1
+            n = {"j": day, "U": F.floor(day / 7), "W": F.floor((weekday - 1 + day) / 7), "V": F.weekofyear(ts)}[k]
+            parts.append(n.cast("string"))
+        elif k == "e":
+            parts.append(F.lpad(F.dayofmonth(ts).cast("string"), 2, " "))
         elif k == "Ez":
             parts.append(F.lit("+00:00"))
         elif k in "zZ":

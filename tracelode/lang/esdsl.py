@@ -230,7 +230,8 @@ def aggregate(fr: Frame, aggs: dict) -> Frame:
             elif kind in _METRICS:
                 metrics.append(_METRICS[kind](as_num(bind.field(fr, spec["field"]))).alias(name))
             elif kind == "cardinality":
-                metrics.append(F.count_distinct(bind.field(fr, spec["field"]).c).alias(name))
+                c = bind.field(fr, spec["field"]).c
+                metrics.append((F.count_distinct(c) if fr.exact else F.approx_count_distinct(c, 0.01)).alias(name))
             elif kind in ("value_count", "count"):
                 metrics.append(F.count(bind.field(fr, spec["field"]).c).alias(name))
             else:

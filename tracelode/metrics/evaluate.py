@@ -50,25 +50,34 @@ def labels_text(c: Column) -> Column:
 
 
 class Evaluator:
-    """Queries over ``metric, tags, timestamp (s), value`` between start and end (both included)."""
+    """Queries over ``metric, tags, timestamp (s), value`` between start and end (both included).
 
-    def __init__(self, metrics: DataFrame, start: int, end: int, step: int | None = None) -> None:
+    Quantiles over series keep a summary of bounded size (rank error 1e-4); ``exact`` keeps all values."""
+
+    def __init__(self, metrics: DataFrame, start: int, end: int, step: int | None = None, exact: bool = False) -> None:
         self.metrics, self.start, self.end = metrics, start, end
         self.step = step or step_for(start, end)
+        self.exact, self.loose = exact, False
 
     def query(self, text: str) -> DataFrame:
         """``labels, ts, value`` of a range query; a scalar gives one row a step without labels."""
-        v = self.eval(P.parse(text))
-        return self.vector(v) if isinstance(v, float) else v
+        e = P.parse(text)
+        v = self.eval(e)
+        return _sorted(self.vector(v) if isinstance(v, float) else v, e, ["ts"])
 
     def instant(self, text: str) -> DataFrame:
         """The same at the last evaluation time that has a value for the series."""
         v = self.query(text)
-        return v.groupBy("labels").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
+        return _sorted(v.groupBy("labels").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value")), P.parse(text), [])
 
-    def formula(self, text: str, queries: dict[str, str]) -> DataFrame:
-        """``a + b`` over named queries."""
-        return self.query(re.sub(r"\b([A-Za-z])\b(?!\s*[({])", lambda m: f"({queries[m[1]]})" if m[1] in queries else m[1], text))
+    def formula(self, text: str, queries: dict[str, str], match_labels: bool = True) -> DataFrame:
+        """``a + b`` over named queries.  Without ``match_labels`` a side of one series (of all times) is
+        applied to every series of the other one, whatever their labels."""
+        self.loose = not match_labels
+        try:
+            return self.query(re.sub(r"\b([A-Za-z_]\w*)\b(?!\s*[({])", lambda m: f"({queries[m[1]]})" if m[1] in queries else m[1], text))
+        finally:
+            self.loose = False
 
     def vector(self, v: float) -> DataFrame:
         return self._grid().select(F.array().cast(_LABELS).alias("labels"), "ts", F.lit(v).alias("value"))
@@ -132,7 +141,7 @@ class Evaluator:
             phi = self._scalar(e.param)
             if phi < 0 or phi > 1:
                 return x.groupBy("labels", "ts").agg(F.lit(float("-inf") if phi < 0 else float("inf")).alias("value"))
-            return x.groupBy("labels", "ts").agg(F.percentile(c, phi).alias("value"))
+            return x.groupBy("labels", "ts").agg((F.percentile(c, phi) if self.exact else F.percentile_approx(c, phi, 10_000)).alias("value"))
         if e.name == "count_values":
             name = e.param.value if isinstance(e.param, P.Text) else "value"
             x = x.select(F.sort_array(F.concat("labels", F.array(F.struct(F.lit(name).alias("key"), c.cast("string").alias("value"))))).alias("labels"), "ts", "value")
@@ -167,7 +176,7 @@ class Evaluator:
         if n == "timestamp":
             x = self._frame(e.args[0])
             return x.select(drop_name(F.col("labels")).alias("labels"), "ts", F.col("ts").cast("double").alias("value"))
-        if n in ("sort", "sort_desc"):
+        if n in ("sort", "sort_desc"):  # rows are ordered where the query ends, see _sorted
             return self._frame(e.args[0])
         raise QueryError(f"unknown function {n}")
 
@@ -181,7 +190,7 @@ class Evaluator:
         if isinstance(e, P.Selector) and e.range_s is not None:
             return self.points(e, e.range_s), e.range_s
         if isinstance(e, P.Subquery):
-            inner = Evaluator(self.metrics, self.start - e.range_s - e.offset_s, self.end - e.offset_s, e.step_s or self.step)
+            inner = Evaluator(self.metrics, self.start - e.range_s - e.offset_s, self.end - e.offset_s, e.step_s or self.step, self.exact)
             v = inner.eval(e.expr)
             x = inner.vector(v) if isinstance(v, float) else v
             return x.withColumn("ts", F.col("ts") + e.offset_s), e.range_s
@@ -327,6 +336,8 @@ class Evaluator:
             labels = F.col("labels") if e.op in COMPARE and not e.as_bool else drop_name(F.col("labels"))
             return y.select(labels.alias("labels"), "ts", F.col("__v").alias("value"))
         m = e.matching
+        if self.loose and m.on is None and m.ignoring is None:
+            return self._loose(e, a, b)
         many_right = m.group == "group_right"
         key = lambda c: keep(c, m.on) if m.on is not None else lose(c, m.ignoring or ())
         left = a.select(key(F.col("labels")).alias("k"), drop_name(F.col("labels")).alias("la"), "ts", F.col("value").alias("va"))
@@ -343,6 +354,21 @@ class Evaluator:
         j = j.withColumn("__v", _apply(e.op, F.col("va"), F.col("vb"), e.as_bool, F.col("va"))).where("__v is not null")
         return j.select(out.alias("labels"), "ts", F.col("__v").alias("value"))
 
+    def _loose(self, e: P.Binary, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Operation by time only, for a side of one series; both sides of several series match by labels."""
+        one = lambda x: x.select("labels").distinct().limit(2).count() <= 1
+        right_one = one(b)
+        if not right_one and not one(a):
+            self.loose = False
+            try:
+                return self.binary(e)
+            finally:
+                self.loose = True
+        left = a.select(drop_name(F.col("labels")).alias("la"), "ts", F.col("value").alias("va"))
+        right = b.select(drop_name(F.col("labels")).alias("lb"), "ts", F.col("value").alias("vb"))
+        j = left.join(right, "ts").withColumn("__v", _apply(e.op, F.col("va"), F.col("vb"), e.as_bool, F.col("va"))).where("__v is not null")
+        return j.select(F.col("la" if right_one else "lb").alias("labels"), "ts", F.col("__v").alias("value"))
+
     def _sets(self, e: P.Binary, a: DataFrame | float, b: DataFrame | float) -> DataFrame:
         if isinstance(a, float) or isinstance(b, float):
             raise QueryError(f"{e.op} needs vectors")
@@ -356,6 +382,13 @@ class Evaluator:
         return left.unionByName(right.join(left.select("k").distinct(), "k", "left_anti")).drop("k")
 
 
+def _sorted(v: DataFrame, e: object, first: list[str]) -> DataFrame:
+    """Rows of an outermost ``sort`` in order; inside another expression it has no effect."""
+    if isinstance(e, P.Func) and e.name in ("sort", "sort_desc"):
+        return v.orderBy(*first, F.col("value").desc() if e.name == "sort_desc" else F.col("value").asc(), "labels")
+    return v
+
+
 def _unique(x: DataFrame, labels: str) -> DataFrame:
     """One series a key and time: several on the one side are an error, raised when the plan runs."""
     v = "va" if labels == "la" else "vb"

@@ -12,19 +12,21 @@ from tracelode.lang.lex import QueryError
 from tracelode.lang.timespec import span_ms
 
 
-def _agg(name: str, c: Column) -> Column:
+def _agg(name: str, c: Column, exact: bool = False) -> Column:
     m = re.fullmatch(r"p(\d+)|quantile(0?\.\d+)?", name)
     if m:
-        return F.percentile(c, float(m[1]) / 100 if m[1] else float(m[2] or 0.5))
-    f = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": lambda x: F.count(x).cast("double"), "cardinality": lambda x: F.count_distinct(x).cast("double"), "mean": F.avg}.get(name)
+        p = float(m[1]) / 100 if m[1] else float(m[2] or 0.5)
+        return F.percentile(c, p) if exact else F.percentile_approx(c, p, 10_000)
+    f = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": lambda x: F.count(x).cast("double"), "cardinality": lambda x: (F.count_distinct(x) if exact else F.approx_count_distinct(x, 0.01)).cast("double"), "mean": F.avg}.get(name)
     if f is None:
         raise QueryError(f"unknown aggregator {name}")
     return f(c)
 
 
-def query(metrics: DataFrame, text: str, start: int, end: int) -> DataFrame:
-    """``tags, ts, value``.  A tag with one value or alternatives filters, ``*`` groups by the tag."""
-    m = re.fullmatch(r"\s*([\w.]+):(?:(\d+\w+?)-([\w.]+?)(c)?:)?(?:rate:)?([\w./-]+)(?:\{([^}]*)\})?\s*", text)
+def query(metrics: DataFrame, text: str, start: int, end: int, exact: bool = False) -> DataFrame:
+    """``tags, ts, value``.  A tag with one value, alternatives or a pattern with ``*`` filters; all named
+    tags group.  There is no ``rate``: a query that names it is refused."""
+    m = re.fullmatch(r"\s*([\w.]+):(?:(\d+\w+?)-([\w.]+?)(c)?:)?([\w./-]+)(?:\{([^}]*)\})?\s*", text)
     if not m:
         raise QueryError(f"no query: {text!r}")
     agg, width, down, _, name, tags = m.groups()
@@ -33,16 +35,16 @@ def query(metrics: DataFrame, text: str, start: int, end: int) -> DataFrame:
     group: list[str] = []
     for part in filter(None, (tags or "").split(",")):
         k, _, v = (p.strip() for p in part.partition("="))
-        opts = v.strip('"').split("|")
-        if opts != ["*"]:
-            x = x.where(F.col("tags")[k].isin(opts))
+        opts, tag = v.strip('"').split("|"), F.col("tags")[k]
+        if any("*" in o for o in opts):
+            x = x.where(tag.rlike("^(?:" + "|".join(".*".join(re.escape(p) for p in o.split("*")) for o in opts) + ")$"))
         else:
-            x = x.where(F.col("tags")[k].isNotNull())
+            x = x.where(tag.isin(opts))
         group.append(k)
     step = max(span_ms(width) // 1000, 1) if width else 1
     ts = (F.floor(F.col("timestamp") / step) * step).cast("bigint")
     keys = F.array(*[F.struct(F.lit(k).alias("key"), F.col("tags")[k].alias("value")) for k in sorted(group)]) if group else F.array().cast("array<struct<key:string,value:string>>")
     per_series = x.select(keys.alias("tags"), F.xxhash64(F.sort_array(F.map_entries("tags"))).alias("s"), ts.alias("ts"), "value")
     if width:
-        per_series = per_series.groupBy("tags", "s", "ts").agg(_agg(down, F.col("value")).alias("value"))
-    return per_series.groupBy("tags", "ts").agg(_agg(agg, F.col("value")).alias("value"))
+        per_series = per_series.groupBy("tags", "s", "ts").agg(_agg(down, F.col("value"), exact).alias("value"))
+    return per_series.groupBy("tags", "ts").agg(_agg(agg, F.col("value"), exact).alias("value"))

@@ -15,6 +15,9 @@ from tracelode.plans.frame import Frame
 from tracelode.sources.readers import read_lookup
 
 
+FORMAT_MOST = 10_000
+
+
 def gentimes(fr: Frame, s: str) -> Frame:
     """One row an interval from start to end: start and end in seconds, and both readable."""
     opts, _ = options(words(s), {"start": 0, "end": 0, "increment": 0})
@@ -102,11 +105,18 @@ def lookup(fr: Frame, s: str) -> Frame:
 
 
 def format_cmd(fr: Frame, s: str) -> Frame:
-    """All rows as one boolean search text, as in ``((a="1" AND b="2") OR (...))``."""
+    """All rows as one boolean search text, as in ``((a="1" AND b="2") OR (...))``.
+
+    The text is one cell, so ``maxresults`` (10,000) bounds the rows; more raise an error when the plan runs."""
+    m = re.fullmatch(r"\s*(?:maxresults\s*=\s*(\d+))?\s*", s, re.I)
+    if not m:
+        raise QueryError(f"format takes maxresults only: {s!r}")
+    most = int(m[1] or FORMAT_MOST)
     cols = [F.when(q(c).isNotNull(), F.concat(F.lit(f'{c}="'), as_str(column(fr.df, c)), F.lit('"'))) for c in fr.columns]  # type: ignore[arg-type]
     row = F.concat(F.lit("( "), F.concat_ws(" AND ", *cols), F.lit(" )"))
     key = F.struct(*map(F.col, [c for c, _ in fr.order])) if fr.order else F.lit(0)
-    g = fr.df.select(F.struct(key.alias("k"), row.alias("r")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    g = fr.df.select(F.struct(key.alias("k"), row.alias("r")).alias("x")).limit(most + 1).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    g = g.withColumn("x", F.when(F.size("x") > most, F.raise_error(F.lit(f"format has more than {most} rows")).cast(g.schema["x"].dataType)).otherwise(F.col("x")))
     return fr.with_df(g.select(F.when(F.size("x") > 0, F.concat(F.lit("( "), F.array_join(F.col("x.r"), " OR "), F.lit(" )"))).otherwise("NOT( )").alias("search")), order=None)
 
 

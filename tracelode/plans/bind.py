@@ -87,6 +87,11 @@ def _call(fr: Frame, n: E.Call, local: dict[str, Val] | None) -> Val:
             raise QueryError("searchmatch takes a literal")
         node = S.parse(str(s.value))
         return boolean(F.lit(True) if node is None else clause(fr, node))
+    if n.name == "sigfig":
+        if len(n.args) != 1:
+            raise QueryError("sigfig takes one expression")
+        leaves: list[Column] = []
+        return num(scalar.sigfig(_arithmetic(fr, n.args[0], local, leaves), leaves))
     if n.name in ("mvfilter", "mvmap"):
         names = _fields(n.args[0] if n.name == "mvfilter" else n.args[1])
         if n.name == "mvfilter" and len(names) != 1:
@@ -99,6 +104,14 @@ def _call(fr: Frame, n: E.Call, local: dict[str, Val] | None) -> Val:
     return scalar.call(ctx, n.name, [value(fr, a, local) for a in n.args])
 
 
+def _arithmetic(fr: Frame, n: E.Node, local: dict[str, Val] | None, leaves: list[Column]) -> object:
+    """``(op, left, right)`` trees over numbers of leaves; literals keep their spelling."""
+    if isinstance(n, E.Op) and n.op in ("+", "-", "*", "/"):
+        return (n.op, *[_arithmetic(fr, a, local, leaves) for a in n.args])
+    leaves.append(F.lit(n.raw) if isinstance(n, E.Lit) and n.raw is not None else as_str(value(fr, n, local)))
+    return len(leaves) - 1
+
+
 def _fields(n: E.Node) -> set[str]:
     if isinstance(n, E.Field):
         return {n.name}

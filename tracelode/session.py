@@ -6,9 +6,11 @@ import atexit
 import os
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Configuration the engine is tuned for.  A session handed in by a caller is
 #: never reconfigured; operators only rely on what they state themselves.
@@ -39,10 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in
-    ``spark.checkpoint.dir``.  Only where that is unset (local tests) a
-    temporary folder is made and remembered in the session."""
+    ``spark.checkpoint.dir``.  Only where that is unset and all tasks run on this
+    machine (tests) a temporary folder is made and remembered in the session;
+    on a cluster each executor would write to a disk of its own."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tracelode.shared.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="tracelode-")
         spark.conf.set("spark.tracelode.shared.dir", d)
     return d.rstrip("/")
@@ -78,12 +83,26 @@ def cut(df: DataFrame, label: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``df`` with a broadcast hint only if a count proves that it has at most
-    ``max_rows`` rows (rows here are a few dozen bytes wide); beyond that the
-    frame comes back without a hint and joins by shuffle."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def _bytes(c: Column, t: T.DataType) -> Column:
+    """About what a value takes in a broadcast table."""
+    if isinstance(t, T.StructType):
+        return reduce(lambda a, b: a + b, [_bytes(c[f.name], f.dataType) for f in t.fields], F.lit(8))
+    if isinstance(t, T.ArrayType) and not isinstance(t.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+        return 24 + 8 * F.coalesce(F.size(c), F.lit(0))
+    if isinstance(t, (T.ArrayType, T.MapType)):
+        return 24 + 2 * F.coalesce(F.length(F.to_json(c)), F.lit(0))
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return 16 + F.coalesce(F.octet_length(c), F.lit(0))
+    return F.lit(8)
+
+
+def small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32_000_000) -> DataFrame:
+    """``df`` with a broadcast hint only if one aggregate over it proves that it has at
+    most ``max_rows`` rows and ``max_bytes`` bytes; beyond that the frame comes back
+    without a hint and joins by shuffle."""
+    width = reduce(lambda a, b: a + b, [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(16))
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("bigint")).alias("b")).first()
+    return F.broadcast(df) if r["n"] <= max_rows and (r["b"] or 0) <= max_bytes else df
 
 
 def parallelism(spark: SparkSession, per_core: int = 2) -> int:

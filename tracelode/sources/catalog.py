@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelode.functions.series import metric_name, tag_entries
 from tracelode.lang.lex import QueryError
 
 
@@ -68,21 +69,27 @@ class Catalog:
         return self.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in self.resolve(name)[0].schema.fields], "name string, type string")
 
 
+# Names and tags are listed in the spelling that tells series apart: other characters than letters, digits
+# and _ stand for _, a tag with an empty value is no tag, and client ids are cleaned.
+
+
 def metric_names(metrics: DataFrame) -> DataFrame:
-    return metrics.select("metric").distinct()
+    return metrics.select(metric_name(F.col("metric")).alias("metric")).distinct()
+
+
+def _tags(metrics: DataFrame) -> DataFrame:
+    return metrics.where("tags is not null").select(F.explode(tag_entries(F.col("tags"))).alias("t")).select("t.key", "t.value")
 
 
 def tag_keys(metrics: DataFrame) -> DataFrame:
-    return metrics.where("tags is not null").select(F.explode(F.map_keys("tags")).alias("key")).distinct()
+    return _tags(metrics).select("key").distinct()
 
 
 def tag_values(metrics: DataFrame, key: str) -> DataFrame:
-    return metrics.select(F.col("tags")[key].alias("value")).where("value is not null").distinct()
+    return _tags(metrics).where(F.col("key") == key).select("value").distinct()
 
 
 def series(metrics: DataFrame) -> DataFrame:
-    from tracelode.functions.series import metric_name, tag_entries
-
     return metrics.select(metric_name(F.col("metric")).alias("metric"), tag_entries(F.col("tags")).alias("tags")).distinct()
 
 
@@ -101,5 +108,5 @@ def tag_pairs_with_most_series(metrics: DataFrame, limit: int = 10) -> DataFrame
 
 
 def tag_keys_with_most_values(metrics: DataFrame, limit: int = 10) -> DataFrame:
-    t = metrics.where("tags is not null").select(F.explode("tags").alias("key", "value")).distinct()
+    t = _tags(metrics).distinct()
     return t.groupBy("key").agg(F.count("*").alias("values")).orderBy(F.desc("values"), "key").limit(limit)

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelode.functions.typing import q
+from tracelode.session import cut
 
 
 def flatten(df: DataFrame, arrays: bool = True, most: int = 32) -> DataFrame:
-    """Nested structs to dotted columns; arrays to one column an index (up to the longest, ``most`` at most)."""
+    """Nested structs to dotted columns; arrays to one column an index up to the longest one.
+
+    An array column with more than ``most`` elements in some row, and an array inside of an
+    array's elements, stays whole as a multivalue column of its name."""
     cols: list[Column] = []
 
     def walk(c: Column, t: T.DataType, name: str) -> None:
         if isinstance(t, T.StructType):
             for f in t.fields:
                 walk(c[f.name], f.dataType, f"{name}.{f.name}" if name else f.name)
-        elif isinstance(t, T.ArrayType) and arrays and isinstance(t.elementType, (T.StructType, T.StringType, T.LongType, T.DoubleType, T.BooleanType)):
-            for i in range(sizes.get(name, 0)):
+        elif isinstance(t, T.ArrayType) and sizes.get(name, most + 1) <= most and isinstance(t.elementType, (T.StructType, T.StringType, T.LongType, T.DoubleType, T.BooleanType)):
+            for i in range(sizes[name]):
                 walk(F.get(c, F.lit(i)), t.elementType, f"{name}.{i}")
         else:
             cols.append(c.alias(name))
@@ -37,7 +45,7 @@ def flatten(df: DataFrame, arrays: bool = True, most: int = 32) -> DataFrame:
     sizes: dict[str, int] = {}
     if found and arrays:
         row = df.agg(*[F.max(F.size(c)).alias(str(i)) for i, (_, c) in enumerate(found)]).first()
-        sizes = {n: min(max(row[str(i)] or 0, 0), most) for i, (n, _) in enumerate(found)}
+        sizes = {n: max(row[str(i)] or 0, 0) for i, (n, _) in enumerate(found)}
     for f in df.schema.fields:
         walk(q(f.name), f.dataType, f.name)
     return df.select(*cols)
@@ -58,19 +66,66 @@ def read_events_json(spark: SparkSession, path: str) -> DataFrame:
     return flatten(spark.read.json(path))
 
 
-def read_bulk(spark: SparkSession, path: str) -> DataFrame:
+_ACTION = re.compile(r'\s*\{\s*"(index|create|update|delete)"\s*:\s*(\{.*\}|null)\s*\}\s*$', re.S)
+_PAIRED = "file string, block bigint, kind string, action string, doc string"
+
+
+def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of file splits, in order within each, to pairs.  What a split cannot pair by itself goes
+    out as ``head`` (a document whose action ends the split before) or ``tail`` (an action at its end)."""
+    at, held, fresh = None, None, True
+    for b in batches:
+        out: list[tuple] = []
+        for file, block, line in zip(*(c.to_pylist() for c in b.columns)):
+            if (file, block) != at:
+                if held is not None:
+                    out.append((*at, "tail", held, None))  # type: ignore[misc]
+                at, held, fresh = (file, block), None, True
+            if not line.strip():
+                continue
+            if held is not None:
+                out.append((*at, "pair", held, line))
+                held = None
+            elif m := _ACTION.match(line):
+                if m[1] != "delete":  # a deletion has no document
+                    held = line
+                if fresh:
+                    out.append((*at, "head", None, None))
+            elif fresh:
+                out.append((*at, "head", None, line))
+            fresh = False
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["file", "block", "kind", "action", "doc"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*at, "tail", held, None), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["file", "block", "kind", "action", "doc"])  # type: ignore[misc]
+
+
+def bulk_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """``action, doc`` of bulk NDJSON.  Files are read in splits and paired within each; only what
+    stands at the edges of splits (two rows a split at most) is shuffled.
+
+    Lines alternate, so a document may look like an action; only at the very start of a split of a
+    file is a line taken for what it looks like.  Blank lines and deletions have no document."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    p = cut(lines.mapInArrow(_pair, _PAIRED), "bulk")
+    edges = p.where("kind <> 'pair'").groupBy("file", "block").agg(F.max(F.when(F.col("kind") == "tail", F.col("action"))).alias("action"), F.max(F.when(F.col("kind") == "head", F.col("doc"))).alias("doc"))
+    w = Window.partitionBy("file").orderBy("block")  # one row a split
+    edges = edges.select("action", F.lead("doc").over(w).alias("doc")).where("action is not null and doc is not null")
+    return p.where("kind = 'pair'").select("action", "doc").unionByName(edges)
+
+
+def read_bulk(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Bulk NDJSON: an action line, then its document; gives ``_index, _id`` and the document's fields.
 
-    Lines are paired by number, so files must not be cut: ``wholetext`` keeps each in one row."""
-    files = spark.read.text(path, wholetext=True)
-    lines = files.select(F.explode(F.sequence(F.lit(0), F.size(F.split("value", "\n")) - 1)).alias("i"), F.split("value", "\n").alias("l"))
-    act = F.get("l", F.col("i"))
-    pairs = lines.where(act.rlike(r'^\s*\{\s*"(index|create|update)"')).select(act.alias("a"), F.get("l", F.col("i") + 1).alias("doc"))
-    meta = [F.coalesce(*[F.get_json_object("a", f"$.{k}.{f}") for k in ("index", "create", "update")]).alias(f) for f in ("_index", "_id")]
-    docs = pairs.select(*meta, "doc")
-    # the one inference pass over the documents, as for any JSON source
-    inferred = spark.read.json(docs.select("doc").rdd.map(lambda r: r["doc"])).schema
-    return flatten(docs.select("_index", "_id", F.from_json("doc", inferred).alias("d")).select("_index", "_id", "d.*"))
+    Without a ``schema`` of the documents it is inferred in one pass, in the JVM, as for any JSON source."""
+    p = bulk_pairs(spark, path)
+    if schema is None:
+        docs = cut(p, "bulkdocs") if not p.isEmpty() else p
+        strings = getattr(docs.select("doc")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        schema = DataFrame(spark._jsparkSession.read().json(strings), spark).schema
+        p = docs
+    meta = [F.coalesce(*[F.get_json_object("action", f"$.{k}.{f}") for k in ("index", "create", "update")]).alias(f) for f in ("_index", "_id")]
+    d = p.select(*meta, F.from_json("doc", schema).alias("d"))
+    return flatten(d.select("_index", "_id", "d.*") if (schema.fields if isinstance(schema, T.StructType) else True) else d.select("_index", "_id"))
 
 
 def read_hec(spark: SparkSession, path: str) -> DataFrame:
