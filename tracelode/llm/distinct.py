@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.functions.lanes import runs
 from tracelode.functions.series import client_id, metric_name, with_series_hash
 from tracelode.llm import cells as C
 
 M = 1024
-_CHUNK, _MOST_CELLS = 200_000, 4_000
+_CHUNK, _MOST_CELLS, _BLOCK = 200_000, 4_000, 200_000
 _U = np.uint64
 
 
@@ -49,19 +50,30 @@ def add(regs: np.ndarray, cell: np.ndarray, ident: np.ndarray) -> None:
     m = regs.shape[1]
     t = np.zeros(len(ident))
     seed, step = _mix(ident.astype(np.uint64)), _U(0x9E3779B97F4A7C15)
-    worst = regs.max(axis=1)
+    worst, flat = regs.max(axis=1), regs.reshape(-1)
     k = 0
     while len(t):
+        # one point of each at first; the few identifiers that must fill a sketch by themselves get many at once
         k += 1
+        n = 1 if k <= 4 else max(1, min(512, _BLOCK // len(t)))
         with np.errstate(over="ignore"):
-            seed = seed + step
-        h = _mix(seed)
+            h = _mix(seed[:, None] + step * np.arange(1, n + 1, dtype=np.uint64))
+            seed = seed + step * _U(n)
         u = ((h >> _U(21)).astype(np.float64) + 0.5) * 2.0**-43
-        t = t - np.log(u) / m
+        # summed one after the other, so that the value of a point never depends on n
+        at_t = np.cumsum(np.concatenate([t[:, None], -np.log(u) / m], axis=1), axis=1)[:, 1:]
         reg = (_mix(h ^ _U(0xD6E8FEB86659FD93)) % _U(m)).astype(np.int64)
-        np.minimum.at(regs.reshape(-1), cell * m + reg, t)
-        if k < 4 or k % 8 == 0:
-            touched = np.unique(cell)
+        at = (cell[:, None] * m + reg).ravel()
+        # most points come too late for their register; of the others the least counts
+        early = np.flatnonzero(at_t.ravel() < flat[at])
+        at, when = at[early], at_t.ravel()[early]
+        order = np.lexsort((when, at))
+        at = at[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+        flat[at[first]] = when[order][first]
+        t = at_t[:, -1]
+        if k <= 4 or n > 1 or k % 8 == 0:
+            touched = np.flatnonzero(np.bincount(cell, minlength=len(regs)))
             worst[touched] = regs[touched].max(axis=1)
         alive = t <= worst[cell]
         t, cell, seed = t[alive], cell[alive], seed[alive]
@@ -87,6 +99,17 @@ def merge(states: list[bytes]) -> bytes:
     return np.minimum.reduce([np.frombuffer(s, np.float32) for s in states]).tobytes()
 
 
+def merge_many(cell: np.ndarray, states: pa.Array, n: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    data, at = C.payload(states)
+    if not len(cell):
+        return
+    regs = np.frombuffer(data, np.float32).reshape(len(cell), -1)
+    order = np.argsort(cell, kind="stable")
+    first = runs(cell[order])
+    out = np.minimum.reduceat(regs[order], first)
+    yield cell[order][first], C.binary(np.full(len(first), int(at[1])), out.tobytes())
+
+
 def _build(m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict[tuple, int] = {}
@@ -100,13 +123,17 @@ def _build(m: int):
             for kind, column in enumerate(("series", "client")):
                 ids = t.column(column).combine_chunks()
                 ok = ids.is_valid().to_numpy(zero_copy_only=False)
-                pairs = np.unique(np.stack([code[ok], ids.drop_null().to_numpy()]), axis=1) if ok.any() else np.zeros((2, 0), np.int64)
+                cell, ident = code[ok], ids.drop_null().to_numpy()
+                # one of each (cell, identifier), told apart by 64 mixed bits
+                with np.errstate(over="ignore"):
+                    _, one = np.unique(_mix(ident.astype(np.uint64) + _mix(cell.astype(np.uint64) + _U(1))), return_index=True)
+                cell, ident = cell[one], ident[one]
                 rows = np.zeros(len(names), np.int64)
-                for c in np.unique(pairs[0]).tolist():
+                for c in np.flatnonzero(np.bincount(cell, minlength=len(names))).tolist():
                     rows[c] = index.setdefault((kind, C.ALL_SETS, *names[c]), len(index))
                 if len(index) > len(regs):
                     regs = np.concatenate([regs, np.full((max(len(index) - len(regs), 256), m), np.inf)])
-                add(regs, rows[pairs[0]], pairs[1])
+                add(regs, rows[cell], ident)
 
         n = 0
         for b in batches:
@@ -135,12 +162,12 @@ def metric_identifiers(metrics: DataFrame, tag: str = "group") -> DataFrame:
 
 def sketches(identifiers: DataFrame, m: int = M) -> DataFrame:
     """Partial results: one mergeable sketch a (kind, day, metric, tag)."""
-    return C.merge_cells(identifiers.select("day", "metric", "tag", "series", "client").mapInArrow(_build(m), C.SCHEMA), merge)
+    return C.merge_cells(identifiers.select("day", "metric", "tag", "series", "client").mapInArrow(_build(m), C.SCHEMA), merge, merge_many)
 
 
 def rollup(states: DataFrame) -> DataFrame:
     """Sketches of every combination of day, metric and tag."""
-    return C.merge_cells(states, merge, rollup=True)
+    return C.merge_cells(states, merge, merge_many, rollup=True)
 
 
 _COUNTS = "kind int, sets int, day date, metric string, tag string, estimate double, low double, high double, rel_error double"

@@ -8,17 +8,21 @@ exactly.  Sketches merge by addition, and a deletion is an addition with
 negative weight.  A rank is inverted by descending the resolutions: at each one
 the estimated count of the left half decides where to go.
 
-A cell with at most ``SPARSE`` distinct codes keeps those codes with their
-weights: that is lossless, merges the same way, and turns into the sketch when
-it grows beyond (fixed by content, not by the order of merging).
-
-Error: a reported value is off by at most 2^-(BITS-11) relative from encoding;
-its rank by the sum of the errors of the descended levels, each with standard
-deviation at most sqrt(F2/WIDTH) (F2: second moment of the level's counts),
-reported as ``rank_error`` relative to n (two standard deviations).
+A cell keeps its codes with their weights as long as it has seen at most
+``lossless`` (by default ``LOSSLESS``) distinct ones; that merges the same way,
+and turns into the sketch beyond.  Codes whose weight has fallen to zero still
+count as seen, so which form a cell ends in is fixed by its content and not by
+the order of merging or deleting.  With ``lossless=0`` every cell is a sketch.
+
+Error: a reported value is off by at most 2^-(BITS-11) relative from encoding.
+Its rank is off by the errors of the descended levels; each is the spread of
+the ``DEPTH`` independent estimates of a count, and ``rank_error`` reports three
+standard deviations of their sum, relative to n, for the worst of the asked
+ranks (0 for cells that kept their codes).
 
 Defined results: NULL and NaN are left out; infinities sort at the ends; a
-repeated row counts each time; cells without values do not appear.
+repeated row counts each time; cells without values do not appear; codes that
+were deleted more often than they were added count as absent.
 """
 
 from __future__ import annotations
@@ -30,16 +34,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.functions.lanes import runs
 from tracelode.functions.series import metric_name, tag_entries
 from tracelode.llm import cells as C
 from tracelode.llm.distinct import _mix
 
-BITS, EXACT, DEPTH, WIDTH, SPARSE = 26, 12, 5, 512, 4096
+BITS, EXACT, DEPTH, WIDTH, LOSSLESS = 26, 12, 5, 512, 4096
 LEVELS = BITS - EXACT  # level l has ranges of 2^l codes, 0 <= l < LEVELS
 _SIZE = (1 << EXACT) + LEVELS * DEPTH * WIDTH
-_CHUNK, _MOST_BYTES = 200_000, 48_000_000
-_CELL_BYTES, SEP = 500, "\x01"  # what a cell takes beside its state; what stands between key and value of a tag
+_CHUNK, _MOST_BYTES = 100_000, 32_000_000
+SEP = "\x01"  # what stands between key and value of a tag
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+# a kept code is one 64-bit word: code, then weight from -2^36 on; a sketch is told by its size
+_WEIGHT, _CODE = 37, (1 << BITS) - 1
+_HALF, _LOW = 1 << (_WEIGHT - 1), (1 << _WEIGHT) - 1
+#: Standard deviation of the median of five, relative to the distance of the second and fourth of them.
+_MEDIAN_SD = 0.54
 
 
 def encode(v: np.ndarray) -> np.ndarray:
@@ -70,10 +80,12 @@ def _place(node: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dense_of(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The sketch of distinct codes in rising order with their weights."""
     out = np.bincount(code >> LEVELS, weight, _SIZE).astype(np.int64)
     for level in range(LEVELS):
-        node, inv = np.unique(code >> level, return_inverse=True)
-        w = np.bincount(inv, weight)
+        node = code >> level
+        first = runs(node) if len(node) else np.zeros(0, np.int64)
+        node, w = node[first], np.add.reduceat(weight, first) if len(first) else weight
         at, sign = _place(node, level)
         for d in range(DEPTH):
             lo = (1 << EXACT) + (level * DEPTH + d) * WIDTH
@@ -81,158 +93,156 @@ def dense_of(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sum(code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, inv = np.unique(code, return_inverse=True)
-    w = np.bincount(inv, weight, len(u)).astype(np.int64)
-    return u[w != 0], w[w != 0]
-
-
-def pack(code: np.ndarray, weight: np.ndarray) -> bytes:
+def _sum(key: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in rising order with the sum of their weights (None: one each)."""
+    if weight is None:
+        key = np.sort(key)
+        first = runs(key) if len(key) else np.zeros(0, np.int64)
+        return key[first], np.diff(np.append(first, len(key)))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = runs(key) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(weight[order], first) if len(first) else np.zeros(0, np.int64)
+
+
+def _states(cell: np.ndarray, code: np.ndarray, weight: np.ndarray | None, lossless: int, sketches: dict[int, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """The states of many cells from their codes and, for some, what they have as a sketch already."""
+    assert 2 * lossless < _SIZE  # else kept codes could be taken for a sketch
+    u, w = _sum((cell << BITS) | code, weight)
+    owner = u >> BITS
+    first = runs(owner) if len(u) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(u)))
+    dense = (size > lossless) | (np.maximum.reduceat(np.abs(w), first) >= _HALF if len(first) else np.zeros(0, bool))
+    ids = owner[first]
+    sketches = sketches or {}
+    if sketches:
+        dense |= np.isin(ids, list(sketches))
+    if not dense.all():
+        keep = np.repeat(~dense, size)
+        words = ((u[keep] & _CODE) << _WEIGHT) | (w[keep] + _HALF)
+        yield ids[~dense], C.binary(8 * size[~dense], words.tobytes())
+    rest = [(int(ids[i]), slice(first[i], first[i] + size[i])) for i in np.flatnonzero(dense)]
+    rest += [(i, slice(0, 0)) for i in sorted(sketches.keys() - {i for i, _ in rest})]
+    for a in range(0, len(rest), 32):
+        part = rest[a : a + 32]
+        yield np.array([i for i, _ in part]), pa.array([_written(dense_of(u[s] & _CODE, w[s]) + sketches.pop(i, 0)) for i, s in part], pa.binary())
+
+
+def _written(counters: np.ndarray) -> bytes:
+    """A sketch as bytes, in 32 bits a counter where that is enough."""
+    return counters.astype(np.int32 if np.abs(counters).max() < 2**31 else np.int64).tobytes()
+
+
+def _counters(state: bytes | np.ndarray) -> np.ndarray:
+    return np.frombuffer(state, np.int64 if len(state) == 8 * _SIZE else np.int32)
+
+
+def _sketched(size: np.ndarray) -> np.ndarray:
+    return (size == 4 * _SIZE) | (size == 8 * _SIZE)
+
+
+def merge_many(lossless: int = LOSSLESS) -> C.Many:
+    def many(cell: np.ndarray, states: pa.Array, n: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
+        data, at = C.payload(states)
+        dense = _sketched(np.diff(at))
+        sketches: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(dense):
+            c = int(cell[i])
+            if c in sketches:
+                sketches[c] += _counters(data[at[i] : at[i + 1]])
+            else:
+                sketches[c] = _counters(data[at[i] : at[i + 1]]).astype(np.int64)
+        if dense.any():
+            data, at = C.payload(states.filter(pa.array(~dense)))
+            cell = cell[~dense]
+        size = np.diff(at)
+        words = np.frombuffer(data, np.int64)
+        yield from _states(np.repeat(cell, size // 8), words >> _WEIGHT, (words & _LOW) - _HALF, lossless, sketches)
+
+    return many
+
+
+def pack(code: np.ndarray, weight: np.ndarray, lossless: int = LOSSLESS) -> bytes:
     """A state from distinct codes and weights."""
-    if len(code) <= SPARSE:
-        return b"s" + code.astype(np.int64).tobytes() + weight.astype(np.int64).tobytes()
-    return b"d" + dense_of(code, weight).tobytes()
-
-
-def unpack(state: bytes) -> tuple[np.ndarray, np.ndarray] | np.ndarray:
-    a = np.frombuffer(state, np.int64, offset=1)
-    return a if state[:1] == b"d" else (a[: len(a) // 2], a[len(a) // 2 :])
+    return next((s[0].as_py() for _, s in _states(np.zeros(len(code), np.int64), np.asarray(code, np.int64), np.asarray(weight, np.int64), lossless)), b"")
 
 
-def merge(states: list[bytes]) -> bytes:
+def merge(states: list[bytes], lossless: int = LOSSLESS) -> bytes:
     if len(states) == 1:
         return states[0]
-    parts = [unpack(s) for s in states]
-    sparse = [p for p in parts if isinstance(p, tuple)]
-    dense = [p for p in parts if not isinstance(p, tuple)]
-    code, weight = _sum(np.concatenate([p[0] for p in sparse]), np.concatenate([p[1] for p in sparse])) if sparse else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    if not dense:
-        return pack(code, weight)
-    total = np.add.reduce(dense)
-    return b"d" + (total + dense_of(code, weight) if len(code) else total).tobytes()
+    return next((s[0].as_py() for _, s in merge_many(lossless)(np.zeros(len(states), np.int64), pa.array(states, pa.binary()), 1)), b"")
 
 
-def _dense(state: bytes) -> np.ndarray:
-    p = unpack(state)
-    return dense_of(*p) if isinstance(p, tuple) else p
+def is_sketch(state: bytes) -> bool:
+    return bool(_sketched(np.array(len(state))))
 
 
-def count(state: bytes) -> int:
-    p = unpack(state)
-    return int(p[1].sum()) if isinstance(p, tuple) else int(p[: 1 << EXACT].sum())
+def unpack(state: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and weights of a state that kept them."""
+    w = np.frombuffer(state, np.int64)
+    return w >> _WEIGHT, (w & _LOW) - _HALF
 
 
-def quantiles(state: bytes, qs: tuple[float, ...]) -> np.ndarray:
-    """Values at ranks ceil(q n); lossless for sparse states, by descent otherwise."""
-    p, n = unpack(state), count(state)
-    want = np.clip(np.ceil(np.array(qs) * n), 1, max(n, 1))
-    if isinstance(p, tuple):
-        return decode(p[0][np.minimum(np.searchsorted(np.cumsum(p[1]), want), len(p[0]) - 1)])
-    top = np.cumsum(p[: 1 << EXACT])
-    node = np.searchsorted(top, want)
+def count(state: bytes) -> int:
+    return int(_counters(state)[: 1 << EXACT].sum()) if is_sketch(state) else int(unpack(state)[1].sum())
+
+
+def _descend(p: np.ndarray, qs: tuple[float, ...]) -> tuple[int, np.ndarray, float]:
+    """Count, values at ranks ceil(q n) and rank error of a sketch."""
+    p = p.astype(np.int64)
+    n = int(p[: 1 << EXACT].sum())
+    if n <= 0:
+        return n, np.full(len(qs), np.nan), 0.0
+    want = np.clip(np.ceil(np.array(qs) * n), 1, n)
+    top = np.cumsum(np.maximum(p[: 1 << EXACT], 0))
+    node = np.minimum(np.searchsorted(top, want), (1 << EXACT) - 1)
     rank = want - np.where(node > 0, top[node - 1], 0)
     size = p[node].astype(float)
+    off = np.zeros(len(qs))
     for level in range(LEVELS - 1, -1, -1):
         kids = np.stack([node * 2, node * 2 + 1])
-        est = []
+        est, var = [], []
         for k in kids:
             at, sign = _place(k, level)
-            est.append(np.median(p[at] * sign, axis=0))
-        left, right = (np.maximum(e, 0) for e in est)
+            e = np.sort(p[at] * sign, axis=0)
+            est.append(np.maximum(e[DEPTH // 2], 0))
+            var.append((_MEDIAN_SD * (e[DEPTH // 2 + 1] - e[DEPTH // 2 - 1])) ** 2)
         # two looks at one number: the left count itself, and what the right leaves of the parent
-        left = np.clip((left + np.maximum(size - right, 0)) / 2, 0, size)
+        left = np.clip((est[0] + np.maximum(size - est[1], 0)) / 2, 0, size)
+        off += (var[0] + var[1]) / 4
         go = rank > left
         node, rank, size = np.where(go, kids[1], kids[0]), np.where(go, rank - left, rank), np.where(go, size - left, left)
-    return decode(node)
+    return n, decode(node), float(min(1.0, 3 * np.sqrt(off.max()) / n))
+
 
+def quantiles(state: bytes, qs: tuple[float, ...]) -> np.ndarray:
+    """Values at ranks ceil(q n); lossless where codes were kept, by descent otherwise."""
+    if is_sketch(state):
+        return _descend(_counters(state), qs)[1]
+    return _kept(*C.payload(pa.array([state], pa.binary())), qs)[1][0]
 
-def rank_error(state: bytes) -> float:
-    """Two standard deviations of a rank, relative to n; 0 for lossless states."""
-    p = unpack(state)
-    if isinstance(p, tuple):
-        return 0.0
-    f2 = [np.median((p[(1 << EXACT) + lv * DEPTH * WIDTH :][: DEPTH * WIDTH].reshape(DEPTH, WIDTH).astype(float) ** 2).sum(axis=1)) for lv in range(LEVELS)]
-    return float(min(1.0, 2 * np.sqrt(sum(f2) / WIDTH) / max(count(state), 1)))
 
+def rank_error(state: bytes, qs: tuple[float, ...] = QUANTILES) -> float:
+    """Three standard deviations of a rank, relative to n; 0 where codes were kept."""
+    return _descend(_counters(state), qs)[2] if is_sketch(state) else 0.0
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells: dict[tuple, list[bytes]] = {}
-    size = 0
-    held: list[pa.RecordBatch] = []
 
-    def work() -> None:
-        nonlocal size
-        t = pa.Table.from_batches(held)
-        cell, names = C.factor([t.column(c).combine_chunks() for c in ("day", "metric", "tag")])
-        both = (cell << BITS) + encode(t.column("value").to_numpy())
-        u, w = np.unique(both, return_counts=True) if "weight" not in t.column_names else _sum(both, t.column("weight").to_numpy())
-        owner = u >> BITS
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(u) else []
-        for a, b in zip(first, [*first[1:], len(u)]):
-            key = (0, C.ALL_SETS, *names[int(owner[a])])
-            got = cells.setdefault(key, [])
-            got.append(pack(u[a:b] & ((1 << BITS) - 1), w[a:b]))
-            size += len(got[-1])
-            if len(got) >= 8:
-                size -= sum(map(len, got))
-                cells[key] = got = [merge(got)]
-                size += len(got[0])
-
-    n = 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= _CHUNK:
-            work()
-            held, n = [], 0
-            if size > _MOST_BYTES:
-                yield from C.emit({k: merge(v) for k, v in cells.items()})
-                cells, size = {}, 0
-    if n:
-        work()
-    yield from C.emit({k: merge(v) for k, v in cells.items()})
-
-
-def _build_tags(absent: tuple[str, ...]):
-    """As ``_build``, for rows with all their tags: each row counts once in its cell without
-    tag and once in that of each of its tags, named ``key SEP value``; rows that lack a key of
-    ``absent`` count in its cell without value."""
+def _built(lossless: int, tagged: bool, absent: tuple[str, ...]):
+    """Rows to states.  A row counts once in its (day, metric) and tag; with ``tagged`` once without
+    tag and once in that of each of its tags, named ``key SEP value``, and rows that lack a key of
+    ``absent`` count in its cell without value.  A task merges what it has built before it goes out."""
+    many = merge_many(lossless)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells: dict[tuple, list[bytes]] = {}
-        size = 0
-
-        def put(key: tuple, state: bytes) -> None:
-            nonlocal size
-            got = cells.get(key)
-            if got is None:
-                cells[key] = got = []
-                size += _CELL_BYTES
-            got.append(state)
-            size += len(state)
-            if len(got) >= 8:
-                size -= sum(map(len, got))
-                cells[key] = got = [merge(got)]
-                size += len(got[0])
-
-        def states(cell: np.ndarray, code: np.ndarray) -> Iterator[tuple[int, bytes]]:
-            u, w = np.unique((cell << BITS) + code, return_counts=True)
-            owner = u >> BITS
-            code = u & ((1 << BITS) - 1)
-            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(u) else np.zeros(0, np.int64)
-            for c, a, b in zip(owner[first].tolist(), first.tolist(), [*first[1:].tolist(), len(u)]):
-                yield c, pack(code[a:b], w[a:b])
-
-        def work(held: list[pa.RecordBatch]) -> None:
-            t = pa.Table.from_batches(held)
-            row, names = C.factor([t.column(c).combine_chunks() for c in ("day", "metric")])
-            code = encode(t.column("value").to_numpy())
-            for c, s in states(row, code):
-                put((0, C.BY_DAY | C.BY_METRIC, *names[c], None), s)
+    def work(held: list[pa.RecordBatch]) -> pa.Table:
+        t = pa.Table.from_batches(held)
+        row, names = C.codes([t.column(c) for c in ("day", "metric")])
+        code = encode(t.column("value").to_numpy())
+        weight = t.column("weight").to_numpy() if "weight" in t.column_names else None
+        if tagged:
             lists = t.column("tags").combine_chunks()
             of = np.repeat(np.arange(len(row)), np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten()
-            key, tags = C.factor([flat.field(0), flat.field(1)])
+            key, tags = C.codes([flat.field(0), flat.field(1)])
             for k in absent:
                 ids = [i for i, x in enumerate(tags) if x[0] == k]
                 lack = np.ones(len(row), bool)
@@ -240,23 +250,40 @@ def _build_tags(absent: tuple[str, ...]):
                 of = np.concatenate([of, np.flatnonzero(lack)])
                 key = np.concatenate([key, np.full(lack.sum(), len(tags))])
                 tags.append((k, ""))
-            text = [k + SEP + v for k, v in tags]
-            for c, s in states(row[of] * len(text) + key, code[of]):
-                put((0, C.ALL_SETS, *names[c // len(text)], text[c % len(text)]), s)
+            text: list[str | None] = [k + SEP + v for k, v in tags] + [None]
+            of = np.concatenate([of, np.arange(len(row))])
+            key = np.concatenate([key, np.full(len(row), len(tags))])
+        else:
+            key, tags = C.codes([t.column("tag")])
+            text, of = [x[0] for x in tags], np.arange(len(row))
+        texts = pa.array(text, pa.string())
+        days, metrics = pa.array([x[0] for x in names], pa.date32()), pa.array([x[1] for x in names], pa.string())
+        parts = []
+        for c, s in _states(row[of] * len(text) + key, code[of], None if weight is None else weight[of], lossless):
+            r, k = pa.array(c // len(text)), c % len(text)
+            sets = np.where(k == len(text) - 1, C.BY_DAY | C.BY_METRIC, C.ALL_SETS) if tagged else np.full(len(c), C.ALL_SETS)
+            parts.append(pa.Table.from_arrays([pa.array(np.zeros(len(c), np.int32)), pa.array(sets.astype(np.int32)), days.take(r), metrics.take(r), texts.take(pa.array(k)), s], schema=C._ARROW))
+        return pa.concat_tables(parts) if parts else C._ARROW.empty_table()
 
-        held, n = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, done, size = [], 0, [], 0
         for b in batches:
             held.append(b)
             n += b.num_rows
             if n >= _CHUNK:
-                work(held)
+                done.append(work(held))
                 held, n = [], 0
+                size += done[-1].nbytes
                 if size > _MOST_BYTES:
-                    yield from C.emit({k: merge(v) for k, v in cells.items()})
-                    cells, size = {}, 0
+                    t = C.combine(pa.concat_tables(done), many)
+                    done, size = [t], t.nbytes
+                    if size > _MOST_BYTES // 2:
+                        yield from C.batches_of(t)
+                        done, size = [], 0
         if n:
-            work(held)
-        yield from C.emit({k: merge(v) for k, v in cells.items()})
+            done.append(work(held))
+        if done:
+            yield from C.batches_of(C.combine(pa.concat_tables(done), many))
 
     return run
 
@@ -266,13 +293,17 @@ def tagged_values(metrics: DataFrame) -> DataFrame:
     return metric_values(metrics.withColumn("__e", tag_entries(F.col("tags"))), keep=("__e",)).select("day", "metric", "value", F.col("__e").alias("tags"))
 
 
-def tag_sketches(values: DataFrame, absent: tuple[str, ...] = ("group",)) -> DataFrame:
+def tag_sketches(values: DataFrame, absent: tuple[str, ...] = ("group",), lossless: int = LOSSLESS) -> DataFrame:
     """Partial results: one mergeable state a (day, metric) and a (day, metric, tag key, tag value)."""
-    return C.merge_cells(values.mapInArrow(_build_tags(absent), C.SCHEMA), merge)
+    return _merged(values.mapInArrow(_built(lossless, True, absent), C.SCHEMA), lossless)
 
 
-def tag_rollup(states: DataFrame) -> DataFrame:
-    return C.roll_tags(states, merge)
+def _merged(states: DataFrame, lossless: int, rollup: bool = False) -> DataFrame:
+    return C.merge_cells(states, lambda s: merge(s, lossless), merge_many(lossless), rollup=rollup)
+
+
+def tag_rollup(states: DataFrame, lossless: int = LOSSLESS) -> DataFrame:
+    return C.roll_tags(states, merge_many(lossless))
 
 
 def tag_columns(cells: DataFrame) -> DataFrame:
@@ -287,60 +318,54 @@ def metric_values(metrics: DataFrame, tag: str = "group", keep: tuple[str, ...]
     return m.select(day.alias("day"), metric_name(F.col("metric")).alias("metric"), F.nullif(F.col("tags")[tag], F.lit("")).alias("tag"), "value", *keep)
 
 
-def sketches(values: DataFrame) -> DataFrame:
+def sketches(values: DataFrame, lossless: int = LOSSLESS) -> DataFrame:
     """Partial results: one mergeable state a (day, metric, tag).  A column
     ``weight`` (bigint, negative: deletion) may be given."""
     cols = ["day", "metric", "tag", "value"] + (["weight"] if "weight" in values.columns else [])
-    return C.merge_cells(values.select(*cols).mapInArrow(_build, C.SCHEMA), merge)
-
-
-def rollup(states: DataFrame) -> DataFrame:
-    return C.merge_cells(states, merge, rollup=True)
+    return _merged(values.select(*cols).mapInArrow(_built(lossless, False, ()), C.SCHEMA), lossless)
 
 
-_OUT = "sets int, day date, metric string, tag string, n bigint, rank_error double, q double, value double"
+def rollup(states: DataFrame, lossless: int = LOSSLESS) -> DataFrame:
+    return _merged(states, lossless, rollup=True)
 
 
-def _sparse_quantiles(states: list[bytes], qs: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and values of many lossless states without deletions at once."""
-    n = np.array([(len(s) - 1) // 16 for s in states], np.int64)
-    all_ = np.frombuffer(b"".join(s[1:] for s in states), np.int64)
-    end = np.cumsum(n)
-    at = np.arange(n.sum()) + np.repeat(end - n, n)
-    code, cum = all_[at], np.concatenate([[0], np.cumsum(all_[at + np.repeat(n, n)])])
-    before = cum[end - n]
-    total = cum[end] - before
+def _kept(data: np.ndarray, at: np.ndarray, qs: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and values of many states that kept their codes, at once."""
+    words = np.frombuffer(data, np.int64)
+    at = at // 8
+    weight = (words & _LOW) - _HALF
+    sums = np.concatenate([[0], np.cumsum(weight)])
+    n = sums[at[1:]] - sums[at[:-1]]
+    cum = np.concatenate([[0], np.cumsum(np.maximum(weight, 0))])
+    before = cum[at[:-1]]
+    total = cum[at[1:]] - before
     want = np.clip(np.ceil(np.array(qs) * total[:, None]), 1, np.maximum(total, 1)[:, None])
-    pos = np.minimum(np.searchsorted(cum[1:], before[:, None] + want), np.maximum(end - 1, 0)[:, None])
-    return total, np.where(total[:, None] > 0, decode(code[pos]), np.nan) if len(code) else np.full(want.shape, np.nan)
+    pos = np.minimum(np.searchsorted(cum[1:], before[:, None] + want), np.maximum(at[1:] - 1, 0)[:, None])
+    return n, np.where((total > 0)[:, None], decode(words[pos] >> _WEIGHT), np.nan) if len(words) else np.full(want.shape, np.nan)
 
 
-def _plain(state: bytes) -> bool:
-    """Lossless, and without deletions that are still to be merged."""
-    return state[:1] == b"s" and (len(state) == 17 or not (np.frombuffer(state, np.int64, offset=1)[(len(state) - 1) // 16 :] < 0).any())
+def column_of(q: float) -> str:
+    """The column of a quantile: p50, p99_5."""
+    return "p" + f"{q * 100:g}".replace(".", "_")
 
 
 def _read(qs: tuple[float, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            states = b.column("state").to_pylist()
-            per = np.repeat(np.arange(len(states)), len(qs))
-            keys = [b.column(c).take(pa.array(per)) for c in ("sets", "day", "metric", "tag")]
-            ns, es, vals = np.zeros(len(states), np.int64), np.zeros(len(states)), np.full((len(states), len(qs)), np.nan)
-            plain = np.array([_plain(s) for s in states], bool)
-            many = np.flatnonzero(plain)
-            if len(many):
-                ns[many], vals[many] = _sparse_quantiles([states[i] for i in many], qs)
-            for i in np.flatnonzero(~plain):
-                ns[i], es[i] = count(states[i]), rank_error(states[i])
-                if ns[i]:
-                    vals[i] = quantiles(states[i], qs)
-            vals = vals.reshape(-1)
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(ns[per] if len(per) else ns), pa.array(es[per] if len(per) else es), pa.array(np.tile(qs, len(states)).astype(float)), pa.array(vals)], names=["sets", "day", "metric", "tag", "n", "rank_error", "q", "value"])
+            states = b.column("state")
+            data, at = C.payload(states)
+            dense = _sketched(np.diff(at))
+            ns, es, vals = np.zeros(len(dense), np.int64), np.zeros(len(dense)), np.full((len(dense), len(qs)), np.nan)
+            ns[~dense], vals[~dense] = _kept(*(C.payload(states.filter(pa.array(~dense))) if dense.any() else (data, at)), qs)
+            for i in np.flatnonzero(dense):
+                ns[i], vals[i], es[i] = _descend(_counters(data[at[i] : at[i + 1]]), qs)
+            cols = [b.column(c) for c in ("sets", "day", "metric", "tag")] + [pa.array(ns), pa.array(es)] + [pa.array(np.ascontiguousarray(vals[:, j])) for j in range(len(qs))]
+            yield pa.RecordBatch.from_arrays(cols, names=["sets", "day", "metric", "tag", "n", "rank_error", *map(column_of, qs)])
 
     return run
 
 
 def percentiles(states: DataFrame, qs: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """One row a cell and quantile."""
-    return C.describe(states.mapInArrow(_read(qs), _OUT))
+    """One row a cell with a column for each quantile (``p50``, ...)."""
+    out = "sets int, day date, metric string, tag string, n bigint, rank_error double, " + ", ".join(f"{column_of(q)} double" for q in qs)
+    return C.describe(states.mapInArrow(_read(qs), out))
