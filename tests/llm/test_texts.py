@@ -185,6 +185,31 @@ def test_hot_spans_give_the_same(spark, monkeypatch):
     test_common_runs_exact_bound(spark)
 
 
+def test_larger_classes_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(spans, "FEW", 0)
+    test_common_runs_random(spark)
+    test_common_runs_exact_bound(spark)
+
+
+def test_paragraph_in_many_posts(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    alphabet = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    paragraph = "".join(rng.choice(alphabet, 220))
+    own = lambda: "".join(rng.choice(alphabet, 90))
+    posts = [(i, own() + paragraph + own()) for i in range(3_000)]
+    df = spark.createDataFrame(posts, "doc_id bigint, text string")
+    for hot in (10**9, 500):  # gathered as one class, and grouped without being gathered
+        monkeypatch.setattr(spans, "HOT", hot)
+        r = spans.CommonRuns(df)
+        assert r.hot == (hot == 500)
+        got = r.report().agg(F.min("shared_chars"), F.count(F.when(F.col("shared_chars") >= 220, 1))).first()
+        assert got[0] >= 220 and got[1] == 3_000
+        assert r.pairs().count() == 3_000 * 2_999 // 2
+    # members leave a task, not their pairs
+    monkeypatch.setattr(spans, "HOT", 10**9)
+    assert spans.CommonRuns(df)._by_span().mapInArrow(spans._links, spans._LINKS).count() < 3_000 * 300
+
+
 def test_common_runs_exact_bound(spark):
     rng = np.random.default_rng(9)
     core = "".join(rng.choice(list("abcdefghijklmnop"), 150))

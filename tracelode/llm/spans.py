@@ -14,14 +14,23 @@ the same span at the same place within it.  Kept spans are joined globally;
 those in two different texts are looked at with their surroundings, which
 decides exactly - hashes only propose.
 
-Within the texts that share a span, surroundings are sorted into a prefix tree
-to the left, and below each branch grouped by what follows to the right.  So
-only true pairs are ever enumerated, and only at the first common span of
-their run.  A span in more than ``HOT`` places (boilerplate, ruled lines) is not
-gathered: its places are spread by how many characters to the left agree, with
-the characters that must then agree to the right, so that a task sees only
-places which do form runs with each other.  Equal texts are reduced to one representative beforehand and come
-back at the end.
+Within the places that share a span, surroundings are sorted into a prefix
+tree to the left, and below each branch grouped by what follows to the right.
+A group is a class of places around one run; two of its places in different
+branches first meet there.  Classes are what leaves a task: a small one as its
+pairs, a larger one as its members, which are only paired by a distributed
+join where somebody asks for pairs.  How much of a record is shared needs no
+pairs: each place reaches as far as its neighbours in sorted order.
+
+A span in more than ``HOT`` places (boilerplate, ruled lines) is not gathered at
+all.  A run of RUN characters that holds it begins 0 to RUN - GRAM characters
+before it; for each of these beginnings a place has a 128-bit hash of its run,
+and places are grouped by that in compiled code with partial aggregation.  Equal
+texts are reduced to one representative beforehand and come back at the end.
+
+The pairs themselves are as many as there are: a paragraph in a million posts
+makes 5 x 10^11 of them, whether the posts are equal or not.  ``pairs`` is asked
+for them all; ``report`` and ``stretches`` stay linear.
 
 Defined results: NULL texts and texts below RUN characters have no runs; equal
 texts of RUN or more characters form pairs; characters are code points, nothing
@@ -147,12 +156,12 @@ def _common(a: str, b: str) -> int:
 
 
 Row = tuple[int, int, str, str]  # doc, pos, before, after
+#: Members up to which a class leaves its task as pairs.
+FEW = 8
 
 
-def group_runs(rows: list[Row]) -> tuple[set[tuple[int, int]], list[tuple[int, int, int]]]:
-    """Pairs and stretches (doc, start, end) among the texts that share one span."""
-    pairs: set[tuple[int, int]] = set()
-    stretches: list[tuple[int, int, int]] = []
+def _branches(rows: list[Row]) -> Iterator[tuple[int, list[Row], list[list[Row]]]]:
+    """The prefix tree to the left of the places of one span: (characters agreed, places, their branches)."""
     todo = [sorted(rows, key=lambda r: r[2])]
     while todo:
         part = todo.pop()
@@ -169,17 +178,30 @@ def group_runs(rows: list[Row]) -> tuple[set[tuple[int, int]], list[tuple[int, i
                     by[r[2][left]].append(r)
             kids += by.values()
             todo += [k for k in by.values() if len(k) > 1]
-            need = max(GRAM, RUN - left)
-            groups: dict[str, list[tuple[int, int]]] = defaultdict(list)
-            for k, kid in enumerate(kids):
-                for r in kid:
-                    if len(r[3]) >= need:
-                        groups[r[3][:need]].append((k, r[0]))
-            for g in groups.values():
-                if len(g) > 1:
-                    g = list(dict.fromkeys(g))
-                    for i, (k, a) in enumerate(g):
-                        pairs.update((a, b) if a < b else (b, a) for j, b in g[i + 1 :] if j != k and a != b)
+        yield left, part, kids
+
+
+def classes(rows: list[Row]) -> list[list[tuple[int, int]]]:
+    """Classes of (branch, doc) among the places of one span; members of different branches and docs have a run."""
+    out = []
+    for left, _, kids in _branches(rows):
+        need = max(GRAM, RUN - left)
+        groups: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for k, kid in enumerate(kids):
+            for r in kid:
+                if len(r[3]) >= need:
+                    groups[r[3][:need]].append((k, r[0]))
+        for g in groups.values():
+            g = list(dict.fromkeys(g))
+            if any(x[0] != g[0][0] for x in g) and any(x[1] != g[0][1] for x in g):
+                out.append(g)
+    return out
+
+
+def stretches(rows: list[Row]) -> list[tuple[int, int, int]]:
+    """(doc, start, end) of what the places of one span share with other texts."""
+    out = []
+    for left, part, _ in _branches(rows):
         # how far each text is shared with some other one that agrees ``left`` to the left
         order = sorted(part, key=lambda r: r[3])
         reach = [0] * len(order)
@@ -199,46 +221,67 @@ def group_runs(rows: list[Row]) -> tuple[set[tuple[int, int]], list[tuple[int, i
                     prev = (i, 0)
         for r, right in zip(order, reach):
             if right >= GRAM and left + right >= RUN:
-                stretches.append((r[0], r[1] - left, r[1] + right))
-    return pairs, stretches
+                out.append((r[0], r[1] - left, r[1] + right))
+    return out
 
 
-def _spread(around: DataFrame) -> DataFrame:
-    """Groups of a hot span by (characters agreeing left, what must agree then)."""
-    left = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(_LEFT - 1))).otherwise(F.array(F.lit(-1))))
-    x = around.withColumn("l", left)
-    need = F.greatest(F.lit(RUN) - F.col("l"), F.lit(GRAM))
-    x = x.where((F.col("l") < 0) | ((F.length("before") >= F.col("l")) & (F.length("after") >= need)))
-    key = F.xxhash64("fp", "l", F.substring(F.col("before"), F.lit(1), F.col("l")), F.substring(F.col("after"), F.lit(1), need))
-    return x.select(F.when(F.col("l") < 0, F.col("fp")).otherwise(key).alias("fp"), "doc_id", "pos", "before", "after")
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, list[Row]]]]:
+    """Places in runs of one span."""
+    for t in whole_groups(batches, ["fp"], 20_000):
+        fp = t.column("fp").to_numpy()
+        cols = [t.column(c).to_pylist() for c in ("doc_id", "pos", "before", "after")]
+        first = runs(fp)
+        yield [(int(fp[a]), list(zip(*(c[a:b] for c in cols)))) for a, b in zip(first, np.append(first[1:], len(fp)))]
 
 
-_FOUND = "a bigint, b bigint, start bigint, end bigint"
+_LINKS = "k1 bigint, k2 bigint, branch string, a bigint, b bigint"
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of small classes, members (a) of the others."""
     seen: set[tuple[int, int]] = set()
-    for t in whole_groups(batches, ["fp"], 20_000):
-        fp = t.column("fp").to_numpy()
-        cols = [t.column(c).to_pylist() for c in ("doc_id", "pos", "before", "after")]
-        first = runs(fp)
+    for groups in _groups(batches):
         out: list[tuple] = []
-        for a, b in zip(first, np.append(first[1:], len(fp))):
-            # the same surroundings again in one text tell nothing new of pairs, but of stretches
-            p, s = group_runs(list(zip(*(c[a:b] for c in cols))))
-            out += [(x, y, None, None) for x, y in p - seen]
-            out += [(d, None, x, y) for d, x, y in s]
-            seen |= p
+        for fp, rows in groups:
+            for n, g in enumerate(classes(rows)):
+                if len(g) > FEW:
+                    out += [(fp, n, str(k), d, None) for k, d in g]
+                    continue
+                pairs = {(min(a, b), max(a, b)) for i, (k, a) in enumerate(g) for j, b in g[i + 1 :] if j != k and a != b} - seen
+                out += [(None, None, None, a, b) for a, b in pairs]
+                seen |= pairs
         if len(seen) > 2_000_000:
             seen = set()
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["a", "b", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string() if i == 2 else pa.int64()) for i in range(5)], names=["k1", "k2", "branch", "a", "b"])
+
+
+_STRETCH = "doc_id bigint, start bigint, end bigint"
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for groups in _groups(batches):
+        out = [s for _, rows in groups for s in stretches(rows)]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["doc_id", "start", "end"])
+
+
+def _hot_runs(around: DataFrame) -> DataFrame:
+    """Of hot places, every run of RUN characters that holds the span and stands in another text too:
+    ``k1, k2, doc_id, start, branch, branches``."""
+    x = around.where("hot").withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(_LEFT - 1))))
+    before, need = F.col("before"), F.lit(RUN) - F.col("l")
+    x = x.where((F.length("before") >= F.col("l")) & (F.length("after") >= need))
+    run = [F.substring(before, F.lit(1), F.col("l")), F.substring(F.col("after"), F.lit(1), need)]
+    # what stands left of the run; a text's beginning differs from everything
+    branch = F.when(F.length("before") > F.col("l"), F.substring(before, F.col("l") + 1, F.lit(1))).otherwise(F.concat_ws(":", F.lit("start"), "doc_id"))
+    x = x.select(F.xxhash64("fp", "l", *run).alias("k1"), F.xxhash64(F.lit(7), "l", *reversed(run)).alias("k2"), "doc_id", (F.col("pos") - F.col("l")).alias("start"), branch.alias("branch"))
+    g = x.groupBy("k1", "k2").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), (F.min("branch") != F.max("branch")).alias("branches")).where("x <> y").drop("x", "y")
+    return x.join(g, ["k1", "k2"])
 
 
 class CommonRuns:
     """The shared runs of ``documents(doc_id, text)``: pairs, and stretches per record."""
 
     def __init__(self, documents: DataFrame) -> None:
-        n = parallelism(documents.sparkSession, 1)
         self.documents = documents.select("doc_id", "text", F.length("text").alias("chars"))
         long = self.documents.where(F.col("chars") >= RUN)
         h = cut(long.select("doc_id", "chars", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2")), "texthash")
@@ -249,15 +292,27 @@ class CommonRuns:
         texts = long.select("doc_id", "text").join(extra, "doc_id", "left_anti")
         spans = cut(texts.mapInArrow(_spans, _SPAN), "spans")
         shared = cut(spans.groupBy("fp").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n")).where("x <> y").select("fp", (F.col("n") > HOT).alias("hot")), "sharedspans")
-        held = spans.join(small(shared, 500_000), "fp").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "pos", "hot")).alias("spans"))
-        around = texts.join(held, "doc_id").select("doc_id", "text", "spans").mapInArrow(_around, _AROUND)
-        found = _spread(around).repartition(n, "fp").sortWithinPartitions("fp").mapInArrow(_pairs, _FOUND)
-        self.found = cut(found, "runs")
+        held = spans.join(small(shared), "fp").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "pos", "hot")).alias("spans"))
+        # where the places are few enough to be sent to the texts, no text is shuffled
+        self.around = texts.join(small(cut(held, "places")), "doc_id").select("doc_id", "text", "spans").mapInArrow(_around, _AROUND)
+        self.hot = bool(shared.where("hot").limit(1).count())
+        if self.hot:
+            self.around = cut(self.around, "around")
+
+    def _by_span(self) -> DataFrame:
+        n = parallelism(self.documents.sparkSession, 1)
+        return self.around.where("not hot").select("fp", "doc_id", "pos", "before", "after").repartition(n, "fp").sortWithinPartitions("fp")
 
     def pairs(self) -> DataFrame:
         """``doc_id_a, doc_id_b``: every pair of records, smaller id first, with a common run."""
         c = self.copies.select("rep", "doc_id")
-        p = self.found.where("b is not null").select("a", "b").distinct()
+        links = self._by_span().mapInArrow(_links, _LINKS)
+        if self.hot:
+            links = links.unionByName(_hot_runs(self.around).where("branches").select("k1", "k2", "branch", F.col("doc_id").alias("a"), F.lit(None).cast("bigint").alias("b")).distinct())
+        links = cut(links, "links")
+        members = links.where("b is null").select("k1", "k2", "branch", "a")
+        other = members.select("k1", "k2", F.col("branch").alias("other"), F.col("a").alias("b"))
+        p = members.join(other, ["k1", "k2"]).where("a < b and branch <> other").select("a", "b").unionByName(links.where("b is not null").select("a", "b")).distinct()
         for side in ("a", "b"):
             m = small(c.select(F.col("rep").alias(side), F.col("doc_id").alias("m")))
             p = p.join(m, side, "left").withColumn(side, F.coalesce("m", side)).drop("m")
@@ -267,10 +322,12 @@ class CommonRuns:
 
     def stretches(self) -> DataFrame:
         """``doc_id, start, end``: the maximal stretches of a record that lie in shared runs."""
-        s = self.found.where("b is null").select(F.col("a").alias("doc_id"), "start", "end").distinct()
+        s = self._by_span().mapInArrow(_stretches, _STRETCH)
+        if self.hot:
+            s = s.unionByName(_hot_runs(self.around).select("doc_id", "start", (F.col("start") + RUN).alias("end")))
         whole = self.copies.select("doc_id", F.lit(0).cast("bigint").alias("start"), F.col("chars").cast("bigint").alias("end"))
         n = parallelism(self.documents.sparkSession, 1)
-        return s.unionByName(whole).repartition(n, "doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_union, "doc_id bigint, start bigint, end bigint")
+        return s.distinct().unionByName(whole).repartition(n, "doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_union, _STRETCH)
 
     def report(self) -> DataFrame:
         """``doc_id, chars, stretches, shared_chars, shared``: how much of each record is shared elsewhere."""
@@ -335,7 +392,7 @@ def sentence_report(documents: DataFrame, n: int = SENTENCES, least: int = RUN)
     k = parallelism(documents.sparkSession, 1)
 
     def total(x: DataFrame, name: str) -> DataFrame:
-        u = x.select("doc_id", "start", "end").repartition(k, "doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_union, "doc_id bigint, start bigint, end bigint")
+        u = x.select("doc_id", "start", "end").repartition(k, "doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_union, _STRETCH)
         return u.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias(name))
 
     r = documents.select("doc_id").join(total(sp, "shared_chars"), "doc_id", "left").join(total(sp.where("not first"), "removable_chars"), "doc_id", "left")
