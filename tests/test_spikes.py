@@ -76,3 +76,19 @@ def test_edges(spark):
     assert sorted(r.point_id for r in spikes.implausible(m, t, d).collect()) == [0, 1, 2]
     assert spikes.implausible(spark.createDataFrame([], M), t, d).count() == 0
     assert spikes.implausible(m, spark.createDataFrame([], T), d).count() == 0
+
+
+def test_stuck_longer_than_blocks(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(20 + rng.normal(0, 1, 6000), 3)
+    v[1500:5200] = 21.5
+    v[1499], v[5200] = 20.0, 20.1
+    got = flags(spark, {"temp_celsius": v})["temp_celsius"]
+    assert sorted(got) == list(range(1500, 5200)) and all(f[1] for f in got.values())
+
+
+def test_vanishing_variance_needs_a_whole_window():
+    y = np.array([[1.0], [2.0], *[[3.0]] * 10, [3.0 + 1e-7], [4.0]])
+    there = np.ones(y.shape, bool)
+    assert spikes._vanished(y, there, np.array([1.0]))[:, 0].tolist() == [False] * 2 + [True] * 10 + [False] * 2
+    assert not spikes._vanished(y[:9], there[:9], np.array([1.0])).any() and spikes._vanished(y[2:12], there[2:12], np.array([0.0])).all()

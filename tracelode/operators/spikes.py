@@ -6,12 +6,19 @@ innovation beyond ``GATE`` is withheld from the filter.  If within at most
 three readings the series comes back inside the gate, the withheld ones are
 spikes; otherwise the level has moved and the filter restarts on it.  Runs of
 exactly equal readings whose innovations lose their variance while the rest of
-the series keeps changing are stuck.  Values that the unit rules out are
-flagged by themselves and never reach the filter.
+the series keeps changing are stuck: a second filter, with gain one, follows
+each reading, and where the variance of its innovations over ``STUCK_RUN``
+readings vanishes against their usual variance, a run is looked at; equality
+then fixes its ends.  Whether the series otherwise keeps changing is judged by
+the block, and by all blocks of the series where the block has fewer than
+``JUDGED`` other readings.  Values that the unit rules out are flagged by
+themselves and never reach the filter.
 
 Scale: a source is cut by time into blocks of ``BLOCK`` steps, each read
 together with ``HALO`` steps on both sides, in which the filter settles and
-looks ahead; noise levels are estimated per block ("around that time").  A
+looks ahead (gains are 0.13 or more, so a wrong start is forgotten to 2e-6 of
+itself); noise levels are estimated per block ("around that time").  Pauses of
+more than 50 steps let the level move as far as 50 steps do.  A
 source with a third of all rows thus spreads over its blocks.  Copies of a
 reading are reduced to one before they travel (partial aggregation) and are
 found again by a join of the few flagged readings with the rows.
@@ -38,6 +45,8 @@ from tracelode.session import cut, parallelism, small
 BLOCK, HALO = 1024, 96
 GATE = 6.0
 SPIKE, STUCK_RUN = 3, 10
+#: What a variance must fall below, relative to the usual one, to count as vanished; other readings that a block needs to judge a run.
+VANISHED, JUDGED = 1e-18, 8
 
 # What a unit allows (lowest, highest); infinite values exist for no unit.
 UNIT_BOUNDS = {
@@ -85,10 +94,27 @@ def _long_runs(y: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return same, there & (total >= STUCK_RUN)
 
 
-def flag_block(t: np.ndarray, v: np.ndarray, live: np.ndarray, impossible: np.ndarray, kind: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _vanished(y: np.ndarray, there: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """Readings in a stretch of ``STUCK_RUN`` over which the innovations of the filter with gain one lose their variance."""
+    n, lanes = y.shape
+    e2 = np.full((n, lanes), np.inf)
+    e2[1:] = np.where(there[1:], (y[1:] - y[:-1]) ** 2, np.inf)
+    k = STUCK_RUN - 1
+    calm = np.zeros((n, lanes), bool)
+    if n > k:
+        total = sum(e2[1 + i : n - k + 1 + i] for i in range(k))  # window of the k innovations after each reading
+        ends = total <= VANISHED * k * usual
+        for i in range(STUCK_RUN):
+            calm[i : n - k + i] |= ends
+    return calm & there
+
+
+def flag_block(t: np.ndarray, v: np.ndarray, live: np.ndarray, impossible: np.ndarray, kind: np.ndarray, step: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Spike and stuck flags for readings laid out as (position, lane).
 
-    ``live`` tells which positions hold a reading; they are in order of time."""
+    ``live`` tells which positions hold a reading; they are in order of time.  Then for each lane whether its
+    stuck flags stand (else the series has to tell), and of its ``own`` readings outside of runs their number
+    and how many differ from the one before."""
     n, lanes = v.shape
     spike, stuck = np.zeros((n, lanes), bool), np.zeros((n, lanes), bool)
     use = live & ~impossible
@@ -182,27 +208,36 @@ def flag_block(t: np.ndarray, v: np.ndarray, live: np.ndarray, impossible: np.nd
     y = np.take_along_axis(v, order, 0)
     there = np.arange(n)[:, None] < m
     same, long = _long_runs(y, there)
+    d = np.where(there[1:] & there[:-1] & ~same[1:], np.abs(y[1:] - y[:-1]), np.nan) if n > 1 else np.zeros((0, lanes))
+    changed = (~np.isnan(d)).sum(axis=0)
+    d = np.sort(d, axis=0)
+    usual = np.where(changed > 0, np.nan_to_num(d[np.maximum(changed - 1, 0) // 2, np.arange(lanes)]) ** 2, 0.0) if n > 1 else np.zeros(lanes)
+    with np.errstate(over="ignore", invalid="ignore"):
+        calm = _vanished(y, there, usual)
     others = there & ~long
-    changes = (others & ~same).sum(axis=0)
-    moving = changes >= np.maximum(0.5 * others.sum(axis=0), 3)
-    hold = long & moving & (kind == 0)
+    moving = (others & ~same).sum(axis=0) >= np.maximum(0.5 * others.sum(axis=0), 3)
+    sure = others.sum(axis=0) >= JUDGED
+    hold = calm & long & (kind == 0) & (moving | ~sure)
     at = np.where(hold)
     stuck[order[at], at[1]] = True
-    return spike, stuck
+    mine = others if own is None else others & np.take_along_axis(own, order, 0)
+    return spike, stuck, sure, mine.sum(axis=0), (mine & ~same).sum(axis=0)
 
 
-_FLAGS = "sid bigint, ts bigint, value double, spike boolean, stuck boolean, impossible boolean"
+_FLAGS = "sid bigint, ts bigint, value double, spike boolean, stuck boolean, impossible boolean, sure boolean, others bigint, changes bigint"
 
 
 def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Readings sorted by (sid, block, ts, value) -> the flagged ones among each block's own."""
+    """Readings sorted by (sid, block, ts, value) -> the flagged ones among each block's own, and one row
+    without time for each block of gauges: readings outside of runs, and how many of them changed."""
     for tab in whole_groups(batches, ["sid", "block"], 120_000):
         sid, block, ts, value, own = (tab.column(c).to_numpy() for c in ("sid", "block", "ts", "value", "own"))
         lowest, highest, kind, step = (tab.column(c).to_numpy() for c in ("lowest", "highest", "kind", "step"))
         bad = (value < lowest) | (value > highest) | ~np.isfinite(value)
         first = runs(sid, block)
         size = np.diff(np.append(first, len(sid)))
-        spike, stuck = np.zeros(len(sid), bool), np.zeros(len(sid), bool)
+        spike, stuck, sure = np.zeros(len(sid), bool), np.zeros(len(sid), bool), np.zeros(len(sid), bool)
+        others, changes = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
         # lanes of like length together, so that padding stays small
         by_size = np.argsort(size, kind="stable")
         a = 0
@@ -217,15 +252,18 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f0 = first[g]
             rel = (ts[rows] - ts[f0]).astype(float)
             v = np.where(live & np.isfinite(value[rows]), value[rows], 1e300)
-            s1, s2 = flag_block(rel, v, live, bad[rows] | ~live, kind[f0], step[f0].astype(float))
+            s1, s2, known, others[g], changes[g] = flag_block(rel, v, live, bad[rows] | ~live, kind[f0], step[f0].astype(float), live & own[rows])
+            sure[rows[live]] = np.broadcast_to(known, live.shape)[live]
             spike[rows[live]] = s1[live]
             stuck[rows[live]] = s2[live]
             a = b
         keep = own & (bad | spike | stuck)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x[keep]) for x in (sid, ts, value, spike, stuck, bad)],
-            names=["sid", "ts", "value", "spike", "stuck", "impossible"],
-        )
+        told = (kind[first] == 0) & (others > 0)
+        names = [f.split()[0] for f in _FLAGS.split(", ")]
+        nothing = [pa.nulls(int(keep.sum()), pa.int64())] * 2
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (sid, ts, value, spike, stuck, bad, sure)), *nothing], names=names)
+        k = int(told.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(sid[first][told]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), *[pa.nulls(k, pa.bool_())] * 4, pa.array(others[told]), pa.array(changes[told])], names=names)
 
 
 def implausible(metrics: DataFrame, targets: DataFrame, defs: DataFrame) -> DataFrame:
@@ -243,5 +281,9 @@ def implausible(metrics: DataFrame, targets: DataFrame, defs: DataFrame) -> Data
     blocks = F.array_compact(F.array(block, F.when(inside < halo, block - 1), F.when(inside >= width - halo, block + 1)))
     x = readings.withColumn("home", block).withColumn("block", F.explode(blocks)).withColumn("own", F.col("block") == F.col("home")).drop("home")
     flagged = x.repartition(parallelism(spark, 1), "sid", "block").sortWithinPartitions("sid", "block", "ts", "value").mapInArrow(_flag, _FLAGS)
-    flagged = cut(flagged, "flags")
+    out = cut(flagged, "flags")
+    per = out.where("ts is null").groupBy("sid").agg((F.sum("changes") >= F.greatest(0.5 * F.sum("others"), F.lit(3))).alias("moving"))
+    flagged = out.where("ts is not null").drop("others", "changes")
+    if not flagged.where("stuck and not sure").isEmpty():
+        flagged = flagged.join(small(per), "sid", "left").withColumn("stuck", F.col("stuck") & (F.col("sure") | F.coalesce("moving", F.lit(False)))).where("spike or stuck or impossible")
     return rows.join(small(flagged), ["sid", "ts", "value"]).select("point_id", "sid", "ts", "value", "spike", "stuck", "impossible")
