@@ -23,6 +23,13 @@ def p1_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.regular_grid(table(spark, sf_dir, "metrics"), table(spark, sf_dir, "scrape_targets"))
 
 
+def p1_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots and missing slots of each target, and whether each slot has a value with a standard error
+    (a target without any reading has none)."""
+    g = p1_grid(spark, sf_dir).groupBy("target_id").agg(F.count("*").alias("slots"), F.count_if("missing").alias("missing"), F.count_if(F.col("value").isNotNull() & (F.col("std") >= 0)).alias("valued"))
+    return g.select("target_id", "slots", "missing", ((F.col("valued") == F.col("slots")) | (F.col("missing") == F.col("slots"))).alias("filled"))
+
+
 def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.covered_lists(segments.segment_spans(table(spark, sf_dir, "segmeta")), "virtual_table_name", "first_ms", "last_ms")
 
@@ -61,6 +68,11 @@ def p5_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flags(spark, sf_dir)
 
 
+def p5_impossible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those that cannot exist for the unit of their metric."""
+    return _flags(spark, sf_dir).where("impossible").select("point_id")
+
+
 def _instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instants.all_instants(*(table(spark, sf_dir, t) for t in ("epoch_inputs", "otlp_points", "segmeta")))
 
@@ -82,7 +94,7 @@ def p6_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = "p1_found p1_grid p2_found p2_periods p4_found p4_entries p5_found p5_flags p6_found p6_status p6_integers"
+    names = "p1_found p1_grid p2_found p2_periods p4_found p4_entries p5_found p5_flags p6_found p6_status p6_integers p1_targets p5_impossible"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -107,7 +119,14 @@ r AS (SELECT DISTINCT regexp_replace(metric, '[^A-Za-z0-9_]', '_', 'g') AS m, {s
 g AS (SELECT target_id, start_sec, step_sec, unnest(generate_series(start_sec, end_sec - step_sec, step_sec)) AS slot_sec FROM t),
 h AS (SELECT DISTINCT t.target_id, t.start_sec + (r.ts - t.start_sec) // t.step_sec * t.step_sec AS slot_sec FROM t JOIN r ON t.m = r.m AND t.tg = r.tg AND r.ts >= t.start_sec AND r.ts < t.end_sec)
 SELECT g.target_id, g.slot_sec FROM g LEFT JOIN h ON g.target_id = h.target_id AND g.slot_sec = h.slot_sec WHERE h.target_id IS NULL"""
+    targets = missing.replace("SELECT g.target_id, g.slot_sec FROM g LEFT JOIN", "SELECT g.target_id, count(*) AS slots, count(*) FILTER (h.target_id IS NULL) AS missing, true AS filled FROM g LEFT JOIN").replace("WHERE h.target_id IS NULL", "GROUP BY g.target_id")
+    bounds = " ".join(f"WHEN '{u}' THEN {a}" for u, (a, _) in spikes.UNIT_BOUNDS.items()), " ".join(f"WHEN '{u}' THEN {b}" for u, (_, b) in spikes.UNIT_BOUNDS.items() if b is not None)
+    impossible = f"""
+WITH t AS (SELECT DISTINCT metric AS m, {series} AS tg FROM scrape_targets),
+r AS (SELECT point_id, value, regexp_replace(metric, '[^A-Za-z0-9_]', '_', 'g') AS m, {series} AS tg FROM metrics WHERE value IS NOT NULL AND NOT isnan(value))
+SELECT point_id FROM r JOIN t USING (m, tg) JOIN metric_defs d ON d.metric = r.m
+WHERE isinf(value) OR value < CASE d.unit {bounds[0]} ELSE -1.7e308 END OR value > CASE d.unit {bounds[1]} ELSE 1.7e308 END"""
     ints = f"""
 SELECT 'otlp_points' AS src, rec_id, {_MS.format(c="time_unix_nano")} AS utc_ms FROM otlp_points WHERE {_MS.format(c="time_unix_nano")} IS NOT NULL
 UNION ALL SELECT 'segmeta', seg_id, {_MS.format(c="earliest_epoch_ms")} FROM segmeta WHERE {_MS.format(c="earliest_epoch_ms")} IS NOT NULL"""
-    return {"p1_found": missing, "p2_found": gaps, "p2_periods": periods, "p6_integers": ints}
+    return {"p1_found": missing, "p2_found": gaps, "p2_periods": periods, "p6_integers": ints, "p1_targets": targets, "p5_impossible": impossible}
