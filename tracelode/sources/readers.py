@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from tracelode.functions.typing import q
 from tracelode.session import cut
+from tracelode.sources import wire
 
 
 def flatten(df: DataFrame, arrays: bool = True, most: int = 32) -> DataFrame:
@@ -137,13 +139,38 @@ def read_hec(spark: SparkSession, path: str) -> DataFrame:
     return flatten(df.select(*meta, *body))
 
 
-def read_loki_push(spark: SparkSession, path: str) -> DataFrame:
-    """Log push JSON: labels with one row a (ts, line)."""
-    df = spark.read.schema("streams array<struct<stream:map<string,string>,values:array<array<string>>>>").json(path)
+_LOKI = "streams array<struct<stream:map<string,string>,values:array<array<string>>>>"
+
+
+def _requests(spark: SparkSession, path: str, schema: str, decode: Callable[[bytes], dict] | None = None) -> DataFrame:
+    """Ingest requests: JSON, one a line; or with ``decode`` one protobuf message a file, which Python turns
+    into the same JSON and the JVM then reads by the same schema."""
+    if decode is None:
+        return spark.read.schema(schema).json(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(decode(c)) for c in b.column(0).to_pylist()], pa.string())], names=["j"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(run, "j string").select(F.from_json("j", schema).alias("r")).select("r.*")
+
+
+def read_loki_push(spark: SparkSession, path: str, protobuf: bool = False) -> DataFrame:
+    """Log push requests, JSON or snappy protobuf: labels with one row a (ts, line)."""
+    df = _requests(spark, path, _LOKI, wire.loki_push if protobuf else None)
     s = df.select(F.explode("streams").alias("s")).select("s.stream", F.explode("s.values").alias("v"))
     return s.select("stream", F.get("v", F.lit(0)).try_cast("bigint").alias("ts_nano"), F.get("v", F.lit(1)).alias("line"))
 
 
+def read_remote_write(spark: SparkSession, path: str) -> DataFrame:
+    """Remote write requests (snappy protobuf, one a file): ``metric, tags, timestamp (s), value``."""
+    df = _requests(spark, path, "series array<struct<labels:map<string,string>,samples:array<struct<t:bigint,v:string>>>>", wire.remote_write)
+    s = df.select(F.explode("series").alias("s")).select("s.labels", F.explode("s.samples").alias("p"))
+    tags = F.map_filter("labels", lambda k, v: k != "__name__")
+    return s.select(F.col("labels")["__name__"].alias("metric"), tags.alias("tags"), F.call_function("div", F.col("p.t"), F.lit(1000)).alias("timestamp"), F.col("p.v").try_cast("double").alias("value"))
+
+
 _ANY = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
 _KV = f"array<struct<key:string,value:{_ANY}>>"
 
@@ -153,9 +180,10 @@ def _attributes(c: Column) -> Column:
     return F.map_from_entries(F.transform(F.coalesce(c, F.array().cast(_KV)), lambda e: F.struct(e["key"], one(e["value"]))))
 
 
-def read_otlp_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_otlp_logs(spark: SparkSession, path: str, protobuf: bool = False) -> DataFrame:
+    """One row a log record."""
     rec = f"struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:{_ANY},attributes:{_KV},traceId:string,spanId:string,flags:int,droppedAttributesCount:bigint>"
-    df = spark.read.schema(f"resourceLogs array<struct<resource:struct<attributes:{_KV}>,scopeLogs:array<struct<scope:struct<name:string,version:string>,logRecords:array<{rec}>>>>>").option("multiLine", True).json(path)
+    df = _requests(spark, path, f"resourceLogs array<struct<resource:struct<attributes:{_KV}>,scopeLogs:array<struct<scope:struct<name:string,version:string>,logRecords:array<{rec}>>>>>", wire.otlp_logs if protobuf else None)
     r = df.select(F.explode("resourceLogs").alias("r")).select(F.col("r.resource").alias("resource"), F.explode("r.scopeLogs").alias("s")).select("resource", F.col("s.scope").alias("scope"), F.explode("s.logRecords").alias("l"))
     b = F.col("l.body")
     return r.select(
@@ -166,12 +194,12 @@ def read_otlp_logs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_otlp_metrics(spark: SparkSession, path: str) -> DataFrame:
+def read_otlp_metrics(spark: SparkSession, path: str, protobuf: bool = False) -> DataFrame:
     """``metric, tags, timestamp, value``: every kind of point collapses to one number."""
     num = f"struct<timeUnixNano:string,asInt:string,asDouble:double,attributes:{_KV}>"
     agg = f"struct<timeUnixNano:string,count:string,sum:double,attributes:{_KV}>"
     m = f"struct<name:string,gauge:struct<dataPoints:array<{num}>>,sum:struct<dataPoints:array<{num}>>,histogram:struct<dataPoints:array<{agg}>>,exponentialHistogram:struct<dataPoints:array<{agg}>>,summary:struct<dataPoints:array<{agg}>>>"
-    df = spark.read.schema(f"resourceMetrics array<struct<scopeMetrics:array<struct<metrics:array<{m}>>>>>").option("multiLine", True).json(path)
+    df = _requests(spark, path, f"resourceMetrics array<struct<scopeMetrics:array<struct<metrics:array<{m}>>>>>", wire.otlp_metrics if protobuf else None)
     x = df.select(F.explode("resourceMetrics").alias("r")).select(F.explode("r.scopeMetrics").alias("s")).select(F.explode("s.metrics").alias("m"))
     point = lambda p, v: F.struct(p["timeUnixNano"].alias("t"), v.alias("v"), p["attributes"].alias("a"))
     none = F.array().cast(f"array<struct<t:string,v:double,a:{_KV}>>")
@@ -181,9 +209,10 @@ def read_otlp_metrics(spark: SparkSession, path: str) -> DataFrame:
     return p.select("metric", _attributes(F.col("p.a")).alias("tags"), F.call_function("div", F.col("p.t").try_cast("bigint"), F.lit(1_000_000_000)).alias("timestamp"), F.col("p.v").alias("value"))
 
 
-def read_otlp_traces(spark: SparkSession, path: str) -> DataFrame:
+def read_otlp_traces(spark: SparkSession, path: str, protobuf: bool = False) -> DataFrame:
+    """One row a span."""
     span = f"struct<traceId:string,spanId:string,parentSpanId:string,traceState:string,name:string,kind:string,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{_KV},droppedAttributesCount:bigint,droppedEventsCount:bigint,droppedLinksCount:bigint,events:array<map<string,string>>,links:array<map<string,string>>,status:struct<code:string,message:string>>"
-    df = spark.read.schema(f"resourceSpans array<struct<resource:struct<attributes:{_KV}>,scopeSpans:array<struct<spans:array<{span}>>>>>").option("multiLine", True).json(path)
+    df = _requests(spark, path, f"resourceSpans array<struct<resource:struct<attributes:{_KV}>,scopeSpans:array<struct<spans:array<{span}>>>>>", wire.otlp_traces if protobuf else None)
     x = df.select(F.explode("resourceSpans").alias("r")).select(_attributes(F.col("r.resource.attributes")).alias("res"), F.explode("r.scopeSpans").alias("s")).select("res", F.explode("s.spans").alias("p"))
     start, end = F.col("p.startTimeUnixNano").try_cast("bigint"), F.col("p.endTimeUnixNano").try_cast("bigint")
     return x.select(
