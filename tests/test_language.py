@@ -213,3 +213,43 @@ def test_format_is_bounded(spark):
         e.search("* | format maxresults=29", "n").collect()
     with pytest.raises(QueryError):
         e.search("* | format nosuch=1", "n")
+
+
+def test_running_functions_by_blocks_match_windows(spark, monkeypatch):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tracelode.plans import ordered
+
+    monkeypatch.setattr(ordered, "BLOCK", 16)
+    rows = [(i, i, ["a", "b", None][i % 3], None if i % 5 == 0 else float((i * 7) % 13) + 1e6, None if i % 4 == 0 else f"s{i % 6}") for i in range(120)]
+    df = spark.createDataFrame(rows, "timestamp bigint, id int, k string, v double, s string")
+    e = Engine(spark, NOW)
+    e.register("n", df, "timestamp", ["id"])
+    for by in ("", " by k"):
+        for cur in (True, False):
+            q = f"* | streamstats current={str(cur).lower()} dc(s) AS d, first(s) AS f, last(v) AS l, var(v) AS x, stdev(v) AS y, estdc_error(s) AS e, count AS c{by} | fields id d f l x y e c"
+            got = {r.id: r for r in e.search(q, "n").collect()}
+            w = (Window.partitionBy("k") if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("timestamp"), "id").rowsBetween(Window.unboundedPreceding, 0 if cur else -1)
+            want = df.select("id", F.size(F.collect_set("s").over(w)).alias("d"), F.first("s", True).over(w).alias("f"), F.last("v", True).over(w).alias("l"), F.when(F.count("v").over(w) < 2, 0.0).otherwise(F.var_samp("v").over(w)).alias("x"), F.count(F.lit(1)).over(w).alias("c")).collect()
+            for r in want:
+                g = got[r.id]
+                assert (g.d, g.f, g.l, g.c, g.e) == (r.d, r.f, r.l, r.c, 0.0) and g.x == pytest.approx(r.x, abs=1e-9) and g.y == pytest.approx(math.sqrt(r.x), abs=1e-6), (by, cur, r, g)
+    plan = e.search("* | streamstats dc(s) AS d, first(s) AS f, var(v) AS x", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
+
+
+def test_unclosed_transactions_are_not_gathered(spark, monkeypatch):
+    from tracelode.operators import order
+    from tracelode.plans import ordered
+
+    rows = [(1000 - i, "k", "end" if i in (3, 7) else "x") for i in range(60)]
+    e = Engine(spark, NOW)
+    e.register("n", spark.createDataFrame(rows, "timestamp bigint, k string, t string"), "timestamp")
+    go = lambda: sorted(r.eventcount for r in e.search("* | transaction k endswith=(t=end)", "n").collect())
+    assert go() == [4, 4]
+    monkeypatch.setattr(ordered, "WIDE", 20)
+    monkeypatch.setattr(order, "EVENTS_MOST", 20)
+    assert go() == [4, 4]  # the long rest never closes
+    with pytest.raises(QueryError):
+        e.search("* | transaction k", "n").collect()

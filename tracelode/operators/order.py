@@ -141,8 +141,8 @@ def dedup(fr: Frame, s: str) -> Frame:
 
 
 # ---- streamstats -------------------------------------------------------------------------------------
-_MERGEABLE = {"count", "sum", "avg", "min", "max", "range"}
-_ALLOWED = _MERGEABLE | {"dc", "estdc_error", "perc", "median", "values", "first", "last", "stdev", "var"}
+_MERGEABLE = {"count", "sum", "avg", "min", "max", "range", "first", "last", "stdev", "var", "dc", "estdc_error"}
+_ALLOWED = _MERGEABLE | {"perc", "median", "values"}
 _OPTS = r"\b(current|window|global|allnum|time_window|reset_on_change)\s*=\s*(\S+)"
 
 
@@ -222,13 +222,15 @@ def streamstats(fr: Frame, s: str) -> Frame:
             x, _ = ordered.with_halo(fr.df, window)
             w = Window.partitionBy("__b", *keys).orderBy(ordered.IDX).rangeBetween(first, end)
             x = x.withColumns({n: _windowed(fr, a, w) for n, a in names.items()}).where("__own").drop("__b", "__own")
+        elif ordered.hot(fr.df, keys):
+            return _by_rank(fr, names, keys, window, first, end)
         else:
             w = Window.partitionBy(*keys).orderBy(ordered.IDX).rowsBetween(first, end)
             x = fr.df.withColumns({n: _windowed(fr, a, w) for n, a in names.items()})
     elif all(a.fn in _MERGEABLE for a in measures):
         x = _running(fr, names, keys, current)
     else:
-        # other functions have no mergeable state: a window over each group (all rows if there is none)
+        # running percentiles and sets of values have no small mergeable state: a window over each group (all rows if there is none)
         w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(ordered.IDX).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
         x = fr.df.withColumns({n: _windowed(fr, a, w) for n, a in names.items()})
     return _finish(fr, x, names, keys)
@@ -258,6 +260,7 @@ def _finish(fr: Frame, x, names: dict[str, aggs.Agg], keys: list[str]) -> Frame:
 def _running(fr: Frame, names: dict[str, aggs.Agg], keys: list[str], current: bool):
     parts: dict[str, tuple[str, Column]] = {}
     final: dict[str, Column] = {}
+    df = fr.df
     for n, a in names.items():
         v = None
         if a.arg is not None:
@@ -265,17 +268,42 @@ def _running(fr: Frame, names: dict[str, aggs.Agg], keys: list[str], current: bo
         if a.fn == "count":
             parts[n] = ("count", F.lit(1) if v is None else F.when(bind.as_bool(v), 1) if a.is_eval and v.is_bool else v.c)
             continue
+        if v.is_null:  # type: ignore[union-attr]
+            parts[n] = ("sum", F.lit(None).cast("double"))
+            continue
+        if a.fn == "estdc_error":
+            parts |= {n + "e": ("count", F.lit(1))}
+            final[n] = F.lit(0.0)
+            continue
+        if a.fn in ("first", "last"):
+            parts[n + "o"] = ("min" if a.fn == "first" else "max", F.when(v.c.isNotNull(), F.struct(F.col(ordered.IDX).alias("i"), v.c.alias("v"))))  # type: ignore[union-attr]
+            final[n] = F.col(n + "o")["v"]
+            continue
+        if a.fn == "dc":  # running count of first occurrences, which an aggregate finds and a join by row number marks
+            f = df.select(*[F.col(k).alias(f"__q{i}") for i, k in enumerate(keys)], as_str(v).alias("__q"), F.col(ordered.IDX).alias("__qi")).where("__q is not null")  # type: ignore[arg-type]
+            f = f.groupBy("__q", *[f"__q{i}" for i in range(len(keys))]).agg(F.min("__qi").alias(ordered.IDX)).select(ordered.IDX, F.lit(1).alias(n + "f"))
+            df = df.join(f, ordered.IDX, "left")
+            parts[n + "d"] = ("count", F.col(n + "f"))
+            final[n] = F.col(n + "d").cast("double")
+            continue
         c = as_num(v)  # type: ignore[arg-type]
         if a.fn in ("sum", "min", "max"):
             parts[n] = (a.fn, c)
+        elif a.fn in ("stdev", "var"):  # sums of distances from the mean of all rows, which keeps their digits
+            df = df.join(F.broadcast(df.agg(F.avg(c).alias(n + "a")).limit(1)), F.lit(True), "left")
+            d = c - F.col(n + "a")
+            parts |= {n + "s": ("sum", d), n + "q": ("sum", d * d), n + "c": ("count", c)}
+            k = F.col(n + "c")
+            var = F.greatest(F.col(n + "q") - F.col(n + "s") * F.col(n + "s") / k, F.lit(0.0)) / (k - 1)
+            final[n] = F.when(k < 2, 0.0).otherwise(var if a.fn == "var" else F.sqrt(var))
         elif a.fn == "avg":
             parts |= {n + "s": ("sum", c), n + "c": ("count", c)}
             final[n] = F.when(F.col(n + "c") > 0, F.col(n + "s") / F.col(n + "c"))
         else:
             parts |= {n + "x": ("max", c), n + "m": ("min", c)}
             final[n] = F.col(n + "x") - F.col(n + "m")
-    x = ordered.running(fr.df, [F.col(k) for k in keys], parts, current)
-    return x.withColumns(final).drop(*[p for p in parts if p not in names]) if final else x
+    x = ordered.running(df, [F.col(k) for k in keys], parts, current)
+    return x.withColumns(final).drop(*[p for p in parts if p not in names], *[n + s for n in names for s in "fa"]) if final else x
 
 
 def _epochs(fr: Frame, before: str | None, after: str | None, change: list[str]) -> Frame:
@@ -320,12 +348,16 @@ def _transaction_filter(fr: Frame, s: str) -> Column:
     return F.lit(True) if n is None else bind.clause(fr, n)
 
 
+EVENTS_MOST = 2_000_000
+
+
 def transaction(fr: Frame, s: str) -> Frame:
     """Groups of events per key that open at ``startswith`` and close at ``endswith``.
 
     Without ``endswith`` a transaction closes before the next ``startswith`` or
-    with the last event; with it, transactions that never close are left out.
-    Expressed by running counts per key, so no Python state is kept."""
+    with the last event; with it, transactions that never close are left out, before
+    anything is gathered.  Expressed by running counts per key, so no Python state is kept.
+    A transaction is one row with all its events: more than ``EVENTS_MOST`` raise an error."""
     conds: dict[str, Column] = {}
     for key in ("startswith", "endswith"):
         m = re.search(rf'\b{key}\s*=\s*(eval\s*\(|\(|"(?:[^"\\]|\\.)*"|[^\s(]+)', s, re.I)
@@ -354,19 +386,27 @@ def transaction(fr: Frame, s: str) -> Frame:
     df = df.withColumns({"__st": F.coalesce(start, F.lit(False)), "__en": F.coalesce(end_, F.lit(False))})
     w = Window.partitionBy(*names).orderBy(*fr.sort_keys())
     part = ("__en", False) if "endswith" in conds else ("__st", True) if "startswith" in conds else None
-    if part is not None and ordered.hot(df, names):  # running counts by blocks instead of one window a key
+    wide = ordered.hot(df, names)
+    if part is not None and wide:  # running counts by blocks instead of one window a key
         fr = ordered.numbered(fr.with_df(df))
         df = ordered.running(fr.df, [F.col(n) for n in names], {"__seg": ("sum", F.col(part[0]).cast("int"))}, part[1]).withColumn("__seg", F.coalesce("__seg", F.lit(0)))
     elif part is not None:
         frame = w.rowsBetween(Window.unboundedPreceding, 0 if part[1] else -1)
         df = df.withColumn("__seg", F.coalesce(F.sum(F.col(part[0]).cast("int")).over(frame), F.lit(0)))
     if "endswith" in conds:
+        ends = df.groupBy(*names).agg(F.sum(F.col("__en").cast("int")).alias("__ends"))
+        same = F.lit(True)
+        for n in names:
+            same = same & F.col(n).eqNullSafe(F.col(f"{n}e"))
+        df = df.join(ends.select(*[F.col(n).alias(f"{n}e") for n in names], "__ends"), same).where("__seg < __ends").drop("__ends", *[f"{n}e" for n in names])
         opened = F.max(F.col("__st").cast("int")).over(Window.partitionBy(*names, "__seg").orderBy(*fr.sort_keys()).rowsBetween(Window.unboundedPreceding, 0))
         df = df.withColumn("__open", opened).where("__open = 1")
     elif "startswith" in conds:
         df = df.where("__seg > 0")
     else:
         df = df.withColumn("__seg", F.lit(0))
+    if wide and ordered.widest(df, [*names, "__seg"]) > EVENTS_MOST:
+        raise QueryError(f"a transaction has more than {EVENTS_MOST} events")
     order = [(-F.col(c) if falls else F.col(c)) if dict(df.dtypes)[c] in ("bigint", "double", "int") else F.col(c) for c, falls in fr.order or ()]
     event = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(TS).alias("t"), F.to_json(F.struct(*map(q, fr.columns))).alias("e"))
     g = df.groupBy(*names, "__seg").agg(F.array_sort(F.collect_list(event)).alias("__e"), F.max(F.col("__en").cast("int")).alias("__closed"))

@@ -39,10 +39,14 @@ def numbered(fr: Frame) -> Frame:
 WIDE = 2_000_000
 
 
+def widest(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group; counted with partial aggregation."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+
+
 def hot(df: DataFrame, keys: list[str]) -> bool:
-    """Whether a group is too large for one task; counted with partial aggregation."""
-    r = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()
-    return (r["n"] or 0) > WIDE
+    """Whether a group is too large for one task."""
+    return widest(df, keys) > WIDE
 
 
 def with_halo(df: DataFrame, rows: int) -> tuple[DataFrame, int]:

@@ -72,14 +72,20 @@ def sweep() -> None:
 atexit.register(sweep)
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, swept like the tables of :func:`cut`."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage so that several later stages read the result once
     computed; the files outlive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
