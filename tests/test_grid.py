@@ -77,3 +77,25 @@ def test_edge_cases(spark):
     empty = spark.createDataFrame([], M)
     assert grid.regular_grid(empty, t).count() == 6
     assert grid.regular_grid(m, spark.createDataFrame([], T)).count() == 0
+
+
+def test_many_targets_join_by_time(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    start, step = 1_600_000_000 // 86_400 * 86_400 + 50_000, 3_600
+    m = spark.createDataFrame([(i, "a.b", {"x": "1"}, int(t), 1.0, 0) for i, t in enumerate(start - 5_000 + rng.integers(0, 6 * 86_400, 3_000))], M)
+    t = spark.createDataFrame([(1, "a_b", {"x": "1"}, step, start, start + 60 * step), (2, "a_b", {"x": "1"}, step, start + 60 * step, start + 110 * step), (3, "a_b", {"x": "2"}, step, start, start + 5 * step)], T)
+    want = sorted(map(tuple, grid.slot_readings(m, t).select("target_id", "block", "at", "n").collect()))
+    monkeypatch.setattr(grid, "fits", lambda df: False)
+    assert sorted(map(tuple, grid.slot_readings(m, t).select("target_id", "block", "at", "n").collect())) == want and len(want) > 100
+
+
+def test_bands_hold_the_withheld_values(spark):
+    rng = np.random.default_rng(21)
+    n, step, start = 2_000, 10, 1_600_000_000
+    level = np.cumsum(np.cumsum(rng.normal(0, 0.02, n)))  # a local trend
+    held = rng.random(n) < 0.25
+    rows = [(int(i), "a_b", {"x": "1"}, start + int(i) * step, float(level[i] + rng.normal(0, 0.5)), 0) for i in np.flatnonzero(~held)]
+    t = spark.createDataFrame([(1, "a_b", {"x": "1"}, step, start, start + n * step)], T)
+    g = grid.regular_grid(spark.createDataFrame(rows, M), t).where("missing").orderBy("slot_sec").collect()
+    inside = [abs(r.value - level[(r.slot_sec - start) // step]) <= 1.96 * r.std for r in g]
+    assert len(inside) == held.sum() and 0.85 <= np.mean(inside) <= 1.0

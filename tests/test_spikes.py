@@ -92,3 +92,12 @@ def test_vanishing_variance_needs_a_whole_window():
     there = np.ones(y.shape, bool)
     assert spikes._vanished(y, there, np.array([1.0]))[:, 0].tolist() == [False] * 2 + [True] * 10 + [False] * 2
     assert not spikes._vanished(y[:9], there[:9], np.array([1.0])).any() and spikes._vanished(y[2:12], there[2:12], np.array([0.0])).all()
+
+
+def test_series_too_many_to_be_sent(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = np.round(20 + rng.normal(0, 0.5, 400), 2)
+    v[100] = 60.0
+    want = flags(spark, {"temp_celsius": v})
+    monkeypatch.setattr(spikes, "fits", lambda df: False)
+    assert flags(spark, {"temp_celsius": v}) == want and 100 in want["temp_celsius"]

@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 
 from tracelode.functions.lanes import runs, whole_groups
 from tracelode.functions.series import with_series_hash
-from tracelode.session import cut, parallelism, small
+from tracelode.session import cut, fits, parallelism, small
 
-BLOCK = 256
+BLOCK, DAY = 256, 86_400
 #: process noise over reading noise, per slot cubed
 RATIOS = (1e-5, 1e-3, 1e-1)
 
@@ -51,13 +51,29 @@ _PACKED = "target_id bigint, block bigint, slots int, at array<smallint>, tau ar
 _ELEM = "a array<double>, yn bigint, ysum double, ysq double"
 
 
+def with_targets(readings: DataFrame, targets: DataFrame) -> DataFrame:
+    """Readings (``h1, h2, timestamp``) with the registration whose window holds them.
+
+    Where the registrations are too many to be sent to all tasks, both sides are cut by time as well, so
+    that a series with a third of all readings is spread over its days."""
+    keys = ["h1", "h2"]
+    if fits(targets):
+        t = F.broadcast(targets)
+    else:
+        day = lambda c: F.floor(F.col(c) / DAY)
+        t = targets.withColumn("day", F.explode(F.sequence(day("start_sec"), F.floor((F.col("end_sec") - 1) / DAY))))
+        readings, keys = readings.withColumn("day", day("timestamp")), [*keys, "day"]
+    j = readings.join(t, keys).where("timestamp >= start_sec and timestamp < end_sec")
+    return j.drop("day") if len(keys) == 3 else j
+
+
 def slot_readings(metrics: DataFrame, targets: DataFrame) -> DataFrame:
     """``target_id, block, at, tau, y, n``: readings reduced to slots, plus one
     marker row (``at`` = -1) for every block of every target."""
     t = with_series_hash(targets.where("step_sec > 0 and start_sec < end_sec")).select("h1", "h2", "target_id", "step_sec", "start_sec", "end_sec")
     m = metrics.where(F.col("value").isNotNull() & ~F.isnan("value") & F.col("timestamp").isNotNull())
     m = with_series_hash(m).select("h1", "h2", "timestamp", "value")
-    j = m.join(small(t), ["h1", "h2"]).where("timestamp >= start_sec and timestamp < end_sec")
+    j = with_targets(m, t)
     off = F.col("timestamp") - F.col("start_sec")
     finite = F.abs("value") < 1e300
     j = j.withColumns({"slot": F.call_function("div", off, F.col("step_sec")), "in_slot": (off % F.col("step_sec")) / F.col("step_sec")})

@@ -73,6 +73,10 @@ _STEP: dict[int, dict[int, int]] = {
 }
 
 
+#: The same as a table, -1 where a token ends.
+_ROWS = [[_STEP.get(state, {}).get(c, -1) for c in range(8)] for state in range(11)]
+
+
 class Tokens:
     """Tokens of one value, made as the grammar asks for them; escape sequences are skipped."""
 
@@ -90,18 +94,21 @@ class Tokens:
                 return
             o = ord(s[i])
             state = _FIRST[_CLASS[o] if o < 128 else _class_of(s[i])]
+            row = _ROWS[state]
             j = i + 1
             while j < n:
                 o = ord(s[j])
-                to = _STEP[state].get(_CLASS[o] if o < 128 else _class_of(s[j]))
-                if to is None:
-                    break
-                state = to
+                to = row[_CLASS[o] if o < 128 else _class_of(s[j])]
+                if to != state:
+                    if to < 0:
+                        break
+                    state, row = to, _ROWS[to]
                 j += 1
-            if _KIND[state] != ESCAPE:
+            kind = _KIND[state]
+            if kind != ESCAPE:
                 break
             i = j
-        self.kind, self.text, self.start, self.at = _KIND[state], s[i:j], i, j
+        self.kind, self.text, self.start, self.at = kind, s[i:j], i, j
 
     # what grammars use; each returns None where the token is another
     def mark(self, ch: str) -> bool:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions.lanes import runs, whole_groups
 from tracelode.functions.series import metric_name, with_series_hash
-from tracelode.session import cut, parallelism, small
+from tracelode.session import cut, fits, parallelism, small
 
 BLOCK, HALO = 1024, 96
 GATE = 6.0
@@ -266,6 +266,18 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sid[first][told]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), *[pa.nulls(k, pa.bool_())] * 4, pa.array(others[told]), pa.array(changes[told])], names=names)
 
 
+#: Copies of each series when they are joined by shuffle: a series with a third of all readings meets them in that many tasks.
+SALTS = 32
+
+
+def _with_series(readings: DataFrame, series: DataFrame, *on: str) -> DataFrame:
+    keys = list(on) or ["h1", "h2"]
+    if fits(series):
+        return readings.join(F.broadcast(series), keys)
+    salted = series.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return readings.withColumn("salt", F.pmod(F.xxhash64("ts"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
+
+
 def implausible(metrics: DataFrame, targets: DataFrame, defs: DataFrame) -> DataFrame:
     """``point_id, sid, ts, value, spike, stuck, impossible``: one row per flagged row of a registered series."""
     spark = metrics.sparkSession
@@ -273,8 +285,9 @@ def implausible(metrics: DataFrame, targets: DataFrame, defs: DataFrame) -> Data
     m = metrics.where(F.col("value").isNotNull() & ~F.isnan("value") & F.col("timestamp").isNotNull())
     m = with_series_hash(m).select("h1", "h2", F.col("timestamp").alias("ts"), "value", "point_id")
     info = cut(reg, "series")
-    rows = cut(m.join(small(info.select("h1", "h2", "sid")), ["h1", "h2"]).select("sid", "ts", F.expr("value + 0.0D").alias("value"), "point_id"), "readings")
-    readings = rows.select("sid", "ts", "value").distinct().join(small(info.drop("h1", "h2")), "sid")
+    rows = cut(_with_series(m, info.select("h1", "h2", "sid")).select("sid", "ts", F.expr("value + 0.0D").alias("value"), "point_id"), "readings")
+    readings = rows.select("sid", "ts", "value").distinct()
+    readings = _with_series(readings, info.drop("h1", "h2"), "sid")
     width, halo = F.col("step").cast("bigint") * BLOCK, F.col("step").cast("bigint") * HALO
     block = F.floor(F.col("ts") / width)
     inside = F.col("ts") - block * width

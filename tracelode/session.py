@@ -102,13 +102,17 @@ def _bytes(c: Column, t: T.DataType) -> Column:
     return F.lit(8)
 
 
-def small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32_000_000) -> DataFrame:
-    """``df`` with a broadcast hint only if one aggregate over it proves that it has at
-    most ``max_rows`` rows and ``max_bytes`` bytes; beyond that the frame comes back
-    without a hint and joins by shuffle."""
+def fits(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32_000_000) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes, by one aggregate over it."""
     width = reduce(lambda a, b: a + b, [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(16))
     r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("bigint")).alias("b")).first()
-    return F.broadcast(df) if r["n"] <= max_rows and (r["b"] or 0) <= max_bytes else df
+    return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
+
+
+def small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32_000_000) -> DataFrame:
+    """``df`` with a broadcast hint only if it provably fits; beyond that the frame
+    comes back without a hint and joins by shuffle."""
+    return F.broadcast(df) if fits(df, max_rows, max_bytes) else df
 
 
 def parallelism(spark: SparkSession, per_core: int = 2) -> int:
