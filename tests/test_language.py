@@ -253,3 +253,15 @@ def test_unclosed_transactions_are_not_gathered(spark, monkeypatch):
     assert go() == [4, 4]  # the long rest never closes
     with pytest.raises(QueryError):
         e.search("* | transaction k", "n").collect()
+
+
+def test_whole_document_by_spath_and_nested_elements(spark):
+    docs = ['{"a": {"b": 1, "c": [1, 2]}, "s": "x"}', '{"a": {"b": 2}, "o": [{"p": 1}]}', "no json", None]
+    e = Engine(spark, NOW)
+    e.register("n", spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "timestamp bigint, _raw string"), "timestamp")
+    rows = e.search("* | spath | sort timestamp", "n").collect()
+    assert [r["a.b"] for r in rows] == [1, 2, None, None] and rows[0]["a.c{}"] == ["1", "2"] and rows[0].s == "x" and rows[1]["o{}"] == ['{"p":1}']
+    e.register("o", spark.createDataFrame([(1, [("red", 3), ("blue", None)]), (2, [("green", 5)]), (3, None)], "id int, t array<struct<c:string,n:int>>"))
+    ids = lambda q: sorted(r.id for r in e.es({"query": {"nested": {"path": "t", "query": q}}}, "o").collect())
+    assert ids({"exists": {"field": "t.n"}}) == [1, 2] and ids({"terms": {"t.c": ["blue", "green"]}}) == [1, 2] and ids({"prefix": {"t.c": "gr"}}) == [2]
+    assert ids({"wildcard": {"t.c": "?l*"}}) == [1] and ids({"bool": {"must": [{"term": {"t.c": "blue"}}, {"exists": {"field": "t.n"}}]}}) == [] and ids({"match_all": {}}) == [1, 2]

@@ -1,5 +1,6 @@
 """Range functions and matching by a plain model; traces; streams."""
 
+import json
 import random
 
 import pytest
@@ -133,3 +134,30 @@ def test_opentsdb_refuses_what_it_does_not_do(spark):
         otsdb.query(m, "sum:rate:m", 0, 10)
     total = lambda t: sorted(r.value for r in otsdb.query(m, t, 0, 10).collect())
     assert total("sum:m{k=web*}") == [1.0, 3.0] and total("sum:m{k=*}") == [1.0, 3.0, 9.0] and total("sum:m{k=*b|web-2}") == [3.0, 9.0] and total("sum:m") == [20.0]
+
+
+def test_subtree_and_search(spark):
+    s = "trace_id string, span_id string, parent_span_id string, service string, name string, status string, start_time bigint, end_time bigint, duration bigint"
+    rows = [("t", "1", "", "web", "get", "OK", 0, 90_000, 90_000), ("t", "2", "1", "web", "in", "OK", 10_000, 50_000, 40_000), ("t", "3", "2", "db", "q", "OK", 20_000, 40_000, 20_000), ("u", "9", None, "db", "x", "OK", 70_000, 80_000, 10_000)]
+    df = spark.createDataFrame(rows, s)
+    sub = spans.subtree(df, "t", "2").first()
+    tree = json.loads(sub.tree)
+    assert (sub.spans, sub.depth, tree["span_id"], [c["span_id"] for c in tree["children"]]) == (2, 2, "2", ["3"])
+    assert json.loads(spans.subtree(df, "t", "nosuch").first().tree) is None and spans.subtree(df, "none", "2").count() == 0
+    got = spans.trace_search(df, "db", 0, 75_000).collect()
+    assert [r.traceID for r in got] == ["u", "t"] and got[1].processes == {"p1": "db", "p2": "web"} and len(got[1].spans) == 3
+    assert got[1].spans[2].references[0].spanID == "2" and got[1].spans[2].processID == "p1" and got[0].spans[0].references == []
+    assert [r.traceID for r in spans.trace_search(df, "web").collect()] == ["t"] and spans.trace_search(df, limit=1).count() == 1
+
+
+def test_expression_requests(spark):
+    from tracelode.lang.lex import QueryError
+    from tracelode.metrics import otsdb
+
+    m = spark.createDataFrame([("m", {"k": "a"}, 5, 1.0), ("m", {"k": "b"}, 65, 3.0), ("m", {"k": "c"}, 400, 9.0)], M)
+    body = {"time": {"start": 0, "end": "120000000000", "aggregator": "max"}, "filters": [{"id": "f", "tags": []}], "metrics": [{"id": "1", "metric": "m", "filter": "f"}], "outputs": [{"id": "1", "alias": "x"}, {"id": "2"}]}
+    out = otsdb.expressions(m, body, 10)
+    assert set(out) == {"x"} and sorted((r.ts, r.value) for r in out["x"].collect()) == [(0, 1.0), (60, 3.0), (360, 9.0)]
+    for wrong in ({"time": {}}, {"time": {"start": 1, "aggregator": "nosuch"}}, {"time": {"start": 1, "aggregator": "sum", "downsampler": {"interval": "1m"}}}):
+        with pytest.raises(QueryError):
+            otsdb.expressions(m, wrong, 10)

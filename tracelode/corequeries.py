@@ -18,7 +18,7 @@ from tracelode.metrics import otsdb
 from tracelode.metrics.evaluate import Evaluator, labels_text
 from tracelode.operators import groups
 from tracelode.plans.engine import Engine
-from tracelode.session import shared_dir, table
+from tracelode.session import shared_dir, shared_path, table
 from tracelode.sources import catalog
 from tracelode.streaming import live
 from tracelode.traces import spans as traces
@@ -96,6 +96,7 @@ add("fillnull_cmd", pipe('* | eval x=if(value>50, value, null()) | fillnull valu
 add("makemv_mvexpand", pipe('* | eval m=event_type.",".user_id.",,end" | makemv delim="," m | mvexpand m | stats count AS n by m'), "SELECT m, count(*) AS n FROM (SELECT unnest([event_type, CAST(user_id AS VARCHAR), 'end']) AS m FROM events) GROUP BY m")
 add("makemv_tokenizer", pipe('* | makemv tokenizer="([a-z])\\w" event_type | mvexpand limit=2 event_type | stats count AS n by event_type'), "SELECT event_type, count(*) AS n FROM (SELECT unnest(regexp_extract_all(event_type, '([a-z])\\w', 1)[1:2]) AS event_type FROM events) GROUP BY event_type")
 add("spath_cmd", pipe("* | spath input=props output=k path=k | stats count AS n, sum(k) AS total"), "SELECT count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS DOUBLE) AS total FROM events")
+add("spath_whole", pipe("* | spath input=props | stats count AS n, sum(k) AS total"), "SELECT count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS DOUBLE) AS total FROM events")
 add("tojson_cmd", pipe("* | fields event_id event_type user_id | tojson str(event_type) num(user_id) output_field=j | eval t=spath(j, \"event_type\"), u=spath(j, \"user_id\") | fields event_id t u | eval u=tonumber(u)"), "SELECT event_id, event_type AS t, CAST(user_id AS DOUBLE) AS u FROM events")
 
 # ---- bin -------------------------------------------------------------------------------------------
@@ -247,6 +248,13 @@ add("es_query_string", es({"query": {"query_string": {"query": "event_type:purch
 
 add("es_match_phrase", es({"query": {"match_phrase": {"text": "same here"}}, "aggs": {"l": {"terms": {"field": "lang", "size": 10}}}}, "documents"), f"SELECT lang AS l, count(*) AS doc_count FROM documents WHERE regexp_matches(text, '(?i){W.format('same here')}') GROUP BY 1")
 add("es_range_dates", es({"query": {"bool": {"filter": [{"range": {"ts": {"gte": "2024-01-05T00:00:00Z", "lt": "2024-01-10T12:00:00Z"}}}, {"range": {"value": {"from": 10, "to": 60}}}]}}, "aggs": {"t": {"terms": {"field": "event_type"}, "aggs": {"lo": {"min": {"field": "value"}}, "hi": {"max": {"field": "value"}}, "n": {"value_count": {"field": "value"}}}}}}), "SELECT event_type AS t, count(*) AS doc_count, round(min(value), 4) AS lo, round(max(value), 4) AS hi, count(value) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-10 12:00:00' AND value BETWEEN 10 AND 60 GROUP BY 1")
+def _second_page(spark: SparkSession, d: str) -> DataFrame:
+    c = esdsl.open_scroll(engine(spark, d), {"query": {"term": {"event_type": "error"}}, "sort": [{"value": "asc"}]}, "events")
+    last = esdsl.scroll_page(c, -1, 25).agg(F.max("_scroll").alias("last")).first()["last"]
+    return rounded(esdsl.scroll_page(c, last, 25).select("event_id", "value"))
+
+
+add("es_scroll", _second_page, "SELECT event_id, round(value, 4) AS value FROM events WHERE event_type = 'error' ORDER BY events.value, ts DESC, event_id LIMIT 25 OFFSET 25")
 add("es_match_all", es({"query": {"match_all": {}}, "aggs": {"t": {"terms": {"field": "event_type"}}}}), "SELECT event_type AS t, count(*) AS doc_count FROM events GROUP BY 1")
 add("es_simple_query_string", es({"query": {"simple_query_string": {"query": "event_type:purchase AND value:>50"}}, "aggs": {"u": {"terms": {"field": "user_id", "size": 1000}}}}), "SELECT user_id AS u, count(*) AS doc_count FROM events WHERE event_type = 'purchase' AND value > 50 GROUP BY 1 ORDER BY doc_count DESC, u LIMIT 1000")
 
@@ -359,6 +367,8 @@ add("otsdb_filter", _otsdb("max:6h-max:speed_kmh{fuel_type=diesel|petrol}"), f"S
 
 for _f, _s in {"avg": "avg(v)", "max": "max(v)", "count": "CAST(count(v) AS DOUBLE)"}.items():
     add(f"promql_hot_{_f}_by", prom(f"{_f} by (group) (bus_load_percent)"), f"WITH {_points('bus_load_percent')} SELECT {_by} AS labels, ts, round({_s}, 3) AS value FROM p GROUP BY 1, 2")
+_request = {"time": {"start": M0, "end": str(M1 * 1000), "aggregator": "sum", "downsampler": {"interval": "1h", "aggregator": "avg"}}, "filters": [{"id": "f", "tags": [{"type": "wildcard", "tagk": "group", "filter": "*"}]}], "metrics": [{"id": "m", "metric": "fuel_level_percent", "filter": "f"}, {"id": "n", "metric": "x", "filter": "none"}], "outputs": [{"id": "m", "alias": "fuel"}, {"id": "n"}, {"id": "nosuch"}]}
+add("otsdb_expression", lambda s, d: otsdb.expressions(table(s, d, "metrics"), _request, M1, exact=True)["fuel"].select(labels_text(F.col("tags")).alias("tags"), "ts", F.round("value", 3).alias("value")), _SQL["otsdb_downsample"])
 add("promql_hot_idelta", prom("sum(idelta(bus_load_percent[6h]))"), f"WITH {_points('bus_load_percent', back=21600)}, q AS ({_pair}) SELECT '' AS labels, ts, round(sum(v - pv), 3) AS value FROM q WHERE ts - pt <= 21600 AND ts >= {M0} GROUP BY ts")
 add("promql_hot_stddev_over_time", prom("sum by (group) (stddev_over_time(bus_load_percent[6h]))", places=2), f"WITH {_points('bus_load_percent', back=21600)}, q AS (SELECT s, ts, stddev_pop(v) OVER w AS x FROM p {_win}) SELECT {_by} AS labels, ts, round(sum(x), 2) + 0.0 AS value FROM q WHERE x IS NOT NULL AND ts >= {M0} GROUP BY 1, 2")
 _cat = lambda f: lambda s, d: f(table(s, d, "metrics"))
@@ -395,6 +405,19 @@ add("trace_red", lambda s, d: rounded(traces.red(spans_of(s, d), exact=True)), _
 add("trace_dependencies", lambda s, d: traces.dependencies(spans_of(s, d)), _sp + 'SELECT p.service AS parent, s.service AS child, count(*) AS "callCount" FROM s JOIN s p ON s.trace_id = p.trace_id AND s.parent_span_id = p.span_id WHERE p.service <> s.service GROUP BY 1, 2')
 add("trace_trees", lambda s, d: traces.span_trees(spans_of(s, d)).select("trace_id", "spans", F.col("depth").cast("bigint").alias("depth")), _sp + ", t AS (SELECT s.trace_id, s.span_id, 1 AS depth FROM s LEFT JOIN s p ON s.parent_span_id = p.span_id WHERE p.span_id IS NULL UNION ALL SELECT s.trace_id, s.span_id, t.depth + 1 FROM s JOIN t ON s.parent_span_id = t.span_id) SELECT trace_id, count(*) AS spans, CAST(max(depth) AS BIGINT) AS depth FROM t GROUP BY trace_id")
 add("trace_page", lambda s, d: traces.trace_page(spans_of(s, d), 2, 20).select("trace_id", "start_time", "span_count"), _sp + "SELECT trace_id, min(start_time) AS start_time, count(*) AS span_count FROM s GROUP BY trace_id ORDER BY start_time DESC, trace_id LIMIT 20 OFFSET 20")
+add("trace_search", lambda s, d: traces.trace_search(spans_of(s, d), "svc3", limit=40).select(F.col("traceID").alias("trace_id"), F.size("spans").cast("bigint").alias("spans"), F.size("processes").cast("bigint").alias("services"), F.array_max("spans.duration").alias("longest")), _sp + ", h AS (SELECT trace_id, max(start_time) AS newest FROM s WHERE service = 'svc3' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40) SELECT trace_id, count(*) AS spans, count(DISTINCT service) AS services, max(duration // 1000) AS longest FROM s JOIN h USING (trace_id) GROUP BY 1")
+
+
+def _service_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs of the periodic jobs, over the first line numbers and the rest."""
+    folder, s = shared_path(spark, "services"), spans_of(spark, d)
+    traces.write_service_tables(s, folder, 0, 3_000_000)
+    traces.write_service_tables(s, folder, 3_000_000, 10**12)
+    a = spark.read.parquet(f"{folder}/service-dependency").groupBy("timestamp").agg(F.sum("callCount").alias("calls"))
+    return a.join(spark.read.parquet(f"{folder}/red-traces").groupBy("timestamp").agg(F.count("*").alias("services")), "timestamp").select("timestamp", "calls", "services")
+
+
+add("trace_service_tables", _service_tables, _sp + ", r AS (SELECT *, CASE WHEN start_time < 3000000 THEN 3 ELSE 1000000 END AS timestamp FROM s) SELECT CAST(s.timestamp AS BIGINT) AS timestamp, count(*) AS calls, (SELECT count(DISTINCT e.service) FROM r e LEFT JOIN r p ON e.parent_span_id = p.span_id AND e.timestamp = p.timestamp WHERE e.timestamp = s.timestamp AND (p.service IS NULL OR p.service <> e.service)) AS services FROM r s JOIN r p ON s.parent_span_id = p.span_id AND s.timestamp = p.timestamp WHERE s.service <> p.service GROUP BY s.timestamp")
 add("trace_services", lambda s, d: traces.services(spans_of(s, d)), _sp + "SELECT DISTINCT service FROM s")
 add("trace_operations", lambda s, d: traces.operations(spans_of(s, d), "svc3"), _sp + "SELECT DISTINCT name FROM s WHERE service = 'svc3'")
 

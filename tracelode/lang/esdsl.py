@@ -14,6 +14,7 @@ from tracelode.lang import search, timespec
 from tracelode.lang.lex import QueryError
 from tracelode.plans import bind
 from tracelode.plans.frame import TS, Frame
+from tracelode.session import cut
 
 if TYPE_CHECKING:
     from tracelode.plans.engine import Engine
@@ -178,11 +179,21 @@ def _nested(fr: Frame, path: str, query: dict) -> Column:
             sh = [test(x, c) for c in many(spec.get("should", []))]
             ps += [_all(sh, True)] if sh else []
             return _all(ps) if ps else F.lit(True)
-        field, arg = _one(spec)
+        if kind == "match_all":
+            return F.lit(True)
+        field, arg = (spec["field"], None) if kind == "exists" else _one(spec)
         name = field.removeprefix(path + ".")
         if name not in el.fieldNames():
             return F.lit(False)
         f = Val(x[name], el[name].dataType)
+        if kind == "exists":
+            return f.c.isNotNull()
+        if kind == "terms":
+            return _all([F.coalesce(compare(f, "=", lit(v)), F.lit(False)) for v in arg], True) if arg else F.lit(False)
+        if kind in ("prefix", "wildcard"):
+            text = str(arg["value"] if isinstance(arg, dict) else arg)
+            hit = as_str(f).startswith(text) if kind == "prefix" else as_str(f).rlike("^" + "".join({"*": ".*", "?": "."}.get(ch, re.escape(ch)) for ch in text) + "$")
+            return F.coalesce(hit, F.lit(False))
         if kind == "range":
             return _all([F.coalesce(compare(f, {"gt": ">", "gte": ">=", "lt": "<", "lte": "<="}[k], lit(b2)), F.lit(False)) for k, b2 in arg.items()])
         if kind in ("match", "match_phrase"):
@@ -271,6 +282,17 @@ def run(engine: "Engine", body: dict, index: str) -> DataFrame:
     return df.select(*map(q, fr.columns))
 
 
+def open_scroll(engine: "Engine", body: dict, index: str) -> DataFrame:
+    """A cursor over the whole ordered result: it is computed once, and rows get numbers that rise in its order."""
+    df = run(engine, {k: v for k, v in body.items() if k not in ("from", "size")}, index)
+    return cut(df.withColumn("_scroll", F.monotonically_increasing_id()), "scroll")
+
+
+def scroll_page(cursor: DataFrame, after: int = -1, size: int = 10) -> DataFrame:
+    """The next rows behind the number of the last row seen."""
+    return cursor.where(F.col("_scroll") > after).orderBy("_scroll").limit(size)
+
+
 def by_id(engine: "Engine", index: str, ids: list[str], id_column: str = "_id") -> DataFrame:
     df, _, _ = engine.catalog.resolve(index)
     return df.where(q(id_column).cast("string").isin(ids))

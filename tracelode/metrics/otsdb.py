@@ -23,6 +23,34 @@ def _agg(name: str, c: Column, exact: bool = False) -> Column:
     return f(c)
 
 
+def expressions(metrics: DataFrame, body: dict, now: int, exact: bool = False) -> dict[str, DataFrame]:
+    """The outputs of an expression request by alias: named metrics with named filters, one aggregator and downsampler.
+
+    Outputs that name no metric, and metrics that name no filter of the request, are left out; times are epoch
+    seconds (or milliseconds), the end is ``now`` by default."""
+    time = body.get("time") or {}
+    if time.get("start") in (None, ""):
+        raise QueryError("an expression request needs a start")
+    seconds = lambda v: int(float(v)) // (1000 if float(v) > 99_999_999_999 else 1)
+    start, end = seconds(time["start"]), seconds(time["end"]) if time.get("end") not in (None, "") else now
+    agg, down = time.get("aggregator"), time.get("downsampler") or {}
+    if agg not in ("count", "avg", "min", "max", "sum", "cardinality"):
+        raise QueryError(f"unknown aggregator {agg}")
+    if bool(down.get("interval")) != bool(down.get("aggregator")):
+        raise QueryError("a downsampler needs interval and aggregator")
+    width, fn = (down["interval"], down["aggregator"]) if down else ("1m", "avg")
+    tags = {f["id"]: ",".join(f"{t['tagk']}={t['filter']}" for t in f.get("tags", [])) for f in body.get("filters", [])}
+    named = {m["id"]: m for m in body.get("metrics", [])}
+    out = {}
+    for o in body.get("outputs", []):
+        m = named.get(o["id"])
+        if m is None or m.get("filter") not in tags:
+            continue
+        t = tags[m["filter"]]
+        out[o.get("alias", o["id"])] = query(metrics, f"{agg}:{width}-{fn}:{m['metric']}" + (f"{{{t}}}" if t else ""), start, end, exact)
+    return out
+
+
 def query(metrics: DataFrame, text: str, start: int, end: int, exact: bool = False) -> DataFrame:
     """``tags, ts, value``.  A tag with one value, alternatives or a pattern with ``*`` filters; all named
     tags group.  There is no ``rate``: a query that names it is refused."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,13 +200,38 @@ def spath(fr: Frame, s: str) -> Frame:
     path = opts.get("path") or (bare(rest[0]) if rest else None)
     v = column(fr.df, opts.get("input", "_raw"))
     if path is None:
-        raise QueryError("spath needs a path: fields of a whole document are found at ingest")
+        return _spath_all(fr, v)
     out = opts.get("output", path)
     if v is None:
         return fr.put({out: F.lit(None).cast("string")})
     return fr.put({out: scalar.call(scalar.Ctx(fr.df, fr.now), "spath", [v, ty.lit(path)]).c})
 
 
+def _spath_all(fr: Frame, v: ty.Val | None) -> Frame:
+    """All fields of a JSON document as columns with dotted names.  Which there are is found in one pass over
+    the documents, in the JVM, as for any JSON source; columns of equal names are replaced."""
+    if v is None:
+        return fr
+    spark = fr.df.sparkSession
+    texts = getattr(fr.df.select(as_str(v))._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    schema = DataFrame(spark._jsparkSession.read().json(texts), spark).schema
+    schema = T.StructType([f for f in schema.fields if f.name != "_corrupt_record"])
+    cols: dict[str, Column] = {}
+
+    def walk(c: Column, t: T.DataType, name: str) -> None:
+        if isinstance(t, T.StructType):
+            for f in t.fields:
+                walk(c[f.name], f.dataType, f"{name}.{f.name}" if name else f.name)
+        elif isinstance(t, T.ArrayType):
+            one = (lambda x: F.to_json(x)) if isinstance(t.elementType, (T.StructType, T.ArrayType)) else (lambda x: x.cast("string"))
+            cols[name + "{}"] = F.transform(c, one)
+        else:
+            cols[name] = c
+
+    walk(F.from_json(as_str(v), schema), schema, "")
+    return fr.put(cols) if cols else fr
+
+
 def _quoted(t: Column) -> Column:
     """A text as JSON string: the one element of a JSON array, without its brackets."""
     a = F.to_json(F.array(t))

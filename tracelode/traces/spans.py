@@ -71,7 +71,14 @@ def dependencies(spans: DataFrame) -> DataFrame:
 _TREE = "trace_id string, spans bigint, orphans bigint, depth int, tree string"
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _builder(root: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _build(batches, root)
+
+    return run
+
+
+def _build(batches: Iterator[pa.RecordBatch], root: str | None) -> Iterator[pa.RecordBatch]:
     for t in whole_groups(batches, ["t"], 50_000):
         key = t.column("t").to_numpy()
         rows = t.to_pylist()
@@ -81,12 +88,13 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             byid: dict[str, list[dict]] = {}
             for r in rows[a:b]:
                 byid.setdefault(r["trace_id"], []).append(r)
-            out += [_tree(k, v) for k, v in byid.items()]
+            out += [_tree(k, v, root) for k, v in byid.items()]
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], ty) for i, ty in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["trace_id", "spans", "orphans", "depth", "tree"])
 
 
-def _tree(trace: str, rows: list[dict]) -> tuple[str, int, int, int, str]:
-    """Children under parents by start time; spans whose parent is missing hang beside the root."""
+def _tree(trace: str, rows: list[dict], root: str | None = None) -> tuple[str, int, int, int, str]:
+    """Children under parents by start time; spans whose parent is missing hang beside the root.
+    With ``root`` the tree of that span alone."""
     nodes = {r["span_id"]: {"span_id": r["span_id"], "service_name": r["service"], "operation_name": r["name"], "status": r["status"], "start_time": r["start_time"], "end_time": r["end_time"], "duration": r["duration"], "children": []} for r in rows}
     zero = min((r["start_time"] for r in rows if r["start_time"] is not None), default=0)
     tops, orphans = [], 0
@@ -100,22 +108,66 @@ def _tree(trace: str, rows: list[dict]) -> tuple[str, int, int, int, str]:
         else:
             orphans += bool(p)
             tops.append(n)
+    if root is not None:
+        tops, orphans = [nodes[root]] if root in nodes else [], 0
     depth, level = 0, tops
     seen: set[str] = set()
     while level:
         depth += 1
         seen |= {n["span_id"] for n in level}
         level = [c for n in level for c in n["children"] if c["span_id"] not in seen]
+    if root is not None:
+        return trace, len(seen), 0, depth, json.dumps(tops[0] if tops else None)
     if len(seen) < len(nodes):  # a ring of parents hangs on nothing
         return trace, len(rows), orphans, depth, json.dumps(None)
     return trace, len(rows), orphans, depth, json.dumps(tops[0] if len(tops) == 1 else tops)
 
 
-def span_trees(spans: DataFrame) -> DataFrame:
-    """One nested JSON tree a trace, its times relative to the trace's start."""
+def span_trees(spans: DataFrame, root: str | None = None) -> DataFrame:
+    """One nested JSON tree a trace, its times relative to the trace's start.
+
+    A tree is one cell, so a task holds each trace whole; restrict ``spans`` to the traces wanted.
+    With ``root`` (a span id) only that span and what hangs under it."""
     cols = ["trace_id", "span_id", "parent_span_id", "service", "name", "status", "start_time", "end_time", "duration"]
     s = spans.select(F.xxhash64("trace_id").alias("t"), *[F.col(c).cast("string") if c in cols[:6] else F.col(c).cast("bigint") for c in cols])
-    return s.repartition(parallelism(spans.sparkSession, 1), "t").sortWithinPartitions("t").mapInArrow(_build, _TREE)
+    return s.repartition(parallelism(spans.sparkSession, 1), "t").sortWithinPartitions("t").mapInArrow(_builder(root), _TREE)
+
+
+def subtree(spans: DataFrame, trace_id: str, span_id: str) -> DataFrame:
+    """The tree of one span of one trace."""
+    return span_trees(spans.where(F.col("trace_id") == trace_id), span_id)
+
+
+def trace_search(spans: DataFrame, service: str | None = None, start_ns: int | None = None, end_ns: int | None = None, limit: int = 50) -> DataFrame:
+    """The newest traces with a span of the service in the range, one row each:
+    ``traceID, spans[traceID, spanID, operationName, references, startTime, duration (us), processID], processes{p1: service}``."""
+    hit = spans
+    if service is not None:
+        hit = hit.where(F.col("service") == service)
+    if start_ns is not None:
+        hit = hit.where(F.col("start_time") >= start_ns)
+    if end_ns is not None:
+        hit = hit.where(F.col("start_time") <= end_ns)
+    page = hit.groupBy("trace_id").agg(F.max("start_time").alias("newest")).orderBy(F.desc("newest"), "trace_id").limit(limit)
+    x = spans.join(F.broadcast(page), "trace_id")
+    names = x.groupBy("trace_id").agg(F.array_sort(F.collect_set("service")).alias("names"))
+    x = x.join(names, "trace_id")
+    ref = F.when(_is_root(), F.array().cast("array<struct<refType:string,traceID:string,spanID:string>>")).otherwise(F.array(F.struct(F.lit("CHILD_OF").alias("refType"), F.col("trace_id").alias("traceID"), F.col("parent_span_id").alias("spanID"))))
+    us = lambda c: F.call_function("div", F.col(c), F.lit(1000))
+    process = F.concat(F.lit("p"), F.array_position("names", F.col("service")).cast("string"))
+    one = F.struct(us("start_time").alias("startTime"), F.col("span_id").alias("spanID"), F.col("trace_id").alias("traceID"), F.col("name").alias("operationName"), ref.alias("references"), us("duration").alias("duration"), process.alias("processID"))
+    g = x.groupBy("trace_id", "newest", "names").agg(F.array_sort(F.collect_list(one)).alias("spans"))
+    processes = F.map_from_arrays(F.transform("names", lambda n: F.concat(F.lit("p"), F.array_position("names", n).cast("string"))), F.col("names"))
+    return g.orderBy(F.desc("newest"), "trace_id").select(F.col("trace_id").alias("traceID"), "spans", processes.alias("processes"))
+
+
+def write_service_tables(spans: DataFrame, folder: str, start_ns: int, end_ns: int) -> None:
+    """One run of the periodic jobs: service metrics and dependencies of the spans that began in [start, end),
+    appended with their time to the tables ``red-traces`` and ``service-dependency`` of a folder."""
+    s = spans.where((F.col("start_time") >= start_ns) & (F.col("start_time") < end_ns))
+    at = F.lit(end_ns // 1_000_000).cast("bigint").alias("timestamp")
+    red(s, max((end_ns - start_ns) // 1_000_000_000, 1)).select(at, "*").write.mode("append").parquet(f"{folder}/red-traces")
+    dependencies(s).select(at, "*").write.mode("append").parquet(f"{folder}/service-dependency")
 
 
 def services(spans: DataFrame) -> DataFrame:
