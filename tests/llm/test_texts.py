@@ -46,14 +46,29 @@ def test_packing(spark):
         # containers of a class hold exactly k items, or are among the few of the last round
         per = Counter(r.bin for r in mine)
         klass = {r.bin: cap // r.tokens for r in mine}
-        odd = [b for b in per if not b.startswith("c") and per[b] != klass[b]]
+        odd = [b for b in per if b[0] not in "ch" and per[b] != klass[b]]
         assert not odd
+        # with guests: k items of class k <= HOSTS and as many of one further class
+        for b in {b for b in per if b[0] == "h"}:
+            c = Counter(cap // r.tokens for r in mine if r.bin == b)
+            assert len(c) == 2 and c[min(c)] == min(c) <= packing.HOSTS
     rep = {r.spec_id: r for r in packing.fill_report(packing.containers(df, specs)).collect()}
     assert set(rep) == {1, 2} and rep[2].filled > 0.75
     assert packing.containers(spark.createDataFrame([], SIZES), specs).count() == 0
     assert packing.containers(df, spark.createDataFrame([], SPECS)).count() == 0
 
 
+def test_guests_always_fit():
+    rng = np.random.default_rng(2)
+    for cap in (1, 2, 7, 100, 997):
+        tok = np.minimum(np.maximum(rng.lognormal(np.log(cap / 3 + 1), 1.2, 3_000).astype(int), 1), cap)
+        b = packing.hosted(cap, tok)
+        load = np.bincount(b[b >= 0], tok[b >= 0])
+        assert (load <= cap).all() and (load > 0).all()
+    assert packing.hosted(10, np.zeros(0, int)).tolist() == [] and packing.hosted(10, np.array([10, 10])).tolist() == [-1, -1]
+    assert packing.hosted(10, np.array([6, 3])).tolist() == [0, 0] and packing.hosted(10, np.array([6, 2, 2])).tolist().count(0) == 2
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(2)
     rows = [(i, ["Big", " big ", "mid", "tiny", None, "other"][int(rng.choice(6, p=[0.4, 0.1, 0.3, 0.02, 0.08, 0.1]))], int(rng.integers(0, 200))) for i in range(20_000)]

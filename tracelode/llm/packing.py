@@ -7,7 +7,12 @@ left of a class in a task (fewer than k items) goes to a second round keyed by
 class, and what is left there (fewer than k items a class in all) to a last
 one, where the rest of all classes is packed first-fit by falling size.
 
-Waste: a container of class k is more than k/(k+1) full.  The last round sees
+Containers of the classes 1 to ``HOSTS`` would waste most, so they take guests,
+again by class and by fixed counts: with a room of at least capacity/j left
+(j the room's class), floor(g/j) items of class g fit for any g >= j, whatever
+their sizes.  Each task pairs the hosts and guests it has.
+
+Waste: a container of class k without guests is more than k/(k+1) full.  The last round sees
 at most the sum of (k-1) over the at most 2*sqrt(capacity) classes, a number
 that the capacity bounds whatever the number of items.
 
@@ -30,6 +35,8 @@ from pyspark.sql import functions as F
 from tracelode.functions.lanes import runs, whole_groups
 from tracelode.session import cut, parallelism
 
+#: Classes whose containers take guests; the smallest guests are of class ``GUESTS``.
+HOSTS, GUESTS = 3, 96
 #: The container sizes are a small table by nature; more rows than this are refused.
 MOST_SPECS = 1_000
 
@@ -50,6 +57,38 @@ def items(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     return x.select("spec_id", "capacity", "doc_id", "piece", F.least(F.col("tokens") - F.col("piece") * F.col("capacity"), F.col("capacity")).alias("tokens"))
 
 
+def hosted(cap: int, tok: np.ndarray) -> np.ndarray:
+    """Containers (numbers from 0; -1: none) of items of one capacity: k of class k <= HOSTS with guests."""
+    klass = cap // tok
+    out = np.full(len(tok), -1)
+    free = {g: list(np.flatnonzero(klass == g)) for g in np.unique(klass[klass <= GUESTS]).tolist()}
+    made = 0
+    for k in range(1, HOSTS + 1):
+        mine = np.array(free.get(k, []), np.int64)
+        mine = mine[np.argsort(tok[mine], kind="stable")][: len(mine) // k * k].reshape(-1, k)
+        room = cap - tok[mine].sum(axis=1)
+        mine, room = mine[room > 0], room[room > 0]
+        needs = -(-cap // np.maximum(room, 1))  # class of the room: capacity/needs <= room
+        pools = {j: list(np.flatnonzero(needs == j)) for j in np.unique(needs[needs <= GUESTS]).tolist()}
+        served: set[int] = set()
+        for g in range(k + 1, GUESTS + 1):
+            guests = free.get(g)
+            if not guests:
+                continue
+            for j in sorted((j for j in pools if j <= g), reverse=True):  # the tightest rooms first
+                m = g // j
+                n = min(len(pools[j]), len(guests) // m)
+                for _ in range(n):
+                    h = pools[j].pop()
+                    out[mine[h]] = made
+                    out[[guests.pop() for _ in range(m)]] = made
+                    served.update(mine[h].tolist())
+                    made += 1
+        if served:
+            free[k] = [i for i in free[k] if i not in served]
+    return out
+
+
 def _fill(tag: str, sorted_input: bool):
     """Numbers containers of k items of each (capacity, class); the rest keeps a NULL container.
 
@@ -59,9 +98,22 @@ def _fill(tag: str, sorted_input: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = TaskContext.get()
         who = f"{tag}{ctx.partitionId() if ctx else 0}"
-        made = 0
+        made = hosts = 0
         held: pa.Table | None = None
 
+        def host(t: pa.Table) -> tuple[pa.Table, pa.Table]:
+            """Containers with guests, and the items that are in none."""
+            nonlocal hosts
+            spec, cap, tok = (t.column(c).to_numpy() for c in ("spec_id", "capacity", "tokens"))
+            place = np.full(len(spec), -1)
+            for k in np.unique(spec).tolist():
+                at = np.flatnonzero(spec == k)
+                b = hosted(int(cap[at[0]]), tok[at])
+                place[at] = np.where(b >= 0, b + hosts, -1)
+                hosts += int(b.max(initial=-1)) + 1
+            names = np.char.add(f"h{who}-", place[place >= 0].astype(str)) if (place >= 0).any() else np.array([], str)
+            return t.take(pa.array(np.flatnonzero(place >= 0))).append_column("bin", pa.array(names, pa.string())), t.take(pa.array(np.flatnonzero(place < 0)))
+
         def work(t: pa.Table, last: bool) -> tuple[pa.Table, pa.Table | None]:
             nonlocal made
             spec, cap, tok = (t.column(c).to_numpy() for c in ("spec_id", "capacity", "tokens"))
@@ -85,6 +137,9 @@ def _fill(tag: str, sorted_input: bool):
         source = whole_groups(batches, ["spec_id", "klass"]) if sorted_input else _tables(batches)
         for t in source:
             t = t.select(["spec_id", "capacity", "doc_id", "piece", "tokens"])
+            if not sorted_input:
+                done, t = host(t)
+                yield from done.combine_chunks().to_batches()
             done, held = work(t if held is None else pa.concat_tables([held, t]), False)
             yield from done.combine_chunks().to_batches()
         if held is not None and held.num_rows:

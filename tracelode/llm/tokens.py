@@ -51,5 +51,4 @@ def token_sizes(documents: DataFrame, *keep: str, folder: str = TOKENIZER_DIR, n
     """``doc_id, *keep, tokens``: whole texts are encoded; NULL and empty texts have 0 tokens."""
     x = documents.select("doc_id", *keep, F.col("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[:-1]) + ", tokens bigint"
-    # short texts are cheap and long ones dear: spread the rows of few large input splits
     return x.mapInArrow(_count(folder, name), schema)
