@@ -161,3 +161,23 @@ def test_expression_requests(spark):
     for wrong in ({"time": {}}, {"time": {"start": 1, "aggregator": "nosuch"}}, {"time": {"start": 1, "aggregator": "sum", "downsampler": {"interval": "1m"}}}):
         with pytest.raises(QueryError):
             otsdb.expressions(m, wrong, 10)
+
+
+def test_running_values_of_a_stream_and_fresh_rows(spark, tmp_path):
+    src, sink = str(tmp_path / "in"), str(tmp_path / "sink")
+    schema = "i int, k string, v double"
+    rows = [(i, "ab"[i % 2], None if i % 5 == 4 else float((i * 7) % 11)) for i in range(30)]
+    stored = spark.createDataFrame([(-1, "z", 1.0)], schema)
+    for a in (0, 15):  # two micro-batches: state goes on
+        spark.createDataFrame(rows[a : a + 15], schema).coalesce(1).write.mode("append").parquet(src)
+        q = live.running(spark.readStream.schema(schema).parquet(src), "k", "v").writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {r.i: r for r in spark.read.parquet(sink).collect()}
+    assert len(got) == 30
+    for k in "ab":
+        seen = []
+        for i, _, v in [r for r in rows if r[1] == k]:
+            seen += [] if v is None else [v]
+            g = got[i]
+            assert (g.running_count, g.running_sum, g.running_min, g.running_max) == (len(seen), sum(seen) if seen else None, min(seen, default=None), max(seen, default=None))
+    assert live.with_fresh(stored, sink).count() == 31

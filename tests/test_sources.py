@@ -91,3 +91,11 @@ def test_catalog_spelling(spark):
     assert sorted(r.metric or "" for r in catalog.metric_names(m).collect()) == ["", "m_a"]
     assert sorted(r.key for r in catalog.tag_keys(m).collect()) == ["client", "k"] and [r.value for r in catalog.tag_values(m, "client").collect()] == ["x"]
     assert catalog.tag_keys_with_most_values(m).first() == ("client", 1)
+
+
+def test_single_documents(spark):
+    e = Engine(spark)
+    e.register("d", spark.createDataFrame([("1", "a"), ("2", "b"), (None, "c")], "_id string, v string"))
+    e.catalog.put("d", spark.createDataFrame([("2", "B", 7), ("3", "n", 8)], "_id string, v string, w int"), "_id")
+    e.catalog.delete("d", "_id", "1")
+    assert sorted((r._id or "", r.v, r.w) for r in e.search("*", "d").collect()) == [("", "c", None), ("2", "B", 7), ("3", "n", 8)]

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 FIRST_SEC, AFTER_SEC = 1_577_836_800, 1_893_456_000
 
 
-def int_to_ms(c: Column) -> Column:
-    """Milliseconds (cut) of an integer in s, ms, us or ns; NULL if no unit fits."""
+def int_to_ms(c: Column, first: int = FIRST_SEC, after: int = AFTER_SEC) -> Column:
+    """Milliseconds (cut) of an integer in s, ms, us or ns; NULL if no unit gives an instant in [first, after) seconds.
+
+    The units' ranges must be disjoint: ``after`` at most 1000 times ``first``."""
+    if not 0 < first < after <= 1000 * first:
+        raise ValueError("the range of instants must tell units apart")
     c = c.cast("bigint")
 
     def fits(unit: int) -> Column:
-        return (c >= FIRST_SEC * unit) & (c < AFTER_SEC * unit)
+        return (c >= first * unit) & (c < after * unit)
 
     return (
         F.when(fits(1), c * 1000)

@@ -15,6 +15,7 @@ from tracelode.lang import lex, timespec
 from tracelode.lang.lex import QueryError, bare, flag, options, words
 from tracelode.plans import bind
 from tracelode.plans.frame import TS, Frame
+from tracelode.session import cut
 
 _AGG = re.compile(r"""\s*,?\s*([A-Za-z_]\w*(?:\.\d+)?)(\s*\()?""")
 
@@ -238,11 +239,10 @@ def timechart(fr: Frame, s: str) -> Frame:
     score = F.count(F.lit(1))
     x = df0.withColumn("__k", key)
     fx = fr.with_df(x)
-    if len(measures) == 1:
-        per = x.groupBy("__k", bucket).agg(built(fx, measures[0]).alias("__s")).withColumn("__s", F.col("__s").try_cast("double"))
-        scores = per.groupBy("__k").agg(F.sum("__s").alias("__s"))
-    else:
-        scores = x.groupBy("__k").agg(score.alias("__s"))
+    # one pass over the events gives the chart's cells, their scores, and, where all values fit, the chart
+    cells = cut(x.groupBy("__k", bucket).agg(score.alias("__n"), *[built(fx, a).alias(f"m{i}") for i, a in enumerate(measures)]), "chart")
+    worth = F.col("m0").try_cast("double") if len(measures) == 1 else F.col("__n")
+    scores = cells.groupBy("__k").agg(F.sum(worth).alias("__s"))
     order = [F.col("__s").desc_nulls_last() if best == "top" else F.col("__s").asc_nulls_last(), F.col("__k")]
     most = n or SPLIT_MOST
     keep = [r["__k"] for r in scores.orderBy(*order).limit(most + 1).collect()]
@@ -251,14 +251,15 @@ def timechart(fr: Frame, s: str) -> Frame:
     use_other = flag(opts.get("useother"), True) and more
     if more and not n and not use_other:
         raise QueryError(f"timechart with limit=0 and without other column has more than {SPLIT_MOST} split values")
-    if more and not use_other:
-        x = x.where(F.col("__k").isin(keep))
-    elif more:
+    if more and use_other:
         x = x.withColumn("__k", F.when(F.col("__k").isin(keep), F.col("__k")).otherwise(otherstr))
         keep = [*keep, *([otherstr] if otherstr not in keep else [])]
-    fx = fr.with_df(x)
-    named = [built(fx, a).alias(f"m{i}") for i, a in enumerate(measures)]
-    g = x.groupBy(bucket).pivot("__k", keep).agg(*named) if keep else x.groupBy(bucket).agg(*named)
+    if keep and not (more and use_other):
+        g = cells.groupBy("timestamp").pivot("__k", keep).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(len(measures))])
+    else:
+        fx = fr.with_df(x)
+        named = [built(fx, a).alias(f"m{i}") for i, a in enumerate(measures)]
+        g = x.groupBy(bucket).pivot("__k", keep).agg(*named) if keep else x.groupBy(bucket).agg(*named)
     cols = [q("timestamp")]
     for k in keep:
         for i, a in enumerate(measures):

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.functions.instants import AFTER_SEC, FIRST_SEC
+
 # How programs spell levels.
 LEVELS = {
     **dict.fromkeys(["t", "trace", "trc", "finest", "10"], "trace"),
@@ -520,7 +522,7 @@ def _json_time(v: object) -> int | None:
     if isinstance(v, bool) or not isinstance(v, (int, float)):
         return None
     for unit in (1_000_000_000, 1_000_000, 1_000, 1):
-        if 1_577_836_800 <= v * unit / 1e9 < 1_893_456_000:
+        if FIRST_SEC <= v * unit / 1e9 < AFTER_SEC:
             return int(v * unit) if isinstance(v, int) else int(v * 1000) * (unit // 1000 or 1)
     return None
 

@@ -39,6 +39,18 @@ class Catalog:
         for s in self._aliases.values():
             s.discard(name)
 
+    def put(self, name: str, rows: DataFrame, key: str) -> None:
+        """Indexes or updates rows: those with an equal ``key`` are replaced.  The index becomes a plan over
+        what it was and the rows, so many small changes belong into a table first."""
+        _, time, tie = self._tables[name]
+        old = self.table(name).join(rows.select(F.col(key).alias("__key")), F.col(key) == F.col("__key"), "left_anti")
+        self._tables[name] = (old.unionByName(rows, allowMissingColumns=True), time, tie)
+
+    def delete(self, name: str, key: str, *values: object) -> None:
+        """Takes out the rows whose ``key`` is one of the values."""
+        _, time, tie = self._tables[name]
+        self._tables[name] = (self.table(name).where(~F.coalesce(F.col(key).isin(*values), F.lit(False))), time, tie)
+
     def alias(self, alias: str, *names: str) -> None:
         self._aliases.setdefault(alias, set()).update(names)
 

@@ -68,6 +68,46 @@ def red_windows(entry_spans: DataFrame, time: str, width: str = "5 minutes", lat
     return g.select(F.col("w.start").alias("window_start"), "service", "requests", "errors", "latency_ms")
 
 
+def with_fresh(stored: DataFrame, sink: str) -> DataFrame:
+    """Stored rows together with what a running stream has written to its Parquet sink so far."""
+    spark = stored.sparkSession
+    fresh = spark.read.schema(stored.schema).parquet(sink)
+    return stored.unionByName(fresh)
+
+
+_STATE = "n bigint, total double, low double, high double"
+
+
+def running(stream: DataFrame, key: str, value: str) -> DataFrame:
+    """Running ``count, sum, avg, min, max`` of a value per key, in order of arrival: the columns of the stream
+    with these five added.  NULL values change nothing; state is four numbers a key."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    schema = stream.schema
+    names = ["running_count", "running_sum", "running_avg", "running_min", "running_max"]
+    out = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields], f"{names[0]} bigint", *[f"{n} double" for n in names[1:]]])
+
+    def work(_key, parts, state):
+        n, total, low, high = state.get if state.exists else (0, 0.0, float("inf"), float("-inf"))
+        for x in parts:
+            v = pd.to_numeric(x[value]).astype("float64")
+            x[names[0]] = n + v.notna().cumsum()
+            x[names[1]] = total + v.fillna(0).cumsum()
+            x[names[3]] = v.fillna(float("inf")).cummin().clip(upper=low)
+            x[names[4]] = v.fillna(float("-inf")).cummax().clip(lower=high)
+            if len(x):
+                n, total, low, high = int(x[names[0]].iloc[-1]), float(x[names[1]].iloc[-1]), float(x[names[3]].iloc[-1]), float(x[names[4]].iloc[-1])
+            some = x[names[0]] > 0
+            x[names[2]] = (x[names[1]] / x[names[0]]).where(some)
+            for c in names[1:]:
+                x[c] = x[c].where(some)
+            yield x[[*[f.name for f in schema.fields], *names]]
+        state.update((n, total, low, high))
+
+    return stream.groupBy(key).applyInPandasWithState(work, out, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
 def alert_states(evaluations: DataFrame, op: str, threshold: float, consecutive: int, keys: list[str], time: str, value: str) -> DataFrame:
     """``Normal``, ``Pending`` or ``Firing`` of each evaluation: it fires after ``consecutive`` hits in a row."""
     from pyspark.sql import Window
