@@ -99,3 +99,14 @@ def test_single_documents(spark):
     e.catalog.put("d", spark.createDataFrame([("2", "B", 7), ("3", "n", 8)], "_id string, v string, w int"), "_id")
     e.catalog.delete("d", "_id", "1")
     assert sorted((r._id or "", r.v, r.w) for r in e.search("*", "d").collect()) == [("", "c", None), ("2", "B", 7), ("3", "n", 8)]
+
+
+def test_clean_names_equal_the_rule(spark):
+    from pyspark.sql import functions as F
+
+    from tracelode.functions import series
+
+    names = [("a.b",), ("ä🎉x",), ("ok_1",), ("",), (None,), ("  ",), (" \tA b\n\x0b\f\r",), ("x ",), ("A-B-c",)]
+    d = spark.createDataFrame(names, "m string")
+    for ours, rule in ((series.metric_name(F.col("m")), F.regexp_replace("m", "[^A-Za-z0-9_]", "_")), (series.client_id(F.col("m")), F.nullif(F.lower(F.regexp_replace("m", r"^\s+|\s+$", "")), F.lit("")))):
+        assert d.where(~ours.eqNullSafe(rule)).count() == 0
