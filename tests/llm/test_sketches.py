@@ -160,3 +160,8 @@ def test_merging_many_cells_is_merging_each(spark):
             for k in (g[:5], (0, 5, g[2], None, g[4]), (0, 3, None, g[3], g[4]), (0, 1, None, None, g[4])):
                 coarse.setdefault(k, []).append(g[5])
         assert len(rolled) == len(coarse) and all(quantiles.merge(coarse[r[:5]], 40) == r[5] for r in rolled)
+
+
+def test_coarser_cells():
+    assert sorted(cells.coarser_sets(7, 7)) == list(range(8)) and cells.coarser_sets(5, 0) == [5]
+    assert sorted(cells.coarser_sets(7, 6)) == [1, 3, 5, 7] and sorted(cells.coarser_sets(6, 6)) == [0, 2, 4, 6] and sorted(cells.coarser_sets(3, 6)) == [1, 3]

@@ -138,9 +138,15 @@ def merge_sorted(many: Many, most_bytes: int = 24_000_000) -> Callable:
     return run
 
 
-def merger(merge: Callable[[list[bytes]], bytes], most_bytes: int, rollup: bool) -> Callable:
+def coarser_sets(sets: int, dimensions: int) -> list[int]:
+    """``sets`` without any of the given dimensions, in all combinations."""
+    return [w for w in range(ALL_SETS + 1) if w | dimensions == sets | dimensions and w & ~sets == 0]
+
+
+def merger(merge: Callable[[list[bytes]], bytes], most_bytes: int, rollup: int) -> Callable:
     """A map over state rows that merges what it has seen of a cell; flushes when
-    it holds ``most_bytes``.  With ``rollup`` each cell also goes to its coarser ones."""
+    it holds ``most_bytes``.  Each cell also goes to the coarser ones without dimensions of ``rollup``."""
+    wants = {sets: coarser_sets(sets, rollup) for sets in range(ALL_SETS + 1)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[bytes]] = {}
@@ -155,7 +161,7 @@ def merger(merge: Callable[[list[bytes]], bytes], most_bytes: int, rollup: bool)
         for b in batches:
             *keys, states = (c.to_pylist() for c in b.columns)
             for kind, sets, day, metric, tag, s in zip(*keys, states):
-                for want in range(ALL_SETS + 1) if rollup else (sets,):
+                for want in wants[sets]:
                     k = (kind, want, day if want & BY_DAY else None, metric if want & BY_METRIC else None, tag if want & BY_TAG else None)
                     got = held.setdefault(k, [])
                     got.append(s)
@@ -171,8 +177,8 @@ def merger(merge: Callable[[list[bytes]], bytes], most_bytes: int, rollup: bool)
     return run
 
 
-def merge_cells(states: DataFrame, merge: Callable[[list[bytes]], bytes], many: Many, most_bytes: int = 48_000_000, rollup: bool = False) -> DataFrame:
-    """States with one row a cell; with ``rollup`` of all combinations of dimensions."""
+def merge_cells(states: DataFrame, merge: Callable[[list[bytes]], bytes], many: Many, most_bytes: int = 48_000_000, rollup: int = 0) -> DataFrame:
+    """States with one row a cell; also of the cells without dimensions of ``rollup``, in all combinations."""
     part = states.mapInArrow(merger(merge, most_bytes, rollup), SCHEMA) if rollup else states
     n = parallelism(states.sparkSession, 1)
     return part.repartition(n, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(merge_sorted(many), SCHEMA)
@@ -181,7 +187,7 @@ def merge_cells(states: DataFrame, merge: Callable[[list[bytes]], bytes], many:
 def roll_tags(states: DataFrame, many: Many) -> DataFrame:
     """Merged cells with their coarser ones, tag by tag; no tag is merged into another or into the
     cells without tag, as the rows of several tags are the same.  Each cell is shuffled once; a task
-    holds the days and metrics of one tag, their finest cells go out as they come."""
+    sees the days and metrics of one tag, so this is for tags whose states are small."""
     n = parallelism(states.sparkSession, 1)
     return states.repartition(n, "tag").sortWithinPartitions("tag").mapInArrow(_tag_roller(many), SCHEMA)
 

@@ -167,7 +167,7 @@ def sketches(identifiers: DataFrame, m: int = M) -> DataFrame:
 
 def rollup(states: DataFrame) -> DataFrame:
     """Sketches of every combination of day, metric and tag."""
-    return C.merge_cells(states, merge, merge_many, rollup=True)
+    return C.merge_cells(states, merge, merge_many, rollup=C.ALL_SETS)
 
 
 _COUNTS = "kind int, sets int, day date, metric string, tag string, estimate double, low double, high double, rel_error double"

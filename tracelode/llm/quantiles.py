@@ -38,6 +38,7 @@ from tracelode.functions.lanes import runs
 from tracelode.functions.series import metric_name, tag_entries
 from tracelode.llm import cells as C
 from tracelode.llm.distinct import _mix
+from tracelode.session import cut, small
 
 BITS, EXACT, DEPTH, WIDTH, LOSSLESS = 26, 12, 5, 512, 4096
 LEVELS = BITS - EXACT  # level l has ranges of 2^l codes, 0 <= l < LEVELS
@@ -298,12 +299,20 @@ def tag_sketches(values: DataFrame, absent: tuple[str, ...] = ("group",), lossle
     return _merged(values.mapInArrow(_built(lossless, True, absent), C.SCHEMA), lossless)
 
 
-def _merged(states: DataFrame, lossless: int, rollup: bool = False) -> DataFrame:
+def _merged(states: DataFrame, lossless: int, rollup: int = 0) -> DataFrame:
     return C.merge_cells(states, lambda s: merge(s, lossless), merge_many(lossless), rollup=rollup)
 
 
 def tag_rollup(states: DataFrame, lossless: int = LOSSLESS) -> DataFrame:
-    return C.roll_tags(states, merge_many(lossless))
+    """Cells of each tag with those over all days, over all metrics and over both.
+
+    Tags that have sketches are merged in the tasks first and then cell by cell, however many days and
+    metrics they have; the many small ones are shuffled once, by tag."""
+    states = cut(states, "cells")
+    heavy = small(states.where(F.octet_length("state") >= 4 * _SIZE).select(F.col("tag").alias("heavy")).distinct())
+    same = F.col("tag").eqNullSafe(F.col("heavy"))
+    light = C.roll_tags(states.join(heavy, same, "left_anti"), merge_many(lossless))
+    return light.unionByName(_merged(states.join(heavy, same, "left_semi"), lossless, C.BY_DAY | C.BY_METRIC))
 
 
 def tag_columns(cells: DataFrame) -> DataFrame:
@@ -326,7 +335,7 @@ def sketches(values: DataFrame, lossless: int = LOSSLESS) -> DataFrame:
 
 
 def rollup(states: DataFrame, lossless: int = LOSSLESS) -> DataFrame:
-    return _merged(states, lossless, rollup=True)
+    return _merged(states, lossless, C.ALL_SETS)
 
 
 def _kept(data: np.ndarray, at: np.ndarray, qs: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
