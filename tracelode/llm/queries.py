@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -108,8 +109,12 @@ def _days(df: DataFrame) -> DataFrame:
 def p3_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact numbers of every cell, and whether the estimate lies within five of its standard errors."""
     ids = distinct.metric_identifiers(table(spark, sf_dir, "metrics"))
-    exact = ids.cube("day", "metric", "tag").agg(*[(F.grouping(c) == 0).alias(f"by_{c}") for c in ("day", "metric", "tag")], F.count_distinct("series").alias("series"), F.count_distinct("client").alias("client"))
-    exact = exact.select(*_CUBE, F.explode(F.create_map(F.lit("series"), F.col("series"), F.lit("client"), F.col("client"))).alias("kind", "n")).where("n > 0")
+    # one row an identifier and finest cell first: that is all that exact counting needs of the readings
+    one = F.explode(F.array(F.struct(F.lit("series").alias("kind"), F.col("series").alias("id")), F.struct(F.lit("client").alias("kind"), F.col("client").alias("id"))))
+    x = ids.select("day", "metric", "tag", one.alias("k")).where("k.id is not null").select("day", "metric", "tag", "k.kind", "k.id").distinct()
+    by = [F.struct(*[F.lit(on).alias(f"by_{c}") for on, c in zip(s, ("day", "metric", "tag"))], *[F.when(F.lit(on), F.col(c)).alias(c) for on, c in zip(s, ("day", "metric", "tag"))]) for s in itertools.product((True, False), repeat=3)]
+    x = x.select(F.explode(F.array(*by)).alias("c"), "kind", "id").select("c.*", "kind", "id").distinct()
+    exact = x.groupBy(*_CUBE, "kind").agg(F.count("*").alias("n"))
     e, c = exact.alias("e"), distinct.counts(distinct.rollup(distinct.sketches(ids))).alias("c")
     on = F.col("e.kind") == F.col("c.kind")
     for k in _CUBE:
