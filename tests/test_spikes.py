@@ -101,3 +101,19 @@ def test_series_too_many_to_be_sent(spark, monkeypatch):
     want = flags(spark, {"temp_celsius": v})
     monkeypatch.setattr(spikes, "fits", lambda df: False)
     assert flags(spark, {"temp_celsius": v}) == want and 100 in want["temp_celsius"]
+
+
+def test_joins_too_large_to_be_sent_are_merged(spark, monkeypatch, tmp_path):
+    # packed these tables are far below Spark's own threshold, unpacked and salted they would fill the driver
+    monkeypatch.setattr(spikes, "fits", lambda df: False)
+    spark.range(40_000).selectExpr("id AS h1", "id AS h2", "id AS sid").write.parquet(f"{tmp_path}/series")
+    spark.range(40_000).selectExpr("id AS h1", "id AS h2", "id % 7 AS ts").write.parquet(f"{tmp_path}/readings")
+    series, readings = spark.read.parquet(f"{tmp_path}/series"), spark.read.parquet(f"{tmp_path}/readings")
+    for df in (spikes._with_series(readings, series), spikes._with_series(readings.withColumnRenamed("h1", "sid").drop("h2"), series.select("sid"), "sid")):
+        assert df.count() == 40_000
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    m = spark.createDataFrame([(i, "load_percent", {"u": "1"}, T0 + i, 255.0 if i == 3 else 50.0, 0) for i in range(9)], M)
+    t = spark.createDataFrame([(1, "load_percent", {"u": "1"}, 1, T0, T0 + 9)], T)
+    got = spikes.implausible(m, t, spark.createDataFrame(DEFS, "metric string, unit string, kind string"))
+    assert [r.point_id for r in got.collect()] == [3]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
