@@ -265,3 +265,54 @@ def test_whole_document_by_spath_and_nested_elements(spark):
     ids = lambda q: sorted(r.id for r in e.es({"query": {"nested": {"path": "t", "query": q}}}, "o").collect())
     assert ids({"exists": {"field": "t.n"}}) == [1, 2] and ids({"terms": {"t.c": ["blue", "green"]}}) == [1, 2] and ids({"prefix": {"t.c": "gr"}}) == [2]
     assert ids({"wildcard": {"t.c": "?l*"}}) == [1] and ids({"bool": {"must": [{"term": {"t.c": "blue"}}, {"exists": {"field": "t.n"}}]}}) == [] and ids({"match_all": {}}) == [1, 2]
+
+
+def test_time_windows_pass_each_row_a_fixed_number_of_times(spark):
+    """All aggregates of a time window against a plain loop: ties, gaps, rows without time, huge values that left the window."""
+    import random
+    import statistics
+
+    rnd = random.Random(7)
+    rows = [(None if i % 41 == 0 else rnd.choice([0, 10, 10, 20]) * 100 + rnd.randint(0, 300) - 900, i, None if rnd.random() < 0.2 else 1e17 if i % 50 == 0 else float(rnd.randint(0, 20)), rnd.choice(["x", "y", None]), rnd.choice("ab") if rnd.random() < 0.9 else None) for i in range(300)]
+    rows += [(j, 1000 + j, 5.0, "y", "a") for j in (0, 100, 200, 201)]
+    e = Engine(spark, NOW)
+    e.register("n", spark.createDataFrame(rows, "timestamp bigint, id int, v double, s string, k string"), "timestamp", ["id"])
+    plan = e.search("* | streamstats time_window=6h count AS n, avg(v) AS a by k", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan  # Spark passes a frame that moves at both ends anew for each row
+    assert e.search("* | streamstats time_window=6h count AS n", "n").count() == len(rows)
+    calls = "count AS n, count(v) AS c, sum(v) AS u, avg(v) AS a, min(v) AS lo, max(s) AS hi, range(v) AS r, first(v) AS f, last(s) AS l, var(v) AS x, estdc_error(s) AS z"
+    for by, more in (("", ", dc(s) AS d, median(v) AS m"), (" by k", "")):
+        got = {r.id: r for r in e.search(f"* | streamstats time_window=100ms {calls}{more}{by}", "n").collect()}
+        assert len(got) == len(rows)
+        for t, i, v, s, k in rows:
+            near = [r for r in rows if (r[0] is None if t is None else r[0] is not None and t <= r[0] <= t + 100) and (not by or r[4] == k)]
+            near.sort(key=lambda r: (-(r[0] or 0), r[1]))
+            vs, ss = [r[2] for r in near if r[2] is not None], [r[3] for r in near if r[3] is not None]
+            g = got[i]
+            assert (g.timestamp, g.v, g.s, g.k) == (t, v, s, k)
+            assert (g.n, g.c, g.lo, g.f, g.z) == (len(near), len(vs), min(vs, default=None), vs[0] if vs else None, 0.0)
+            assert (g.hi, g.l) == (max(ss, default=None), ss[-1] if ss else None)
+            if not vs:
+                assert (g.u, g.a, g.r) == (None, None, None)
+            else:
+                assert g.u == pytest.approx(sum(vs), rel=1e-14) and g.a == pytest.approx(sum(vs) / len(vs), rel=1e-14) and g.r == max(vs) - min(vs)
+            assert g.x == pytest.approx(statistics.variance(vs) if len(vs) > 1 else 0.0, rel=1e-9)
+            if more:
+                assert g.d == len(set(ss)) and g.m == (pytest.approx(statistics.median(vs), rel=1e-14) if vs else None)
+    e.search("* | streamstats time_window=100ms first(v) AS f | streamstats time_window=200ms count AS n", "n").collect()
+
+
+def test_sums_of_time_windows_keep_all_digits(spark):
+    import random
+
+    rnd, inf = random.Random(3), float("inf")
+    rows = [(i, 0, rnd.randint(0, 20_000) / 100) for i in range(1500)]
+    rows += [(10**6 + i, 1, v) for i, v in enumerate([inf, 1.0, -0.5])] + [(2 * 10**6 + i, 1, v) for i, v in enumerate([1.7e308, -1.7e308, 0.0, None])]
+    rows += [(3 * 10**6 + i, 1, v) for i, v in enumerate([float("nan"), 2.0])] + [(4 * 10**6, 1, 0.0), (5 * 10**6, 1, None), (6 * 10**6, 1, 5e-324), (7 * 10**6, 1, -0.25)]
+    e = Engine(spark, NOW)
+    e.register("n", spark.createDataFrame(rows, "timestamp bigint, part int, v double"), "timestamp")
+    got = {r.timestamp: r.u for r in e.search("* | streamstats time_window=1s sum(v) AS u", "n").collect()}
+    for t, part, _ in rows:
+        near = [v for x, _, v in rows if t <= x <= t + 1000 and v is not None]
+        want = math.fsum(near) if near else None
+        assert got[t] == want or want != want and got[t] != got[t], (t, got[t], want)

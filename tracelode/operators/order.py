@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import replace
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions import aggs
-from tracelode.functions.typing import as_num, as_str, column, q
+from tracelode.functions.typing import as_bool, as_num, as_str, column, number_text, q
 from tracelode.lang import lex, search, timespec
 from tracelode.lang.lex import QueryError, bare, flag, options, words
 from tracelode.operators.groups import parse_aggs
@@ -320,20 +320,118 @@ def _epochs(fr: Frame, before: str | None, after: str | None, change: list[str])
     return fr.with_df(ordered.running(x, [], {"__epoch": ("sum", F.col("__hit"))}, True).drop("__hit"))
 
 
+def _squares(a: Column, b: Column) -> Column:
+    """Count and sum of squared distances from the mean, of two sets of values with ``n``, mean ``m`` and ``q`` each."""
+    d = b["m"] - a["m"]
+    apart = F.when((a["n"] > 0) & (b["n"] > 0), d * d * a["n"] * b["n"] / (a["n"] + b["n"])).otherwise(0.0)
+    return F.struct((a["n"] + b["n"]).alias("n"), (F.coalesce(a["q"], F.lit(0.0)) + F.coalesce(b["q"], F.lit(0.0)) + apart).alias("q"))
+
+
+def _state(kind: str, c: Column, w) -> Column:
+    if kind != "squares":
+        return getattr(F, kind)(c).over(w)
+    n = F.count(c).over(w)
+    return F.struct(n.alias("n"), F.avg(c).over(w).alias("m"), (F.var_pop(c).over(w) * n).alias("q"))
+
+
+def _halves(fr: Frame, n: str, a: aggs.Agg) -> tuple[dict[str, tuple[str, Column]], Column]:
+    """Small states of an aggregate that follow from those of two sets of rows (name -> kind, column), and its value from them."""
+    v = None
+    if a.arg is not None:
+        v = bind.expression(fr, a.arg) if a.is_eval else bind.field(fr, a.arg)
+    if v is not None and v.is_null and a.fn != "count":
+        return {}, F.lit(None).cast("double")
+    if a.fn == "estdc_error":
+        return {}, F.lit(0.0)
+    if a.fn == "count":
+        return {n: ("count", F.lit(1) if v is None else F.when(as_bool(v), 1) if a.is_eval and v.is_bool else v.c)}, F.col(n)
+    if a.fn in ("first", "last"):
+        at = F.when(v.c.isNotNull(), F.struct(F.col(ordered.IDX).alias("i"), v.c.alias("v")))  # type: ignore[union-attr]
+        return {n: ("min" if a.fn == "first" else "max", at)}, F.col(n)["v"]
+    c = as_num(v)  # type: ignore[arg-type]
+    if a.fn in ("min", "max"):
+        if v.is_num:  # type: ignore[union-attr]
+            return {n: (a.fn, c)}, F.col(n)
+        if not v.is_str:  # type: ignore[union-attr]
+            return {n: (a.fn, v.c)}, F.col(n)  # type: ignore[union-attr]
+        return {n + "n": (a.fn, c), n + "t": (a.fn, as_str(v))}, F.coalesce(number_text(F.col(n + "n")), F.col(n + "t"))  # type: ignore[arg-type]
+    if a.fn == "sum":
+        return {n: ("sum", c)}, F.col(n)
+    if a.fn == "avg":
+        return {n + "s": ("sum", c), n + "c": ("count", c)}, F.when(F.col(n + "c") > 0, F.col(n + "s") / F.col(n + "c"))
+    if a.fn == "range":
+        return {n + "x": ("max", c), n + "m": ("min", c)}, F.col(n + "x") - F.col(n + "m")
+    k = F.col(n)["n"]
+    var = F.col(n)["q"] / (k - 1)
+    return {n: ("squares", c)}, F.when(k < 2, 0.0).otherwise(var if a.fn == "var" else F.sqrt(var))
+
+
+def _split(x: DataFrame, parts: dict[str, tuple[str, Column]], w) -> tuple[DataFrame, dict[str, tuple[str, Column]]]:
+    """Summands become two each, a multiple of a unit and the rest: multiples sum up without error, rests are so small
+    that theirs does not count.  The unit is as fine as the largest value and the number of rows of a piece allow;
+    under a value that is larger by far, rests are the values themselves, and their sum is as good as any."""
+    more, put, most = dict(parts), {}, {}
+    for p, (kind, c) in parts.items():
+        if kind != "sum":
+            continue
+        more[f"{p}_"] = ("sum", c)
+        v = F.coalesce(F.col(f"__f{p}"), F.col(f"__b{p}"))
+        size = F.abs(v)
+        most[f"__m{p}"] = F.max(F.when(size < float("inf"), size)).over(w)
+        bits = F.ceil(F.log2(F.nullif(F.col(f"__m{p}"), F.lit(0.0)))) + F.ceil(F.log2(F.col("__rows")))
+        unit = F.pow(F.lit(2.0), F.greatest(bits - 50, F.lit(-1000)).cast("double"))
+        for half in "fb":
+            v = F.col(f"__{half}{p}")
+            whole = F.rint(v / unit) * unit
+            whole = F.when(F.abs(whole) < float("inf"), whole).otherwise(v)
+            put |= {f"__{half}{p}": whole, f"__{half}{p}_": F.when(F.abs(v) < float("inf"), v - whole)}
+    return (x.withColumns(most | {"__rows": F.count(F.lit(1)).over(w)}).withColumns(put) if put else x), more
+
+
 def _by_time(fr: Frame, measures: list[aggs.Agg], keys: list[str], width: int) -> Frame:
-    """Windows over event time: rows are cut by time, each block with the width before it."""
+    """Windows over event time: rows are cut by time into pieces of the width.
+
+    A window is then the end of one piece and the beginning of the next: a running
+    state from the back over the former and one from the front over the latter,
+    so that each row is passed a fixed number of times however many a window holds.
+    For that, rows also go to the next piece, moved on by the width."""
     if fr.time is None or not fr.order or fr.order[0][0] != TS:
         raise QueryError("time_window needs rows sorted by time")
-    falls = fr.order[0][1]
-    t = -F.col(TS) if falls else F.col(TS)
-    size = 8 * width
-    b = F.floor(t / size)
-    near = t - b * size >= size - width
-    x = fr.df.withColumn("__t", t).withColumn("__home", b).withColumn("__b", F.explode(F.when(near, F.array(b, b + 1)).otherwise(F.array(b))))
-    w = Window.partitionBy("__b", *keys).orderBy("__t").rangeBetween(-width, 0)
     names = {f"__a{i}": a for i, a in enumerate(measures)}
-    x = x.withColumns({n: _windowed(fr, a, w) for n, a in names.items()}).where("__b = __home").drop("__b", "__home", "__t")
-    return _finish(fr, x, names, keys)
+    by_halves = {n: a for n, a in names.items() if a.fn in _MERGEABLE and a.fn != "dc"}
+    t = -F.col(TS) if fr.order[0][1] else F.col(TS)
+    df = fr.df
+    if any(a.fn in ("first", "last") for a in by_halves.values()):
+        df = ordered.numbered(fr).df
+    if by_halves:
+        halves = [_halves(fr, n, a) for n, a in by_halves.items()]
+        parts = {p: kc for ps, _ in halves for p, kc in ps.items()}
+        df = df.withColumns({f"__v{p}": c for p, (_, c) in parts.items()} | {"__t": t})
+        known = F.when(F.col("__t").isNotNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+        x = df.withColumn("__own", F.explode(known))
+        own = F.col("__own")
+        put = {c: F.when(own, q(c)) for c in fr.df.columns if c not in keys}
+        put |= {f"__f{p}": F.when(own, F.col(f"__v{p}")) for p in parts} | {f"__b{p}": F.when(~own, F.col(f"__v{p}")) for p in parts}
+        x = x.withColumns(put | {"__t": F.when(own, F.col("__t")).otherwise(F.col("__t") + width)})
+        x = x.withColumn("__piece", F.floor(F.col("__t") / width)).repartition("__piece", *keys).sortWithinPartitions("__piece", *keys, "__t")
+        w = Window.partitionBy("__piece", *keys)
+        x, parts = _split(x, parts, w)
+        front, back = (w.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("__t"), F.desc("__t")))
+        x = x.withColumns({f"__f{p}": _state(k, F.col(f"__f{p}"), front) for p, (k, _) in parts.items()})
+        x = x.withColumns({f"__b{p}": _state(k, F.col(f"__b{p}"), back) for p, (k, _) in parts.items()})
+        both = ordered.BOTH | {"squares": _squares}
+        x = x.where("__own").withColumns({p: both[k](F.col(f"__b{p}"), F.col(f"__f{p}")) for p, (k, _) in parts.items()})
+        x = x.withColumns({p: F.col(p) + F.coalesce(F.col(f"{p}_"), F.lit(0.0)) for p in parts if f"{p}_" in parts})
+        x = x.withColumns({n: c for n, (_, c) in zip(by_halves, halves)})
+        df = x.select(*map(q, fr.df.columns), *by_halves)
+    if len(by_halves) < len(names):  # sets of values and percentiles have no small state: each block with the width before it
+        size = 8 * width
+        b = F.floor(t / size)
+        near = t - b * size >= size - width
+        x = df.withColumn("__t", t).withColumn("__home", b).withColumn("__b", F.explode(F.when(near, F.array(b, b + 1)).otherwise(F.array(b))))
+        w = Window.partitionBy("__b", *keys).orderBy("__t").rangeBetween(-width, 0)
+        df = x.withColumns({n: _windowed(fr, a, w) for n, a in names.items() if n not in by_halves}).where("__b <=> __home").drop("__b", "__home", "__t")
+    return _finish(fr, df, names, keys)
 
 
 # ---- transaction ---------------------------------------------------------------------------------------

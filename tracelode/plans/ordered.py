@@ -58,6 +58,15 @@ def with_halo(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
     return x.withColumn("__own", F.col("__b") == F.floor(F.col(IDX) / size)), size
 
 
+#: The value over two sets of rows from the values over each.
+BOTH = {
+    "count": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+    "sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b),
+    "min": F.least,
+    "max": F.greatest,
+}
+
+
 def running(df: DataFrame, by: list[Column], parts: dict[str, tuple[str, Column]], current: bool) -> DataFrame:
     """Adds running values over all earlier rows with equal ``by``.
 
@@ -77,11 +86,5 @@ def running(df: DataFrame, by: list[Column], parts: dict[str, tuple[str, Column]
         on = on & F.col(k).eqNullSafe(F.col(f"__c{k}"))
     x = x.join(carry, on)
     w = Window.partitionBy("__b", *keys).orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
-    both = {
-        "count": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
-        "sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b),
-        "min": F.least,
-        "max": F.greatest,
-    }
-    x = x.withColumns({n: both[kind](F.col(f"__c_{n}"), f[kind](f"__s_{n}").over(w)) for n, (kind, _) in parts.items()})
+    x = x.withColumns({n: BOTH[kind](F.col(f"__c_{n}"), f[kind](f"__s_{n}").over(w)) for n, (kind, _) in parts.items()})
     return x.drop("__b", "__c__b", *keys, *[f"__c{k}" for k in keys], *src, *[f"__c_{n}" for n in parts])
